@@ -10,8 +10,8 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Words that a worker keeps; the cache starts anew beyond that.
-CACHE_WORDS = 400_000
+#: Words in a generation of a worker's cache.
+CACHE_WORDS = 250_000
 #: White space other than single spaces and line feeds, where a cut before a space could change a token.
 _UNSAFE = re.compile(r"[^\S \n]|\x00|\s (?:\s|\Z)")
 
@@ -42,54 +42,56 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+class _Words(dict):
+    """Word -> its ids as bytes. Words met are kept in two generations, so common ones stay when space runs out."""
+
+    def __init__(self, encode: Callable[[str], list], dtype: np.dtype):
+        super().__init__()
+        self.encode, self.old = encode, {}
+        self.raw = [np.array(i, dtype=dtype).tobytes() for i in range(1 << 16)]
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            raw = self.raw
+            ids = b"".join([raw[i] for i in self.encode(word[1:] if word[0:1] == "\0" else " " + word)])
+        self[word] = ids
+        return ids
+
+    def turn(self) -> None:
+        self.old = dict(self)
+        self.clear()
+
+
 class WordEncoder:
-    """Exact ids of whole texts from the ids of their words.
+    """Exact ids of whole texts from the ids of their words, for vocabularies of up to 65,536 ids.
 
     The byte-level pattern always starts a new piece at a space that follows a visible character, so a
-    text cut there has the ids of its parts. encode_many maps strings to lists of ids. Texts with other
+    text cut there has the ids of its parts. encode maps a string to a list of ids. Texts with other
     white space before a cut are encoded whole.
     """
 
-    def __init__(self, encode_many: Callable[[list[str]], list], dtype: str):
-        self.encode_many, self.dtype, self.cache = encode_many, np.dtype(dtype), {}
-
-    def _bytes(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(ids, dtype=self.dtype).tobytes() for ids in self.encode_many(texts)]
+    def __init__(self, encode: Callable[[str], list], dtype: str):
+        self.dtype = np.dtype(dtype)
+        self.words = _Words(encode, self.dtype)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian bytes; none for null."""
-        out: list[bytes] = [b""] * len(texts)
-        some: list[tuple[int, list[str]]] = []
-        size = 0
-        for i, t in enumerate(texts):
+        words = self.words
+        get, out = words.__getitem__, []
+        for t in texts:
             if not t:
-                continue
-            if _UNSAFE.search(t) or t[0] == " ":
-                out[i] = self._bytes([t])[0]
-                continue
-            words = t.split(" ")
-            words[0] = "\0" + words[0]
-            some.append((i, words))
-            size += len(words)
-            if size > 200_000:
-                self._some(some, out)
-                some, size = [], 0
-        self._some(some, out)
+                out.append(b"")
+            elif _UNSAFE.search(t) or t[0] == " ":
+                out.append(np.array(words.encode(t), dtype=self.dtype).tobytes())
+            else:
+                parts = t.split(" ")
+                parts[0] = "\0" + parts[0]
+                out.append(b"".join(map(get, parts)))
+                if len(words) > CACHE_WORDS:
+                    words.turn()
         return out
 
-    def _some(self, some: list[tuple[int, list[str]]], out: list[bytes]) -> None:
-        cache = self.cache
-        new = list(set().union(*(w for _, w in some)).difference(cache)) if some else []
-        if len(cache) + len(new) > CACHE_WORDS:
-            cache.clear()
-            new = list(set().union(*(w for _, w in some)))
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            cache.update(zip(part, self._bytes([w[1:] if w[:1] == "\0" else " " + w for w in part])))
-        get = cache.__getitem__
-        for i, words in some:
-            out[i] = b"".join(map(get, words))
-
 
 _ENCODERS: dict = {}
 
@@ -97,15 +99,34 @@ _ENCODERS: dict = {}
 def tiktoken_words(path: str, dtype: str = "<u4") -> WordEncoder:
     key = ("tiktoken", path, dtype)
     if key not in _ENCODERS:
-        one = tiktoken_encoding(path).encode_ordinary
-        _ENCODERS[key] = WordEncoder(lambda texts: [one(t) for t in texts], dtype)
+        _ENCODERS[key] = WordEncoder(tiktoken_encoding(path).encode_ordinary, dtype)
     return _ENCODERS[key]
 
 
+#: Words of Latin letters and at most one mark after them: one or two pieces of the byte-level pattern.
+_SIMPLE = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?|]?)")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others for U+0100 and on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in shown]
+    return {b: chr(b) if b in shown else chr(256 + others.index(b)) for b in range(256)}
+
+
 def tokenizer_words(path: str, dtype: str = "<u4") -> WordEncoder:
+    """A byte-level tokenizer's encoder. Simple words go to the library's model piece by piece, others through all of it."""
     key = ("tokenizers", path, dtype)
     if key not in _ENCODERS:
         t = tokenizer(path)
-        fast = getattr(t, "encode_batch_fast", t.encode_batch)
-        _ENCODERS[key] = WordEncoder(lambda texts: [e.ids for e in fast(texts, add_special_tokens=False)], dtype)
+        model, letters = t.model.tokenize, _byte_letters()
+
+        def one(x: str) -> list[int]:
+            m = _SIMPLE.fullmatch(x)
+            if not m:
+                return t.encode(x, add_special_tokens=False).ids
+            ids = [k.id for k in model(m[1].encode().decode("latin-1").translate(letters))]
+            return ids + [k.id for k in model(m[2])] if m[2] else ids
+
+        _ENCODERS[key] = WordEncoder(one, dtype)
     return _ENCODERS[key]

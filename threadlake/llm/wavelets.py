@@ -34,7 +34,7 @@ def pack(ids: np.ndarray, lengths: list[int], keys: list[int | None]) -> bytes:
     blocks, sizes, ones, zeros = [], [], [], []
     cur = ids
     for level in range(levels - 1, -1, -1):
-        bit = (cur >> level & 1).astype(bool)
+        bit = (cur & cur.dtype.type(1 << level)) != 0
         bits = np.packbits(bit)
         total = 0
         for at in range(0, n, BLOCK):

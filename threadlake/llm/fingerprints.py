@@ -79,9 +79,10 @@ def with_next(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     both = d.join(F.broadcast(halo), d["k"] == F.col("hk"), "left")
     own, beyond = F.struct(F.col("b").alias("b"), F.lit(0).alias("beyond")), F.struct(F.col("hb").alias("b"), F.lit(1).alias("beyond"))
     placed = both.withColumn("sketch", sketch(F.col("text"))).select("doc_id", "k", "text", "sketch", F.explode(F.when(F.col("hb").isNull(), F.array(own)).otherwise(F.array(own, beyond))).alias("p"))
-    w = Window.partitionBy("p.b").orderBy("p.beyond", "k", "text")
-    ahead = placed.withColumn("next_text", F.lead("text").over(w)).withColumn("next_sketch", F.lead("sketch").over(w))
-    return ahead.where("p.beyond = 0").select("doc_id", "text", "sketch", "next_text", "next_sketch")
+    flat = placed.select("doc_id", "k", "text", "sketch", F.col("p.b").alias("b"), F.col("p.beyond").alias("beyond"))
+    w = Window.partitionBy("b").orderBy("beyond", "k", "text")
+    ahead = flat.select("*", F.lead("text").over(w).alias("next_text"), F.lead("sketch").over(w).alias("next_sketch"))
+    return ahead.where("beyond = 0").select("doc_id", "text", "sketch", "next_text", "next_sketch")
 
 
 def edited(text: Column, following: Column) -> Column:

@@ -76,9 +76,9 @@ b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark),
 win AS (SELECT DISTINCT item, len(w[i:i+9]) AS k, array_to_string(w[i:i+9], ' ') AS s
         FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
 sizes AS (SELECT DISTINCT k FROM win),
-at AS (SELECT doc_id, k, i, array_to_string(w[i:i+k-1], ' ') AS s
+pos AS (SELECT doc_id, k, i, array_to_string(w[i:i+k-1], ' ') AS s
        FROM (SELECT doc_id, k, w, unnest(range(1, len(w) - k + 2)) AS i FROM d, sizes WHERE len(w) >= k)),
-hit AS (SELECT doc_id, at.k, i, item FROM at JOIN win USING (k, s)),
+hit AS (SELECT doc_id, pos.k, i, item FROM pos JOIN win USING (k, s)),
 per AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM hit) GROUP BY doc_id),
 items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS t FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,

@@ -15,6 +15,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +23,7 @@ from threadlake.llm.common import free_name, materialize
 
 ORDER, SPAN, DECAY, LANDMARKS = 4, 6, 0.7, 192
 #: The bounded sample of labelled rows that the machine learns from, by a hash of the id; and of their sentences.
-TRAIN_ROWS, TRAIN_SENTENCES = 12_000, 40_000
+TRAIN_ROWS, TRAIN_SENTENCES = 12_000, 30_000
 THRESHOLD = 0.3
 #: Symbols: 0 dropped, 1 between words, 2 end of sentence, then letters; 39 is any other letter or digit.
 SYMBOLS = 40
@@ -171,10 +172,6 @@ def _landmarks(sample: DataFrame, count: int) -> list[str]:
     return most + [x for x in rest if x not in set(most)][: count - len(most)]
 
 
-def _sentences(text: str) -> list[str]:
-    return [x for x in text.replace("!", ".").replace("?", ".").replace("\n", ".").split(".") if x.strip()]
-
-
 def _svm(x: np.ndarray, y: np.ndarray, c: float = 1.0, rounds: int = 25) -> np.ndarray:
     """Weights and bias of a linear machine with squared hinge loss, classes weighted equally, by Newton steps."""
     a = np.hstack((x, np.ones((len(x), 1))))
@@ -228,33 +225,36 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, sentences: i
             mat[dims[k], j] = v / norm
     keys = np.array(list(dims), dtype=np.int64)
 
-    @F.pandas_udf("array<array<float>>")
-    def vectors(texts: pd.Series) -> pd.Series:
+    def vectors(batches):
         where = np.zeros(SYMBOLS**ORDER, dtype=np.int32)
         where[keys] = np.arange(1, len(keys) + 1)
-        out = []
-        for t in texts:
-            rows = []
-            for s in _sentences(t):
-                x = symbols(s)
-                found = [(weight, at[at > 0] - 1) for weight, code in _codes(x) for at in (where[code],)]
-                k = np.zeros(mat.shape[1], dtype=np.float32)
-                for weight, at in found:
-                    if len(at):
-                        k += np.float32(weight) * mat[at].sum(axis=0)
-                rows.append((k / np.float32(np.sqrt((x == 1).sum()))).tolist())
-            out.append(rows)
-        return pd.Series(out)
-
-    each = sample.select("doc_id", "toxic", F.posexplode(vectors("text")).alias("i", "v"))
-    got = materialize(each).orderBy(F.desc("toxic"), F.xxhash64("doc_id", "i")).limit(sentences).select("v", "toxic").toPandas()
-    k = np.array(got["v"].tolist(), dtype=np.float64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part, out = batch.slice(at, 500), []
+                for s in part.column(0).to_pylist():
+                    k, n = np.zeros(mat.shape[1], dtype=np.float32), 0
+                    for piece in _pieces(s):
+                        x = symbols(piece)
+                        n += int((x <= 2).sum())
+                        for weight, code in _codes(x):
+                            found = where[code]
+                            bag = np.bincount(found[found > 0] - 1)
+                            at_least = np.flatnonzero(bag)
+                            k += np.float32(weight) * (bag[at_least].astype(np.float32) @ mat[at_least])
+                    out.append((k / np.float32(np.sqrt(n))).tobytes())
+                yield pa.RecordBatch.from_pydict({"v": out, "toxic": part.column(1)}, schema=pa.schema([("v", pa.binary()), ("toxic", pa.int32())]))
+
+    cut = F.posexplode(F.split("text", r"[.!?\n]+")).alias("i", "s")
+    chosen = materialize(sample.select("doc_id", "toxic", cut).where("trim(s) <> ''").orderBy(F.desc("toxic"), F.xxhash64("doc_id", "i")).limit(sentences).select("s", "toxic"))
+    got = chosen.repartition(24).mapInArrow(vectors, "v binary, toxic int").toPandas()
+    k = np.frombuffer(b"".join(got["v"]), dtype=np.float32).reshape(len(got), -1)
     y = got["toxic"].to_numpy(dtype=np.float64)
     gram = (mat.T @ mat).astype(np.float64)
     values, vecs = np.linalg.eigh(gram)
     keep = values > 1e-4 * values.max()
     white = vecs[:, keep] / np.sqrt(values[keep])
-    z = k @ white
+    z = k @ white.astype(np.float32)
+    z = z.astype(np.float64)
     spread = z.std(axis=0).mean() or 1.0
     w = _svm(z / spread, y)
     table = np.zeros(SYMBOLS**ORDER, dtype=np.float32)

@@ -22,7 +22,7 @@ from threadlake.llm.common import free_name
 RESULT = "n_ids long, ids binary, ids_crc32 long, exact boolean"
 SPACE = "\u2581"
 _WORD = re.compile(f"{SPACE}+[^{SPACE}]*")
-CACHE_WORDS, CACHE_PAIRS, SOME_WORDS = 300_000, 1_000_000, 100_000
+CACHE_WORDS, CACHE_PAIRS, SOME_WORDS = 120_000, 200_000, 100_000
 
 
 class Model:

@@ -12,8 +12,8 @@ import numpy as np
 
 #: Words in a generation of a worker's cache.
 CACHE_WORDS = 250_000
-#: White space other than single spaces and line feeds, where a cut before a space could change a token.
-_UNSAFE = re.compile(r"[^\S \n]|\x00|\s (?:\s|\Z)")
+#: Characters whose classes no Unicode version has changed, so that the pattern cuts them here as in the library.
+_PLAIN = re.compile("[\n\x20-\x7e\xa1-\u024f]+")
 
 
 @lru_cache(maxsize=4)
@@ -42,22 +42,53 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@lru_cache(maxsize=1)
+def _pieces() -> Callable[[str], list[str]]:
+    """Cuts a text into the pieces of the byte-level pattern."""
+    import public_tokenizers
+    import regex
+
+    return regex.compile(public_tokenizers.PATTERN).findall
+
+
+class _NoCut(Exception):
+    """White space where a cut before a space could change a token."""
+
+
 class _Words(dict):
-    """Word -> its ids as bytes. Words met are kept in two generations, so common ones stay when space runs out."""
+    """Word -> its ids as bytes. Words met are kept in two generations, so common ones stay when space runs out.
 
-    def __init__(self, encode: Callable[[str], list], dtype: np.dtype):
+    A key that begins with NUL stands for a text without a space before it. A word of several pieces of
+    the byte-level pattern is joined from them. A word with white space inside, or an empty one, raises.
+    """
+
+    def __init__(self, encode: Callable[[str], list], piece: Callable[[str], list], dtype: np.dtype):
         super().__init__()
-        self.encode, self.old = encode, {}
+        self.encode, self.piece, self.old, self.cut = encode, piece, {}, _pieces()
         self.raw = [np.array(i, dtype=dtype).tobytes() for i in range(1 << 16)]
 
     def __missing__(self, word: str) -> bytes:
         ids = self.old.get(word)
         if ids is None:
-            raw = self.raw
-            ids = b"".join([raw[i] for i in self.encode(word[1:] if word[0:1] == "\0" else " " + word)])
+            bare, space = (word[1:], "") if word[:1] == "\0" else (word, " ")
+            if bare.split() != [bare] and bare != "\n":
+                raise _NoCut
+            ids = self._new(word, bare, space + bare)
         self[word] = ids
         return ids
 
+    def _new(self, word: str, bare: str, text: str) -> bytes:
+        raw = self.raw
+        if not (bare.isascii() or _PLAIN.fullmatch(bare)):
+            return b"".join([raw[i] for i in self.encode(text)])
+        if not bare.isalpha():
+            if bare[:-1].isalpha() and not bare[-1].isalnum():
+                return self[word[:-1]] + self["\0" + bare[-1]]
+            parts = self.cut(text)
+            if len(parts) > 1:
+                return b"".join([self[x[1:] if x[0] == " " else "\0" + x] for x in parts])
+        return b"".join([raw[i] for i in self.piece(text)])
+
     def turn(self) -> None:
         self.old = dict(self)
         self.clear()
@@ -67,13 +98,14 @@ class WordEncoder:
     """Exact ids of whole texts from the ids of their words, for vocabularies of up to 65,536 ids.
 
     The byte-level pattern always starts a new piece at a space that follows a visible character, so a
-    text cut there has the ids of its parts. encode maps a string to a list of ids. Texts with other
-    white space before a cut are encoded whole.
+    text cut there has the ids of its parts. So has one cut around a single line feed between visible
+    characters. Texts with other white space are encoded whole. encode maps a string to a list of ids,
+    piece (encode, if absent) a string that is one piece of the pattern.
     """
 
-    def __init__(self, encode: Callable[[str], list], dtype: str):
+    def __init__(self, encode: Callable[[str], list], dtype: str, piece: Callable[[str], list] | None = None):
         self.dtype = np.dtype(dtype)
-        self.words = _Words(encode, self.dtype)
+        self.words = _Words(encode, piece or encode, self.dtype)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian bytes; none for null."""
@@ -82,14 +114,16 @@ class WordEncoder:
         for t in texts:
             if not t:
                 out.append(b"")
-            elif _UNSAFE.search(t) or t[0] == " ":
+                continue
+            try:
+                if "\0" in t:
+                    raise _NoCut
+                parts = ("\0" + t.replace("\n", " \0\n \0")).split(" ")
+                out.append(b"".join([get(x) for x in parts]))
+            except _NoCut:
                 out.append(np.array(words.encode(t), dtype=self.dtype).tobytes())
-            else:
-                parts = t.split(" ")
-                parts[0] = "\0" + parts[0]
-                out.append(b"".join(map(get, parts)))
-                if len(words) > CACHE_WORDS:
-                    words.turn()
+            if len(words) > CACHE_WORDS:
+                words.turn()
         return out
 
 
@@ -103,10 +137,6 @@ def tiktoken_words(path: str, dtype: str = "<u4") -> WordEncoder:
     return _ENCODERS[key]
 
 
-#: Words of Latin letters and at most one mark after them: one or two pieces of the byte-level pattern.
-_SIMPLE = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?|]?)")
-
-
 def _byte_letters() -> dict[int, str]:
     """The byte-level alphabet: printable bytes stand for themselves, the others for U+0100 and on."""
     shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -115,18 +145,15 @@ def _byte_letters() -> dict[int, str]:
 
 
 def tokenizer_words(path: str, dtype: str = "<u4") -> WordEncoder:
-    """A byte-level tokenizer's encoder. Simple words go to the library's model piece by piece, others through all of it."""
+    """A byte-level tokenizer's encoder: the library's model gets the words' pieces, each once while it is cached."""
     key = ("tokenizers", path, dtype)
     if key not in _ENCODERS:
         t = tokenizer(path)
         model, letters = t.model.tokenize, _byte_letters()
 
-        def one(x: str) -> list[int]:
-            m = _SIMPLE.fullmatch(x)
-            if not m:
-                return t.encode(x, add_special_tokens=False).ids
-            ids = [k.id for k in model(m[1].encode().decode("latin-1").translate(letters))]
-            return ids + [k.id for k in model(m[2])] if m[2] else ids
+        def piece(x: str) -> list[int]:
+            shown = x.replace(" ", letters[32]) if x.isascii() and x.isprintable() else x.encode().decode("latin-1").translate(letters)
+            return [k.id for k in model(shown)]
 
-        _ENCODERS[key] = WordEncoder(one, dtype)
+        _ENCODERS[key] = WordEncoder(lambda x: t.encode(x, add_special_tokens=False).ids, dtype, piece)
     return _ENCODERS[key]

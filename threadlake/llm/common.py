@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -46,6 +49,24 @@ def discard(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_HELD: dict = {}
+
+
+def held(key: tuple, build: Callable):
+    """A Python worker's one large object: built on first use, dropped when another key is asked for.
+
+    A worker outlives its stage, so the models of a pipeline's earlier stages would else stay in memory.
+    """
+    if key not in _HELD:
+        _HELD.clear()
+        gc.collect()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+        _HELD[key] = build()
+    return _HELD[key]
+
+
 def lower_ascii(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadlake.llm.common import free_name, lower_ascii, materialize
+from threadlake.llm.common import free_name, held, lower_ascii, materialize
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same before lower-casing.
@@ -22,7 +22,6 @@ RESULT = "n_words long, n_hit long, items array<string>, starts array<long>, end
 #: Bytes of windows in one automaton. More windows make more automata, each its own pass over the texts.
 BLOCK_BYTES = 32 << 20
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
-_AUTOMATA: dict = {}
 
 
 def benchmark_windows(benchmark: DataFrame, width: int = 10) -> DataFrame:
@@ -36,16 +35,17 @@ def benchmark_windows(benchmark: DataFrame, width: int = 10) -> DataFrame:
 
 
 def _automaton(key, windows):
+    return held(("automaton", key), lambda: _built(windows))
+
+
+def _built(windows):
     import ahocorasick
 
-    if key not in _AUTOMATA:
-        _AUTOMATA.clear()
-        a = ahocorasick.Automaton()
-        for window, items in windows:
-            a.add_word(f" {window} ", (window.count(" ") + 1, items))
-        a.make_automaton()
-        _AUTOMATA[key] = a
-    return _AUTOMATA[key]
+    a = ahocorasick.Automaton()
+    for window, items in windows:
+        a.add_word(f" {window} ", (window.count(" ") + 1, items))
+    a.make_automaton()
+    return a
 
 
 def scan(text: str | None, automaton) -> tuple[int, int, list[str], list[int], list[int]]:

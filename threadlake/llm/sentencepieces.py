@@ -10,14 +10,13 @@ before it stands the merges; this gives the library's ids.
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadlake.llm.common import free_name
+from threadlake.llm.common import free_name, held
 
 RESULT = "n_ids long, ids binary, ids_crc32 long, exact boolean"
 SPACE = "\u2581"
@@ -143,9 +142,8 @@ class Model:
         return text[1:] if text.startswith(" ") else text
 
 
-@lru_cache(maxsize=2)
 def model(path: str) -> Model:
-    return Model(path)
+    return held(("pieces", path), lambda: Model(path))
 
 
 def piece_ids(path: str):

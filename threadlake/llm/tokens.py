@@ -10,14 +10,19 @@ from functools import lru_cache
 
 import numpy as np
 
+from threadlake.llm.common import held
+
 #: Words in a generation of a worker's cache.
 CACHE_WORDS = 250_000
 #: Characters whose classes no Unicode version has changed, so that the pattern cuts them here as in the library.
 _PLAIN = re.compile("[\n\x20-\x7e\xa1-\u024f]+")
 
 
-@lru_cache(maxsize=4)
 def tiktoken_encoding(path: str):
+    return held(("tiktoken", path), lambda: _tiktoken(path))
+
+
+def _tiktoken(path: str):
     import public_tokenizers
     import tiktoken
 
@@ -26,7 +31,6 @@ def tiktoken_encoding(path: str):
     return tiktoken.Encoding(os.path.basename(path), pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-@lru_cache(maxsize=4)
 def tokenizer(path: str):
     from tokenizers import Tokenizer
 
@@ -127,14 +131,8 @@ class WordEncoder:
         return out
 
 
-_ENCODERS: dict = {}
-
-
 def tiktoken_words(path: str, dtype: str = "<u4") -> WordEncoder:
-    key = ("tiktoken", path, dtype)
-    if key not in _ENCODERS:
-        _ENCODERS[key] = WordEncoder(tiktoken_encoding(path).encode_ordinary, dtype)
-    return _ENCODERS[key]
+    return held(("tiktoken words", path, dtype), lambda: WordEncoder(_tiktoken(path).encode_ordinary, dtype))
 
 
 def _byte_letters() -> dict[int, str]:
@@ -146,8 +144,8 @@ def _byte_letters() -> dict[int, str]:
 
 def tokenizer_words(path: str, dtype: str = "<u4") -> WordEncoder:
     """A byte-level tokenizer's encoder: the library's model gets the words' pieces, each once while it is cached."""
-    key = ("tokenizers", path, dtype)
-    if key not in _ENCODERS:
+
+    def build() -> WordEncoder:
         t = tokenizer(path)
         model, letters = t.model.tokenize, _byte_letters()
 
@@ -155,5 +153,6 @@ def tokenizer_words(path: str, dtype: str = "<u4") -> WordEncoder:
             shown = x.replace(" ", letters[32]) if x.isascii() and x.isprintable() else x.encode().decode("latin-1").translate(letters)
             return [k.id for k in model(shown)]
 
-        _ENCODERS[key] = WordEncoder(lambda x: t.encode(x, add_special_tokens=False).ids, dtype, piece)
-    return _ENCODERS[key]
+        return WordEncoder(lambda x: t.encode(x, add_special_tokens=False).ids, dtype, piece)
+
+    return held(("tokenizers", path, dtype), build)

@@ -18,31 +18,16 @@ FILE_TEXT_BYTES = 12 << 20
 
 
 def write_token_files(docs: DataFrame, vocabulary: str, eod: int, file_bytes: int = FILE_TEXT_BYTES, width: int = 2) -> DataFrame:
-    """Write the ids of all texts, eod after each, in order of the key, to flat little-endian files.
+    """Write the ids of all texts, eod after each, in the order the rows are read, to flat little-endian files.
 
     Returns (file, n_bytes, doc_ids): the listing, which the scan doesn't need. Null texts are empty
-    documents; rows of one doc_id stand in order of their ids; a null doc_id comes first. Texts are
-    encoded where they are read, so that ids are shuffled, not texts.
+    documents. Nothing is shuffled: each task writes the rows of its own part of docs, in files of about
+    file_bytes. Sort docs first where the files shall follow a key.
     """
-    spark, base = docs.sparkSession, shared_dir(docs.sparkSession)
-    total = docs.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
-    n_files, dtype = max(1, -(-total // file_bytes)), f"<u{width}"
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    cuts = [i / n_files for i in range(1, n_files)]
-    bounds = np.array((rows.agg(F.percentile_approx("doc_id", cuts, 20 * n_files)).first()[0] if cuts else None) or [], dtype=np.int64)
-    end = np.array([eod], dtype=dtype).tobytes()
-
-    def encode(batches):
-        words = tiktoken_words(vocabulary, dtype)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                some = batch.slice(at, 512)
-                keys = some.column(0).to_pylist()
-                parts = [0 if k is None else int(np.searchsorted(bounds, k, side="left")) for k in keys]
-                yield pa.RecordBatch.from_pydict({"part": parts, "doc_id": keys, "ids": [x + end for x in words.encode(some.column(1).to_pylist())]}, schema=coded)
+    base, end, dtype = shared_dir(docs.sparkSession), np.array([eod], dtype=f"<u{width}").tobytes(), f"<u{width}"
 
     def write(batches):
-        part, ids, parts, size, k = TaskContext.get().partitionId(), [], [], 0, 0
+        words, part, ids, parts, size, k = tiktoken_words(vocabulary, dtype), TaskContext.get().partitionId(), [], [], 0, 0
 
         def row():
             uri = f"{base}/{part:08d}-{k:06d}.bin"
@@ -50,20 +35,20 @@ def write_token_files(docs: DataFrame, vocabulary: str, eod: int, file_bytes: in
             return pa.RecordBatch.from_pydict({"file": [uri], "n_bytes": [size], "doc_ids": [ids]}, schema=schema)
 
         for batch in batches:
-            for key, some in zip(batch.column(1), batch.column(2)):
-                parts.append(some.as_py())
-                ids.append(key.as_py())
-                size += len(parts[-1])
-                if size >= 2 * file_bytes:
-                    yield row()
-                    ids, parts, size, k = [], [], 0, k + 1
+            for at in range(0, batch.num_rows, 64):
+                some = batch.slice(at, 64)
+                for key, coded in zip(some.column(0).to_pylist(), words.encode(some.column(1).to_pylist())):
+                    parts += [coded, end]
+                    ids.append(key)
+                    size += len(coded) + width
+                    if size >= file_bytes:
+                        yield row()
+                        ids, parts, size, k = [], [], 0, k + 1
         if ids:
             yield row()
 
-    coded = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("ids", pa.binary())])
     schema = pa.schema([("file", pa.string()), ("n_bytes", pa.int64()), ("doc_ids", pa.list_(pa.int64()))])
-    ordered = rows.mapInArrow(encode, "part int, doc_id long, ids binary").repartitionById(n_files, F.col("part")).sortWithinPartitions("doc_id", "ids")
-    return materialize(ordered.mapInArrow(write, "file string, n_bytes long, doc_ids array<long>"))
+    return materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(write, "file string, n_bytes long, doc_ids array<long>"))
 
 
 def scan_separators(files: DataFrame, eod: int, width: int = 2, block_bytes: int = BLOCK_BYTES) -> DataFrame:

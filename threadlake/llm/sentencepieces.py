@@ -4,7 +4,8 @@ The distinct marked words of a batch are sorted, which is a depth-first walk of
 forward states of a common prefix are kept from word to word. The public model is of BPE type, where
 the best path isn't the one of highest summed score: a path is right if each two neighbouring pieces
 would be merged into nothing else. So a state keeps the one last piece whose pair with the piece
-before it stands the merges; this gives the library's ids.
+before it stands the merges; this gives the library's ids. An automaton of the pieces names those
+that end at a character, so that no other is tried.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from threadlake.llm.common import free_name, held
 RESULT = "n_ids long, ids binary, ids_crc32 long, exact boolean"
 SPACE = "\u2581"
 _WORD = re.compile(f"{SPACE}+[^{SPACE}]*")
-CACHE_WORDS, CACHE_PAIRS, SOME_WORDS = 120_000, 200_000, 100_000
+CACHE_WORDS, CACHE_PAIRS, SOME_WORDS = 150_000, 200_000, 500_000
 
 
 class Model:
@@ -34,40 +35,102 @@ class Model:
         self.pieces = [self.sp.id_to_piece(i) for i in range(n)]
         self.ids = {self.pieces[i]: i for i in plain}
         self.rank = {self.pieces[i]: -self.sp.get_score(i) for i in plain}
-        self.longest = max(map(len, self.ids))
         self.bytes = [self.sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.raw = [p.encode() for p in self.pieces]
         for b, i in enumerate(self.bytes):
             self.raw[i] = bytes([b])
         if any(SPACE in p.lstrip(SPACE) for p in self.ids):
             raise ValueError("pieces of this model span words")
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.start = len(self.pieces) + 0x110000  # stands before the first piece; a character that is no piece is n + its code point
+        self.coded = [np.array([i], dtype=self.dtype).tobytes() for i in range(n)]
+        self._trie({p: i for p, i in self.ids.items()})
+        self.courses: dict[int, list | None] = {}
+        self.pairs: dict[int, bool] = {}
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
-    def merged(self, text: str) -> list[str]:
-        """The pieces that merging gives: again and again the neighbours that make the best piece, leftmost first."""
-        parts, rank = list(text), self.rank
-        while len(parts) > 1:
-            best = min((rank.get(a + b, 1e18), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
-            if best[0] == 1e18:
-                break
-            parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
-        return parts
-
-    def stands(self, a: str, b: str) -> bool:
-        """Whether merging leaves a and b as neighbours, for pieces or single unknown characters."""
-        key = (a, b)
+    def _trie(self, ids: dict[str, int]) -> None:
+        """States of an automaton of all pieces: children, the state to fall back to, and the pieces that end there, longest first."""
+        self.go: list[dict[str, int]] = [{}]
+        ends = [-1]
+        for piece, i in ids.items():
+            s = 0
+            for ch in piece:
+                t = self.go[s].get(ch)
+                if t is None:
+                    t = self.go[s][ch] = len(self.go)
+                    self.go.append({})
+                    ends.append(-1)
+                s = t
+            ends[s] = i
+        self.fail = [0] * len(self.go)
+        self.outs: list[tuple[tuple[int, int], ...]] = [()] * len(self.go)
+        level = [0]
+        while level:
+            after = []
+            for s in level:
+                for ch, t in self.go[s].items():
+                    f = self.fail[s]
+                    while f and ch not in self.go[f]:
+                        f = self.fail[f]
+                    self.fail[t] = self.go[f].get(ch, 0) if s else 0
+                    i = ends[t]
+                    self.outs[t] = (((len(self.pieces[i]), i),) if i >= 0 else ()) + self.outs[self.fail[t]]
+                    after.append(t)
+            level = after
+
+    def course(self, piece: int) -> list[tuple[float, str, str]] | None:
+        """The merges that make a piece of its characters, as (rank, first part, last part) after each; None if merging makes something else."""
+        if piece >= len(self.pieces):
+            ch = chr(piece - len(self.pieces))
+            return [(0.0, ch, ch)]
+        if piece not in self.courses:
+            parts, rank = list(self.pieces[piece]), self.rank
+            steps = [(0.0, parts[0], parts[-1])]
+            while len(parts) > 1:
+                best, i = min((rank.get(a + b, 1e18), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
+                if best == 1e18:
+                    steps = None
+                    break
+                parts[i : i + 2] = [parts[i] + parts[i + 1]]
+                steps.append((best, parts[0], parts[-1]))
+            self.courses[piece] = steps
+        return self.courses[piece]
+
+    def stands(self, a: int, b: int) -> bool:
+        """Whether merging leaves a and b as neighbours: no step of the two courses, taken by rank, lets the parts at their border merge first."""
+        key = a << 22 | b
         ok = self.pairs.get(key)
         if ok is None:
             if len(self.pairs) >= CACHE_PAIRS:
                 self.pairs.clear()
-            ok = self.pairs[key] = self.merged(a + b) == [a, b]
+            ok = self.pairs[key] = self._stands(a, b)
         return ok
 
+    def _stands(self, a: int, b: int) -> bool:
+        right = self.course(b)
+        if a == self.start or right is None:
+            return right is not None
+        left, rank = self.course(a), self.rank
+        i = j = 0
+        while True:
+            border = rank.get(left[i][2] + right[j][1], 1e18)
+            x = left[i + 1][0] if i + 1 < len(left) else 1e18
+            y = right[j + 1][0] if j + 1 < len(right) else 1e18
+            if border < x and border <= y:  # among equal ranks the leftmost merges first
+                return False
+            if x == y == 1e18:
+                return True
+            if x <= y:
+                i += 1
+            else:
+                j += 1
+
     def encode_sorted(self, words: list[str]) -> list[bytes]:
         """Ids of sorted distinct marked words as little-endian 16- or 32-bit numbers."""
-        ids, longest, stands = self.ids, self.longest, self.stands
-        last: list[str] = []  # the last piece of the best path to each prefix
+        go, fail, outs, pairs, stands = self.go, self.fail, self.outs, self.pairs, self.stands
+        n, pieces, coded = len(self.pieces), self.pieces, self.coded
+        states, last = [0], [self.start]  # of each prefix: its state, and the last piece of its path
         before, out = "", []
         for w in words:
             common = 0
@@ -75,26 +138,38 @@ class Model:
                 if x != y:
                     break
                 common += 1
-            del last[common:]
-            for d in range(common + 1, len(w) + 1):
-                for k in range(min(d, longest), 0, -1):
-                    piece = w[d - k : d]
-                    if (piece in ids or k == 1) and (k == d or stands(last[d - k - 1], piece)):
-                        last.append(piece)
+            del last[common + 1 :], states[common + 1 :]
+            s, d = states[common], common
+            for ch in w[common:]:
+                d += 1
+                t = go[s].get(ch)
+                while t is None and s:
+                    s = fail[s]
+                    t = go[s].get(ch)
+                s = t or 0
+                states.append(s)
+                for k, p in outs[s]:
+                    q = last[d - k]
+                    ok = pairs.get(q << 22 | p)
+                    if ok or (ok is None and stands(q, p)):
+                        last.append(p)
                         break
                 else:
-                    raise ValueError("no path to a prefix of a word")
+                    p = n + ord(ch)
+                    if ch in self.ids or not stands(last[d - 1], p):
+                        raise ValueError("no path to a prefix of a word")
+                    last.append(p)
             path, d = [], len(w)
             while d:
-                path.append(last[d - 1])
-                d -= len(path[-1])
-            coded: list[int] = []
-            for p in reversed(path):
-                if p in ids:
-                    coded.append(ids[p])
+                p = last[d]
+                if p < n:
+                    path.append(coded[p])
+                    d -= len(pieces[p])
                 else:
-                    coded += [self.bytes[b] for b in p.encode("utf-8", "surrogatepass")]
-            out.append(np.array(coded, dtype=self.dtype).tobytes())
+                    path.append(b"".join(coded[self.bytes[x]] for x in chr(p - n).encode("utf-8", "surrogatepass")))
+                    d -= 1
+            path.reverse()
+            out.append(b"".join(path))
             before = w
         return out
 
@@ -125,12 +200,13 @@ class Model:
     def _some(self, some: list[tuple[int, list[str]]], out: list[bytes]) -> None:
         if not some:
             return
-        every = set().union(*(w for _, w in some))
-        new = every.difference(self.words)
+        new = set().union(*(w for _, w in some)).difference(self.words)
         if len(self.words) + len(new) > CACHE_WORDS:
-            self.words.clear()
-            new = every
-        new = sorted(new)
+            self.older, self.words = self.words, {}
+            new = set().union(*(w for _, w in some))
+        again = new.intersection(self.older)
+        self.words.update((w, self.older[w]) for w in again)
+        new = sorted(new - again)
         self.words.update(zip(new, self.encode_sorted(new)))
         get = self.words.__getitem__
         for i, words in some:

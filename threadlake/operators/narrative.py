@@ -54,6 +54,37 @@ def segment_summary(seg: DataFrame) -> DataFrame:
     return out.select(*by, "first_session", "sessions", "message_count", "dominant_emotion", F.col("archetype").alias("dominant_archetype"), (F.col("_c") & F.col("_r")).alias("conflict_repair_cycle"))
 
 
+def with_chapters(segments: DataFrame, target: int = 6) -> DataFrame:
+    """Segments (segment_no, message_count) with chapter_no: filled to an equal share of messages while segments last.
+
+    Filling starts anew after each chapter, which no window can say, so it is a fold over the archive's
+    segment counts. Its state holds at most `target` ends; an archive has some thousands of segments, 16 bytes each.
+    """
+    counts = F.transform(F.array_sort(F.collect_list(F.struct("segment_no", "message_count"))), lambda x: F.struct(x["segment_no"].cast("long").alias("no"), x["message_count"].cast("long").alias("n")))
+    per_archive = segments.groupBy("archive_id").agg(counts.alias("counts"), F.sum("message_count").alias("total"), F.count("*").alias("size"))
+    wanted = F.least(F.lit(target), F.col("size"))
+    share = F.greatest(F.lit(1), F.ceil(F.col("total") / wanted))
+
+    def step(state, x):
+        running, left = state["running"] + x["n"], wanted - F.size(state["ends"]) - 1
+        full = (running >= share) & ((F.col("size") - state["at"] - 1 >= left) | (left <= 0))
+        ends = F.when(full, F.concat(state["ends"], F.array(x["no"]))).otherwise(state["ends"])
+        return F.struct(F.when(full, F.lit(0).cast("long")).otherwise(running).alias("running"), (state["at"] + 1).alias("at"), ends.alias("ends"))
+
+    start = F.struct(F.lit(0).cast("long").alias("running"), F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("ends"))
+    ends = per_archive.select("archive_id", F.aggregate("counts", start, step)["ends"].alias("_ends"))
+    before = F.size(F.filter("_ends", lambda e: e < F.col("segment_no")))
+    return segments.join(ends, "archive_id").withColumn("chapter_no", (before + 1).cast("long")).drop("_ends")
+
+
+def chapter_summary(chapters: DataFrame) -> DataFrame:
+    """Of segments with chapter_no: first segment, segments, messages, and the emotion most segments have (ties: met first)."""
+    by = ["archive_id", "chapter_no"]
+    base = chapters.groupBy(*by).agg(F.min("segment_no").alias("first_segment"), F.count("*").alias("segments"), F.sum("message_count").alias("message_count"))
+    mood = label_rank(chapters, by, "dominant_emotion", F.col("segment_no"), 1)
+    return base.join(mood.select(*by, "dominant_emotion"), by)
+
+
 def highlights(a: DataFrame, limit: int = 60) -> DataFrame:
     """Candidates by importance, the best row of each text; filtered before the shuffle."""
     c = a.where("message_type = 'text' and highlight_candidate")

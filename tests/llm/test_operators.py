@@ -340,6 +340,31 @@ def test_toxicity(spark):
     assert hit.mean() > 0.95 and auc > 0.95
 
 
+def test_toxicity_sentences(spark):
+    """More toxic sentences than the bound: both classes still have their half, and no long document takes it all."""
+    data = [(i, " ".join(f"{'word' if i else 'long'}{i} number{j}." for j in range(3000 if i == 0 else 40)), int(i < 30)) for i in range(90)]
+    sample = spark.createDataFrame(data, "doc_id long, text string, toxic int")
+    for bound, want in ((200, (100, 100)), (5000, (2600, 2400)), (100_000, (3000 + 29 * 40, 2400))):
+        got, toxic, clean = toxicity._sentences(sample, bound)
+        rows = got.collect()
+        assert (toxic, clean) == want == (sum(r["toxic"] for r in rows), sum(1 - r["toxic"] for r in rows))
+        if bound == 200:
+            assert sum("long" in r["s"] for r in rows) < 30
+
+
+def test_toxicity_bound(spark):
+    """The bound lies below the toxic sentences, as it does on inputs of more than 12,000 learnable labels."""
+    sf = "/root/testdata/sf0.1"
+    d, lab = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    some = d.join(lab, "doc_id", "left_semi")
+    m = toxicity.fit(some, lab, sentences=6000)
+    got = toxicity.score_documents(some.where(toxicity.held_out(F.col("doc_id"))), m).join(lab, "doc_id").select("toxic", "score").toPandas()
+    ranks, n1, n0 = got["score"].rank(), (got["toxic"] == 1).sum(), (got["toxic"] == 0).sum()
+    auc = (ranks[got["toxic"] == 1].sum() - n1 * (n1 + 1) / 2) / (n1 * n0)
+    print("held out", len(got), "accuracy", ((got["score"] >= toxicity.THRESHOLD) == (got["toxic"] == 1)).mean(), "auc", auc)
+    assert auc > 0.93
+
+
 def test_toxicity_odd(spark, odd, none):
     lab = spark.createDataFrame([(4, 1, 1), (5, 0, 0), (6, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
     for labels in (lab, lab.limit(0), lab.limit(1)):

@@ -16,7 +16,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadlake.llm.common import free_name, materialize
@@ -24,6 +24,8 @@ from threadlake.llm.common import free_name, materialize
 ORDER, SPAN, DECAY, LANDMARKS = 4, 6, 0.7, 192
 #: The bounded sample of labelled rows that the machine learns from, by a hash of the id; and of their sentences.
 TRAIN_ROWS, TRAIN_SENTENCES = 12_000, 30_000
+#: A document's sentences beyond these, by hash, are taken only where there is room after all documents' first ones.
+DOCUMENT_SENTENCES = 100
 THRESHOLD = 0.3
 #: Symbols: 0 dropped, 1 between words, 2 end of sentence, then letters; 39 is any other letter or digit.
 SYMBOLS = 40
@@ -155,6 +157,24 @@ def _sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
     return materialize(docs.select("doc_id", "text").where("text is not null").join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.max("toxic").alias("toxic")))
 
 
+def _sentences(sample: DataFrame, bound: int, each: int = DOCUMENT_SENTENCES) -> tuple[DataFrame, int, int]:
+    """(s, toxic) of at most `bound` sentences, by hash, and how many are of toxic and of other documents.
+
+    Each class gets half of the bound, and what the other leaves of its half.
+    """
+    cut = F.posexplode(F.split("text", r"[.!?\n]+")).alias("i", "s")
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("h", "i"))
+    all_ = sample.select("doc_id", "toxic", cut).where("trim(s) <> ''").withColumn("h", F.xxhash64("doc_id", "i"))
+    # another hash for the choice among documents: a long one's first sentences have the least of h
+    all_ = materialize(all_.withColumn("late", nth > each).select("s", "toxic", "late", F.xxhash64("h", F.lit(1)).alias("h")))
+    n = {r["toxic"]: r["count"] for r in all_.groupBy("toxic").count().collect()}
+    n1, n0 = n.get(1, 0), n.get(0, 0)
+    take1 = min(n1, max(bound // 2, bound - n0))
+    take0 = min(n0, bound - take1)
+    some = [all_.where(F.col("toxic") == y).orderBy("late", "h", "s").limit(k).select("s", "toxic") for y, k in ((1, take1), (0, take0))]
+    return some[0].unionByName(some[1]), take1, take0
+
+
 def _landmarks(sample: DataFrame, count: int) -> list[str]:
     """Words and word beginnings that tell the classes apart, and the commonest words as background.
 
@@ -206,8 +226,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, sentences: i
     """Learn from at most `rows` labelled documents and `sentences` of their sentences.
 
     Kernel values are computed in tasks; the driver gets one vector a sentence and one row of POOLED
-    numbers a document, both bounded. Without rows of both classes every score is the share of toxic
-    ones, or 0 without any.
+    numbers a document, both bounded. Without rows or sentences of both classes every score is the share
+    of toxic ones, or 0 without any.
     """
     sample = _sample(docs, labels, rows)
     n, positive = sample.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
@@ -215,6 +235,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, sentences: i
     if not 0 < positive < n:
         bias = 30.0 if n and positive else -30.0
         return Machine(np.zeros(SYMBOLS**ORDER, np.float32), 0.0, np.append(flat, bias), flat, np.ones(POOLED))
+    chosen, toxic, clean = _sentences(sample, sentences)
+    if not toxic or not clean:
+        return Machine(np.zeros(SYMBOLS**ORDER, np.float32), 0.0, np.append(flat, 30.0 if toxic else -30.0), flat, np.ones(POOLED))
     marks = _landmarks(sample, landmarks)
     f = [features(m) for m in marks]
     dims = {k: i for i, k in enumerate(sorted(set().union(*f)))}
@@ -244,11 +267,10 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, sentences: i
                     out.append((k / np.float32(np.sqrt(n))).tobytes())
                 yield pa.RecordBatch.from_pydict({"v": out, "toxic": part.column(1)}, schema=pa.schema([("v", pa.binary()), ("toxic", pa.int32())]))
 
-    cut = F.posexplode(F.split("text", r"[.!?\n]+")).alias("i", "s")
-    chosen = materialize(sample.select("doc_id", "toxic", cut).where("trim(s) <> ''").orderBy(F.desc("toxic"), F.xxhash64("doc_id", "i")).limit(sentences).select("s", "toxic"))
-    got = chosen.repartition(24).mapInArrow(vectors, "v binary, toxic int").toPandas()
+    got = materialize(chosen).repartition(24).mapInArrow(vectors, "v binary, toxic int").toPandas()
     k = np.frombuffer(b"".join(got["v"]), dtype=np.float32).reshape(len(got), -1)
     y = got["toxic"].to_numpy(dtype=np.float64)
+    assert 0 < y.sum() < len(y), "the machine needs sentences of both classes"
     gram = (mat.T @ mat).astype(np.float64)
     values, vecs = np.linalg.eigh(gram)
     keep = values > 1e-4 * values.max()

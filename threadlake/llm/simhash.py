@@ -157,14 +157,19 @@ def as_hex(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The document of smallest doc_id of each component; of rows that share that id, one. Columns as they were.
+def keep_least(docs: DataFrame, found: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The document of smallest doc_id of each component in found; of rows that share that id, one. Columns as they were.
 
     Rows without a doc_id stay: nothing tells which of a group they are.
     """
     name = free_name(docs, "component")
-    kept = materialize(near_duplicates(docs, key, text).where("doc_id = component_id").select(F.col("doc_id").alias(name)).distinct())
+    kept = materialize(found.where("doc_id = component_id").select(F.col("doc_id").alias(name)).distinct())
     nth = free_name(docs, "nth")
     one = Window.partitionBy(key).orderBy(F.xxhash64(text))
     stay = docs.join(kept, docs[key] == F.col(name), "left_semi").withColumn(nth, F.row_number().over(one)).where(F.col(nth) == 1).drop(nth)
     return stay.unionByName(docs.where(F.col(key).isNull()))
+
+
+def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The document of smallest doc_id of each component of near_duplicates stays."""
+    return keep_least(docs, near_duplicates(docs, key, text), key, text)

@@ -227,6 +227,18 @@ def test_sketch_merges(spark):
     assert r["m"] == r["ab"] and r["in"] == 1.0
 
 
+def test_sketch_of_short_texts(spark):
+    """Texts of 10 words inside a long one: most have no hash below the threshold."""
+    w = [f"w{i}" for i in range(1000)]
+    data = [(2 * i, " ".join(w[25 * i : 25 * i + 10])) for i in range(40)] + [(2 * i + 1, " ".join(w)) for i in range(40)]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    got = {r["doc_id"]: r["near_next"] for r in fingerprints.fingerprint_documents(docs).collect()}
+    assert len(got) == 80 and set(got.values()) == {1.0}
+    low, stray, other = [5, 9], [(1 << 60) + 3], [(1 << 60) + 1]
+    r = spark.createDataFrame([(low, stray, other)], "a array<long>, b array<long>, c array<long>").select(fingerprints.merge(F.col("a"), F.col("b")), fingerprints.merge(F.col("b"), F.col("c")), fingerprints.merge(F.array().cast("array<long>"), F.array().cast("array<long>"))).first()
+    assert tuple(r) == (low, other, [])
+
+
 def test_sentencepiece(spark, docs, odd, none):
     sp = sentencepieces.model(PIECES).sp
     for df in (docs, odd):

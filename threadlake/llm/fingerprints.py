@@ -19,32 +19,55 @@ def sketch(text: Column, words: int = WORDS, scale: int = SCALE) -> Column:
     is low enough the smallest is kept, so only wordless or null texts have an empty sketch. Sketches of
     parts merge by union.
     """
+    def low(h: Column) -> Column:
+        kept = F.array_sort(F.array_distinct(F.filter(h, lambda x: x < (1 << (63 - scale)))))
+        return F.when((F.size(kept) == 0) & (F.size(h) > 0), F.array(F.array_min(h))).otherwise(kept)
+
+    # one-element arrays bind the inner values, which would be computed again at each use
+    return F.transform(_bound_hashes(text, words), low)[0]
+
+
+def _bound_hashes(text: Column, words: int) -> Column:
+    """An array of one element: the hashes of all shingles of the text."""
     w = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda x: x != "")
 
     def hashes(w: Column) -> Column:
         at = F.sequence(F.lit(0), F.greatest(F.size(w) - words, F.lit(0)))
         return F.when(F.size(w) > 0, F.transform(at, lambda i: F.shiftrightunsigned(F.xxhash64(*(F.get(w, i + k) for k in range(words))), 1))).otherwise(F.array().cast("array<long>"))
 
-    def low(h: Column) -> Column:
-        kept = F.array_sort(F.array_distinct(F.filter(h, lambda x: x < (1 << (63 - scale)))))
-        return F.when((F.size(kept) == 0) & (F.size(h) > 0), F.array(F.array_min(h))).otherwise(kept)
+    return F.transform(F.array(w), hashes)
 
-    # one-element arrays bind the inner values, which would be computed again at each use
-    return F.transform(F.transform(F.array(w), hashes), low)[0]
+
+def _stray(s: Column, scale: int = SCALE) -> Column:
+    """Whether a sketch holds but the smallest hash of a text without low ones."""
+    return F.coalesce(F.array_min(s) >= (1 << (63 - scale)), F.lit(False))
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Share of the smaller sketch that is in the other: an estimate of containment; 1 for two empty ones."""
+def _share(a: Column, b: Column) -> Column:
     least = F.least(F.size(a), F.size(b))
     return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).when(least == 0, 0.0).otherwise(F.size(F.array_intersect(a, b)) / least)
 
 
+def likeness(a: Column, b: Column, text_a: Column | None = None, text_b: Column | None = None) -> Column:
+    """Share of the smaller sketch that is in the other: an estimate of containment; 1 for two empty ones.
+
+    The lone hash of a text without low ones is in no sketch of a longer text. With the texts given, such
+    a pair is compared by all its shingles.
+    """
+    if text_a is None or text_b is None:
+        return _share(a, b)
+    every = F.transform(F.array(F.struct(*(F.array_distinct(_bound_hashes(t, WORDS)[0]).alias(n) for t, n in ((text_a, "a"), (text_b, "b"))))), lambda p: _share(p["a"], p["b"]))[0]
+    return F.when(_stray(a) | _stray(b), every).otherwise(_share(a, b))
+
+
 def as_text(s: Column) -> Column:
     return F.array_join(F.transform(s, lambda x: F.lpad(F.lower(F.hex(x)), 16, "0")), "")
 
 
 def merge(a: Column, b: Column) -> Column:
-    return F.array_sort(F.array_union(a, b))
+    """The sketch of both parts: the hash of a part without low ones goes where a lower one exists."""
+    both = F.array_sort(F.array_union(a, b))
+    return F.when(_stray(both), F.slice(both, 1, 1)).otherwise(F.filter(both, lambda x: x < (1 << (63 - SCALE))))
 
 
 def _bucket(key: Column, bounds: list[int]) -> Column:
@@ -96,8 +119,8 @@ def fingerprint_documents(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) ->
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row."""
     d = with_next(docs, bucket_bytes)
     d = d.withColumn("edited", edited(F.col("text"), F.col("next_text")))
-    d = d.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "sketch", "next_sketch", sketch(F.col("edited")).alias("edited_sketch"))
+    d = d.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "text", "edited", "next_text", "sketch", "next_sketch", sketch(F.col("edited")).alias("edited_sketch"))
     return d.select(
         "doc_id", "n_chars", "edited_sha256", as_text(F.col("sketch")).alias("fingerprint"), as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
-        likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"), likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+        likeness(F.col("sketch"), F.col("edited_sketch"), F.col("text"), F.col("edited")).alias("near_edited"), likeness(F.col("sketch"), F.col("next_sketch"), F.col("text"), F.col("next_text")).alias("near_next"),
     )

@@ -67,6 +67,14 @@ def held(key: tuple, build: Callable):
     return _HELD[key]
 
 
+def small_batches(batches, n_bytes: int):
+    """The rows of Arrow batches in slices of about n_bytes each, one row at least."""
+    for batch in batches:
+        n = max(1, batch.num_rows * n_bytes // max(1, batch.nbytes))
+        for at in range(0, batch.num_rows, n):
+            yield batch.slice(at, n)
+
+
 def lower_ascii(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
@@ -93,6 +101,25 @@ def prefix_sum(df: DataFrame, order: str, value: str, name: str, group: int = 10
     return own.join(totals, "_g").withColumn(name, (F.col("_own") + F.col("_before")).cast("long")).drop("_g", "_own", "_before")
 
 
+def running(df: DataFrame, order: list[str], value: str, index: str, start: str, rows: int = 1 << 20) -> DataFrame:
+    """df with each row's place in the order (from 0) and the sum of `value` over all rows before it.
+
+    Rows are dealt to ranges of the order, numbered within them, and moved by the totals of the ranges
+    before: no task has more than about `rows` rows, and no more than the number of ranges meet in one.
+    Columns of the order should tell all rows apart; rows that agree in all of them may swap.
+    """
+    n = max(1, -(-df.count() // rows))
+    dealt = df.repartitionByRange(n, *order).sortWithinPartitions(*order).select("*", F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_i"))
+    dealt = materialize(dealt)
+    totals = dealt.groupBy("_p").agg(F.count("*").alias("_n"), F.sum(value).alias("_v"))
+    ahead = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("_p", *(F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias(c) for c in ("_n", "_v")))
+    own = F.coalesce(F.sum(value).over(Window.partitionBy("_p").orderBy("_i").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = dealt.withColumn("_own", own).join(F.broadcast(totals), "_p")
+    at = F.col("_i").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.withColumns({index: (at + F.col("_n")).cast("long"), start: (F.col("_own") + F.col("_v")).cast("long")}).drop("_p", "_i", "_n", "_v", "_own")
+
+
 def open_fs(uri: str):
     """(filesystem, path) of a URI, in a task or on the driver: file, hdfs, s3 and gs by pyarrow."""
     from pyarrow import fs
@@ -109,7 +136,12 @@ def write_file(uri: str, data: bytes) -> None:
     part = f"{path}.{uuid.uuid4().hex}"
     with fs.open_output_stream(part) as out:
         out.write(data)
-    fs.move(part, path)
+    try:
+        fs.move(part, path)
+    except OSError:  # some stores don't move on to a file: that of an earlier attempt has the same bytes
+        fs.delete_file(part)
+        if fs.get_file_info(path).size != len(data):
+            raise
 
 
 def read_file(uri: str, offset: int = 0, length: int | None = None) -> bytes:

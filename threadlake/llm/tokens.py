@@ -7,13 +7,18 @@ import os
 import re
 from collections.abc import Callable
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from threadlake.llm.common import held
 
-#: Words in a generation of a worker's cache.
-CACHE_WORDS = 250_000
+#: Words that a worker remembers before it keeps but those of the last batch.
+CACHE_WORDS = 600_000
+#: The key of a line feed.
+LINE = "\0\n"
 #: Characters whose classes no Unicode version has changed, so that the pattern cuts them here as in the library.
 _PLAIN = re.compile("[\n\x20-\x7e\xa1-\u024f]+")
 
@@ -31,12 +36,13 @@ def _tiktoken(path: str):
     return tiktoken.Encoding(os.path.basename(path), pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def tokenizer(path: str):
+def tokenizer(path: str, special_as_text: bool = False):
+    """special_as_text: whether a special token's name in a text is ordinary text; by the library's default it is that token."""
     from tokenizers import Tokenizer
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
+    t.encode_special_tokens = special_as_text
     return t
 
 
@@ -55,84 +61,138 @@ def _pieces() -> Callable[[str], list[str]]:
     return regex.compile(public_tokenizers.PATTERN).findall
 
 
-class _NoCut(Exception):
-    """White space where a cut before a space could change a token."""
-
-
-class _Words(dict):
-    """Word -> its ids as bytes. Words met are kept in two generations, so common ones stay when space runs out.
-
-    A key that begins with NUL stands for a text without a space before it. A word of several pieces of
-    the byte-level pattern is joined from them. A word with white space inside, or an empty one, raises.
-    """
-
-    def __init__(self, encode: Callable[[str], list], piece: Callable[[str], list], dtype: np.dtype):
-        super().__init__()
-        self.encode, self.piece, self.old, self.cut = encode, piece, {}, _pieces()
-        self.raw = [np.array(i, dtype=dtype).tobytes() for i in range(1 << 16)]
-
-    def __missing__(self, word: str) -> bytes:
-        ids = self.old.get(word)
-        if ids is None:
-            bare, space = (word[1:], "") if word[:1] == "\0" else (word, " ")
-            if bare.split() != [bare] and bare != "\n":
-                raise _NoCut
-            ids = self._new(word, bare, space + bare)
-        self[word] = ids
-        return ids
-
-    def _new(self, word: str, bare: str, text: str) -> bytes:
-        raw = self.raw
-        if not (bare.isascii() or _PLAIN.fullmatch(bare)):
-            return b"".join([raw[i] for i in self.encode(text)])
-        if not bare.isalpha():
-            if bare[:-1].isalpha() and not bare[-1].isalnum():
-                return self[word[:-1]] + self["\0" + bare[-1]]
-            parts = self.cut(text)
-            if len(parts) > 1:
-                return b"".join([self[x[1:] if x[0] == " " else "\0" + x] for x in parts])
-        return b"".join([raw[i] for i in self.piece(text)])
-
-    def turn(self) -> None:
-        self.old = dict(self)
-        self.clear()
-
-
 class WordEncoder:
     """Exact ids of whole texts from the ids of their words, for vocabularies of up to 65,536 ids.
 
     The byte-level pattern always starts a new piece at a space that follows a visible character, so a
     text cut there has the ids of its parts. So has one cut around a single line feed between visible
-    characters. Texts with other white space are encoded whole. encode maps a string to a list of ids,
-    piece (encode, if absent) a string that is one piece of the pattern.
+    characters. Texts with other white space, and texts that name a special token, are encoded whole.
+    A batch is cut into words, made distinct and looked up among the words met before by Arrow; Python
+    sees only new words. A word that begins with NUL stands for one without a space before it.
+
+    whole maps a text to a list of ids; pieces maps a list of pieces of the pattern to a list of such lists.
     """
 
-    def __init__(self, encode: Callable[[str], list], dtype: str, piece: Callable[[str], list] | None = None):
-        self.dtype = np.dtype(dtype)
-        self.words = _Words(encode, piece or encode, self.dtype)
+    def __init__(self, whole: Callable[[str], list], dtype: str, pieces: Callable[[list[str]], list[list]], specials: tuple[str, ...] = ()):
+        self.whole, self.pieces, self.dtype, self.specials = whole, pieces, np.dtype(dtype), specials
+        self.cut = _pieces()
+        self.words, self.pool = pa.array([], pa.large_string()), np.zeros(0, self.dtype)
+        #: Of each word: where its ids start in the pool, and how many there are; -1 for a word with white space inside, or nothing.
+        self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _flat(self, ids: list[list]) -> tuple[np.ndarray, np.ndarray]:
+        return np.fromiter(chain.from_iterable(ids), self.dtype), np.fromiter(map(len, ids), np.int64, len(ids))
+
+    def _cut_ids(self, words: list[str], gap: str) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words without white space and how many each has, from one cut of all words with gap before each."""
+        if not words:
+            return np.zeros(0, self.dtype), np.zeros(0, np.int64)
+        parts = self.cut(gap + gap.join(words))
+        begins = np.flatnonzero(np.fromiter((p[0] == gap for p in parts), bool, len(parts)))
+        place = {p: i for i, p in enumerate(dict.fromkeys(parts))}
+        at = np.fromiter(map(place.__getitem__, parts), np.int64, len(parts))
+        bare = gap != " "  # then the gap is the first piece, which is no part of a word
+        flat, size = self._flat([[]] * bare + self.pieces([*place][bare:]))
+        start = np.cumsum(size) - size
+        return flat[_spread(start[at], size[at])], np.add.reduceat(size[at], begins)
+
+    def _learn(self, words: list[str], gap: str) -> None:
+        """Append the ids of new words, without their NUL, to the vocabulary's arrays."""
+        joined = " ".join(words)
+        odd = {}
+        if joined.split() != words or not (joined.isascii() or _PLAIN.fullmatch(joined)):
+            for i, w in enumerate(words):
+                if w.split() != [w]:
+                    odd[i] = self.whole(w) if w == "\n" else None
+                elif not (w.isascii() or _PLAIN.fullmatch(w)):
+                    odd[i] = self.whole(w if gap == "\n" else " " + w)
+        flat, n = self._cut_ids([w for i, w in enumerate(words) if i not in odd] if odd else words, gap)
+        size, start = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        plain = np.ones(len(words), bool)
+        plain[list(odd)] = False
+        size[plain], start[plain] = n, len(self.pool) + np.cumsum(n) - n
+        more = [x or [] for x in odd.values()]
+        flat2, n2 = self._flat(more)
+        size[list(odd)] = np.where([x is None for x in odd.values()], -1, n2) if odd else n2
+        start[list(odd)] = len(self.pool) + len(flat) + np.cumsum(n2) - n2
+        self.start, self.size = np.concatenate((self.start, start)), np.concatenate((self.size, size))
+        self.pool = np.concatenate((self.pool, flat, flat2))
+
+    def _slots(self, words: pa.Array) -> np.ndarray:
+        """The place of each distinct word in the vocabulary."""
+        at = pc.index_in(words, value_set=self.words)
+        slots = pc.fill_null(at, -1).to_numpy().astype(np.int64)
+        bare = pc.starts_with(words, "\0").to_numpy(zero_copy_only=False)
+        for some, gap in ((~bare & (slots < 0), " "), (bare & (slots < 0), "\n")):
+            if some.any():
+                slots[some] = len(self.words) + np.arange(some.sum())
+                new = words.filter(pa.array(some))
+                got = pc.binary_join(pa.ListArray.from_arrays([0, len(new)], new), pa.scalar(" ", pa.large_string()))[0].as_py().split(" ")
+                self._learn([w[1:] for w in got] if gap == "\n" else got, gap)
+                self.words = pa.concat_arrays([self.words, new])
+        return slots
+
+    def _keep(self, slots: np.ndarray) -> None:
+        """Forget all words but those in these places."""
+        n = np.maximum(self.size[slots], 0)
+        self.pool = self.pool[_spread(self.start[slots], n)]
+        self.words, self.start, self.size = self.words.take(pa.array(slots)), np.cumsum(n) - n, self.size[slots]
+
+    def encode_flat(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts in one array, and how many each has; nothing for null. end follows each text."""
+        if not len(texts):
+            return np.zeros(0, self.dtype), np.zeros(0, np.int64)
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        whole, raw = np.zeros(len(texts), bool), memoryview(texts.buffers()[2] or b"").tobytes()
+        for mark in ("\0", *self.specials):
+            if mark.encode() in raw:
+                whole |= pc.match_substring(texts, mark).to_numpy(zero_copy_only=False)
+        nul, nothing = pa.scalar("\0", pa.large_string()), pa.scalar("", pa.large_string())
+        cut = pc.split_pattern(pc.binary_join_element_wise(nul, pc.replace_substring(texts, "\n", " \0\n \0"), nothing), " ")
+        first, coded = cut.offsets.to_numpy().astype(np.int64), cut.values.dictionary_encode()
+        slots = self._slots(coded.dictionary)[coded.indices.to_numpy()[first[0] : first[-1]]]
+        first, n = first[:-1] - first[0], np.diff(first)
+        size = self.size[slots]
+        empty = (n == 1) & (size[first] < 0) & (pc.utf8_length(texts).to_numpy() == 0)
+        whole |= np.logical_or.reduceat(size < 0, first) & ~empty
+        each = np.maximum(size, 0)
+        lengths = np.add.reduceat(each, first)
+        ids = self.pool[_spread(self.start[slots], each)]
+        if len(self.words) > CACHE_WORDS:
+            self._keep(np.unique(slots))
+        if whole.any():
+            parts, at, ends = [], 0, np.cumsum(lengths)
+            for i in np.flatnonzero(whole).tolist():
+                own = np.array(self.whole(texts[i].as_py()), dtype=self.dtype)
+                parts += [ids[at : ends[i] - lengths[i]], own]
+                at, lengths[i] = ends[i], len(own)
+            ids = np.concatenate([*parts, ids[at:]])
+        if end is not None:
+            ids = np.insert(ids, np.cumsum(lengths), end)
+            lengths = lengths + 1
+        return ids, lengths
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian bytes; none for null."""
-        words = self.words
-        get, out = words.__getitem__, []
-        for t in texts:
-            if not t:
-                out.append(b"")
-                continue
-            try:
-                if "\0" in t:
-                    raise _NoCut
-                parts = ("\0" + t.replace("\n", " \0\n \0")).split(" ")
-                out.append(b"".join([get(x) for x in parts]))
-            except _NoCut:
-                out.append(np.array(words.encode(t), dtype=self.dtype).tobytes())
-            if len(words) > CACHE_WORDS:
-                words.turn()
-        return out
+        ids, n = self.encode_flat(pa.array(texts, pa.large_string()))
+        raw, n = ids.tobytes(), n * self.dtype.itemsize
+        return [raw[z - k : z] for z, k in zip(np.cumsum(n).tolist(), n.tolist())]
+
+
+def _spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each range, size numbers each."""
+    ends = np.cumsum(size)
+    total = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if total < 1 << 30 and (not len(start) or int(start.max()) < 1 << 30) else np.int64
+    return np.repeat((start - (ends - size)).astype(kind), size) + np.arange(total, dtype=kind)
 
 
 def tiktoken_words(path: str, dtype: str = "<u4") -> WordEncoder:
-    return held(("tiktoken words", path, dtype), lambda: WordEncoder(_tiktoken(path).encode_ordinary, dtype))
+    def build() -> WordEncoder:
+        e = _tiktoken(path)
+        return WordEncoder(e.encode_ordinary, dtype, lambda parts: e.encode_ordinary_batch(parts, num_threads=1))
+
+    return held(("tiktoken words", path, dtype), build)
 
 
 def _byte_letters() -> dict[int, str]:
@@ -142,17 +202,19 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) if b in shown else chr(256 + others.index(b)) for b in range(256)}
 
 
-def tokenizer_words(path: str, dtype: str = "<u4") -> WordEncoder:
+def tokenizer_words(path: str, dtype: str = "<u4", special_as_text: bool = False) -> WordEncoder:
     """A byte-level tokenizer's encoder: the library's model gets the words' pieces, each once while it is cached."""
 
     def build() -> WordEncoder:
-        t = tokenizer(path)
+        t = tokenizer(path, special_as_text)
+        specials = () if special_as_text else tuple(x.content for x in t.get_added_tokens_decoder().values())
         model, letters = t.model.tokenize, _byte_letters()
 
-        def piece(x: str) -> list[int]:
-            shown = x.replace(" ", letters[32]) if x.isascii() and x.isprintable() else x.encode().decode("latin-1").translate(letters)
-            return [k.id for k in model(shown)]
+        def pieces(parts: list[str]) -> list[list[int]]:
+            # all to the byte-level alphabet at once: a line feed stands in no piece of a word
+            shown = "\n".join(parts).encode().decode("latin-1").translate(letters).split(letters[10])
+            return [[k.id for k in model(x)] for x in shown] if parts else []
 
-        return WordEncoder(lambda x: t.encode(x, add_special_tokens=False).ids, dtype, piece)
+        return WordEncoder(lambda x: t.encode(x, add_special_tokens=False).ids, dtype, pieces, specials)
 
-    return held(("tokenizers", path, dtype), build)
+    return held(("tokenizers", path, dtype, special_as_text), build)

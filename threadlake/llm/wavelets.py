@@ -17,17 +17,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadlake.llm.common import materialize, prefix_sum, read_file, shared_dir, write_file
+from threadlake.llm.common import materialize, prefix_sum, read_file, shared_dir, small_batches, write_file
 from threadlake.llm.tokens import tokenizer_words
 
 MAGIC = b"WVM1"
-#: Bits of a block.
-BLOCK = 1 << 18
-#: About so many bytes of text go to one file, and so many ids at most besides the last document's.
-FILE_TEXT_BYTES, FILE_IDS = 8 << 20, 4_000_000
+#: Bits of a block: to read one id, so many are unpacked of each plane.
+BLOCK = 1 << 15
+#: About so many bytes of text go to one file.
+FILE_TEXT_BYTES = 8 << 20
+#: Tasks at most; beyond that many files' worth of text a task writes several files.
+MAX_TASKS = 20_000
 
 
-def pack(ids: np.ndarray, lengths: list[int], keys: list[int | None]) -> bytes:
+def pack(ids: np.ndarray, lengths: list[int] | np.ndarray, keys: list[int | None]) -> bytes:
     """The file of these ids (unsigned), cut into documents by lengths. keys: their doc_ids."""
     n, levels = len(ids), max(1, int(ids.max(initial=0)).bit_length())
     squeeze = zstandard.ZstdCompressor(level=1).compress
@@ -43,7 +45,7 @@ def pack(ids: np.ndarray, lengths: list[int], keys: list[int | None]) -> bytes:
             blocks.append(squeeze(bits[at // 8 : (at + BLOCK) // 8].tobytes()))
             sizes.append(len(blocks[-1]))
         zeros.append(n - total)
-        cur = np.concatenate((cur[~bit], cur[bit]))
+        cur = np.concatenate((cur.compress(~bit), cur.compress(bit)))
     index = squeeze(b"".join((np.array(ones, "<i8").tobytes(), np.array(sizes, "<i8").tobytes(), np.array(lengths, "<i8").tobytes(), json.dumps(keys).encode())))
     head = json.dumps({"n": n, "levels": levels, "block": BLOCK, "zeros": zeros, "documents": len(lengths), "index": len(index)}).encode()
     return b"".join((MAGIC, struct.pack("<I", len(head)), head, index, *blocks))
@@ -136,8 +138,8 @@ class WaveletMatrix:
             packed = b"".join(one.decompress(self.data[self.at[i] : self.at[i + 1]]) for i in range(first, first + self.per))
             bit = np.unpackbits(np.frombuffer(packed, np.uint8), count=self.n).view(bool)
             out = np.empty_like(cur)
-            out[~bit] = cur[: self.zeros[level]]
-            out[bit] = cur[self.zeros[level] :] | cur.dtype.type(1 << (self.levels - 1 - level))
+            out[np.flatnonzero(~bit)] = cur[: self.zeros[level]]
+            out[np.flatnonzero(bit)] = cur[self.zeros[level] :] | cur.dtype.type(1 << (self.levels - 1 - level))
             cur = out
         return cur
 
@@ -145,40 +147,38 @@ class WaveletMatrix:
 FILES = "file string, shard long, n_tokens long, n_documents long"
 
 
-def write_wavelet_files(docs: DataFrame, tokenizer_path: str, end_id: int = 0, file_bytes: int = FILE_TEXT_BYTES) -> DataFrame:
+def write_wavelet_files(docs: DataFrame, tokenizer_path: str, end_id: int = 0, file_bytes: int = FILE_TEXT_BYTES, max_tasks: int = MAX_TASKS) -> DataFrame:
     """Encode all texts, end_id after each, into files in order of doc_id. Returns (file, shard, n_tokens, n_documents, start).
 
-    shard counts the files, start the ids of all files before. Null texts are empty documents; rows of
-    one doc_id stand in order of their texts; a null doc_id comes first. No rows make no files.
+    shard counts the files, start the ids of all files before. A text that names a special token gets
+    that token, as by the library's default. Null texts are empty documents; rows of one doc_id stand in
+    order of their texts; repeated rows are documents of their own; a null doc_id comes first. No rows
+    make no files. A text longer than file_bytes is a file of its own; other columns are ignored.
     """
     spark, base = docs.sparkSession, shared_dir(docs.sparkSession)
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(max(1, -(-total // file_bytes)), "doc_id").sortWithinPartitions("doc_id", "text")
-    end = np.array([end_id], dtype="<u4").tobytes()
+    tasks = max(1, min(max_tasks, -(-total // file_bytes)))
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(tasks, "doc_id").sortWithinPartitions("doc_id", "text")
 
     def write(batches):
         words, part, k = tokenizer_words(tokenizer_path, "<u4"), TaskContext.get().partitionId(), 0
-        keys, parts, lengths, size = [], [], [], 0
 
-        def row():
-            uri = f"{base}/{part:08d}-{k:06d}.wvm"
-            ids = np.frombuffer(b"".join(parts), dtype="<u4")
+        def row(keys: list[pa.Array], texts: list[pa.Array]):
+            ids, lengths = words.encode_flat(pa.concat_arrays(texts), end_id)
+            uri, keys = f"{base}/{part:08d}-{k:06d}.wvm", pa.concat_arrays(keys).to_pylist()
             write_file(uri, pack(ids.astype(np.uint16) if ids.max() < 1 << 16 else ids, lengths, keys))
             return pa.RecordBatch.from_pydict({"file": [uri], "shard": [part << 20 | k], "n_tokens": [len(ids)], "n_documents": [len(keys)]}, schema=schema)
 
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                some = batch.slice(at, 512)
-                for key, coded in zip(some.column(0).to_pylist(), words.encode(some.column(1).to_pylist())):
-                    keys.append(key)
-                    parts += [coded, end]
-                    lengths.append(len(coded) // 4 + 1)
-                    size += lengths[-1]
-                    if size >= FILE_IDS:
-                        yield row()
-                        keys, parts, lengths, size, k = [], [], [], 0, k + 1
+        keys, texts, size = [], [], 0
+        for some in small_batches(batches, file_bytes // 4):
+            keys.append(some.column(0))
+            texts.append(some.column(1).cast(pa.large_string()))
+            size += some.column(1).nbytes
+            if size >= file_bytes:
+                yield row(keys, texts)
+                keys, texts, size, k = [], [], 0, k + 1
         if keys:
-            yield row()
+            yield row(keys, texts)
 
     schema = pa.schema([("file", pa.string()), ("shard", pa.int64()), ("n_tokens", pa.int64()), ("n_documents", pa.int64())])
     files = materialize(ordered.mapInArrow(write, FILES))
@@ -200,7 +200,7 @@ def read_wavelet_files(files: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_pydict({"doc_id": w.keys[at : at + 1000], "start": start + a, "n_tokens": w.lengths[at : at + 1000], "ids": [ids[i:j].tobytes() for i, j in zip(a, z)]}, schema=schema)
 
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
-    spread = files.select("file", "start").repartition(max(1, min(100_000, files.count())), "file")
+    spread = files.select("file", "start").repartition(max(1, min(MAX_TASKS, files.count())), "file")
     return spread.mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")
 
 

@@ -35,7 +35,7 @@ def rows(docs):
 def odd(spark):
     """Nulls, empty and long texts, ties, repeated rows, and columns with clashing names."""
     long = "one two  three\n\nfour\tfive   six seven eight nine ten eleven password = abcdefgh12 " * 3000
-    data = [(1, None), (2, ""), (3, "   \n "), (4, long), (5, "a b"), (5, "a b"), (5, "a b c"), (6, "a b"), (None, "lost text"), (None, None), (7, "x\0y \0z \x1c w  "), (8, "▁ mark 日本 \U0001f600 é"), (9, " lead"), (10, "Trail  ")]
+    data = [(1, None), (2, ""), (3, "   \n "), (4, long), (5, "a b"), (5, "a b"), (5, "a b c"), (6, "a b"), (None, "lost text"), (None, None), (7, "x\0y \0z \x1c w  "), (8, "▁ mark 日本 \U0001f600 é"), (9, " lead"), (10, "Trail  "), (11, "a<|endoftext|>b")]
     return spark.createDataFrame([(i, t, None, None, None, "x", 1.0) for i, t in data], SCHEMA)
 
 
@@ -162,11 +162,15 @@ def test_secret_kinds(spark, odd):
 @pytest.mark.parametrize("block", [64, separators.BLOCK_BYTES])
 def test_separators(spark, docs, rows, odd, none, block):
     enc = tiktoken_encoding(RANKS)
-    got = separators.count_tokens(docs, RANKS, 50256, file_bytes=60_000, block_bytes=block).orderBy("file", "doc_index").collect()
+    dealt = docs.repartition(5, F.col("doc_id") % 7)  # so that files don't follow the ids
+    got = separators.count_tokens(dealt, RANKS, 50256, file_bytes=60_000, block_bytes=block).orderBy("doc_index").collect()
     assert [r["doc_id"] for r in got] == sorted(rows)
-    at = defaultdict(int)
-    for r in got:
-        assert (r["start"], r["n_tokens"]) == (at[r["file"]], len(enc.encode_ordinary(rows[r["doc_id"]])) + 1)
+    at, total = defaultdict(int), 0
+    for i, r in enumerate(got):
+        assert (r["doc_index"], r["start"], r["n_tokens"]) == (i, total, len(enc.encode_ordinary(rows[r["doc_id"]])) + 1)
+        total += r["n_tokens"]
+    for r in sorted(got, key=lambda r: (r["file"], r["file_start"])):
+        assert r["file_start"] == at[r["file"]]
         at[r["file"]] += r["n_tokens"]
     assert len(at) > 3
     got = [(r["doc_id"], r["n_tokens"]) for r in separators.count_tokens(odd, RANKS, 50256, block_bytes=block).collect()]

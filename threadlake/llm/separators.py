@@ -9,12 +9,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadlake.llm.common import materialize, read_file, shared_dir, write_file
+from threadlake.llm.common import materialize, read_file, running, shared_dir, small_batches, write_file
 from threadlake.llm.tokens import tiktoken_words
 
 #: Bytes of one block, a multiple of the id width; and about so many bytes of text go to one file.
 BLOCK_BYTES = 1 << 20
-FILE_TEXT_BYTES = 12 << 20
+FILE_TEXT_BYTES = 8 << 20
+#: Blocks of one task, about.
+TASK_BLOCKS = 16
 
 
 def write_token_files(docs: DataFrame, vocabulary: str, eod: int, file_bytes: int = FILE_TEXT_BYTES, width: int = 2) -> DataFrame:
@@ -22,30 +24,29 @@ def write_token_files(docs: DataFrame, vocabulary: str, eod: int, file_bytes: in
 
     Returns (file, n_bytes, doc_ids): the listing, which the scan doesn't need. Null texts are empty
     documents. Nothing is shuffled: each task writes the rows of its own part of docs, in files of about
-    file_bytes. Sort docs first where the files shall follow a key.
+    file_bytes of text. Sort docs first where the files themselves shall follow a key.
     """
-    base, end, dtype = shared_dir(docs.sparkSession), np.array([eod], dtype=f"<u{width}").tobytes(), f"<u{width}"
+    base, dtype = shared_dir(docs.sparkSession), f"<u{width}"
 
     def write(batches):
-        words, part, ids, parts, size, k = tiktoken_words(vocabulary, dtype), TaskContext.get().partitionId(), [], [], 0, 0
+        words, part, k = tiktoken_words(vocabulary, dtype), TaskContext.get().partitionId(), 0
 
-        def row():
+        def row(keys: list[pa.Array], texts: list[pa.Array]):
+            ids, _ = words.encode_flat(pa.concat_arrays(texts), eod)
             uri = f"{base}/{part:08d}-{k:06d}.bin"
-            write_file(uri, b"".join(parts))
-            return pa.RecordBatch.from_pydict({"file": [uri], "n_bytes": [size], "doc_ids": [ids]}, schema=schema)
-
-        for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                some = batch.slice(at, 64)
-                for key, coded in zip(some.column(0).to_pylist(), words.encode(some.column(1).to_pylist())):
-                    parts += [coded, end]
-                    ids.append(key)
-                    size += len(coded) + width
-                    if size >= file_bytes:
-                        yield row()
-                        ids, parts, size, k = [], [], 0, k + 1
-        if ids:
-            yield row()
+            write_file(uri, ids.tobytes())
+            return pa.RecordBatch.from_pydict({"file": [uri], "n_bytes": [ids.nbytes], "doc_ids": [pa.concat_arrays(keys)]}, schema=schema)
+
+        keys, texts, size = [], [], 0
+        for some in small_batches(batches, file_bytes // 4):
+            keys.append(some.column(0))
+            texts.append(some.column(1).cast(pa.large_string()))
+            size += some.column(1).nbytes
+            if size >= file_bytes:
+                yield row(keys, texts)
+                keys, texts, size, k = [], [], 0, k + 1
+        if keys:
+            yield row(keys, texts)
 
     schema = pa.schema([("file", pa.string()), ("n_bytes", pa.int64()), ("doc_ids", pa.list_(pa.int64()))])
     return materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(write, "file string, n_bytes long, doc_ids array<long>"))
@@ -73,7 +74,7 @@ def scan_separators(files: DataFrame, eod: int, width: int = 2, block_bytes: int
             yield pa.RecordBatch.from_pydict(rows, schema=schema)
 
     schema = pa.schema([("file", pa.string()), ("block", pa.int64()), ("n", pa.int64()), ("at", pa.list_(pa.int64()))])
-    spread = blocks.select("file", "block").repartition(max(1, min(100_000, blocks.count())), "file", "block")
+    spread = blocks.select("file", "block").repartition(max(1, min(100_000, blocks.count() // TASK_BLOCKS)), "file", "block")
     found = materialize(spread.mapInArrow(search, "file string, block long, n long, at array<long>"))
     ahead = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     last = F.when(F.size("at") > 0, F.element_at("at", -1))
@@ -89,8 +90,16 @@ def scan_separators(files: DataFrame, eod: int, width: int = 2, block_bytes: int
 
 
 def count_tokens(docs: DataFrame, vocabulary: str, eod: int, file_bytes: int = FILE_TEXT_BYTES, width: int = 2, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(doc_id, doc_index, start, n_tokens): documents written flat, then found again by their separators alone."""
+    """(doc_id, doc_index, start, n_tokens, file, file_start): documents written flat, then found again by their separators alone.
+
+    doc_index and start, the documents and the ids before a document, go by ascending doc_id over all
+    documents (nulls first; documents of one id by their counts), wherever they lie: file and file_start
+    say where that is, and depend on how docs were read. Null and empty texts have the end id alone, a
+    repeated row is a document of its own, no rows give none, other columns of docs are ignored, and a
+    text of any length is one document: it may cross any number of blocks.
+    """
     files = write_token_files(docs, vocabulary, eod, file_bytes, width)
-    listed = files.select("file", F.posexplode("doc_ids").alias("doc_index", "doc_id")).select("file", F.col("doc_index").cast("long").alias("doc_index"), "doc_id")
+    listed = files.select("file", F.posexplode("doc_ids").alias("at", "doc_id")).select("file", F.col("at").cast("long").alias("doc_index"), "doc_id")
     found = scan_separators(files.select("file", "n_bytes"), eod, width, block_bytes)
-    return found.join(listed, ["file", "doc_index"]).select("doc_id", "file", "doc_index", "start", "n_tokens")
+    placed = found.join(listed, ["file", "doc_index"]).select("doc_id", "n_tokens", "file", F.col("start").alias("file_start"))
+    return running(placed, ["doc_id", "n_tokens", "file", "file_start"], "n_tokens", "doc_index", "start").select("doc_id", "doc_index", "start", "n_tokens", "file", "file_start")

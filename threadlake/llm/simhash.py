@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadlake.llm.common import free_name, materialize
+from threadlake.llm.common import free_name, held, materialize
 from threadlake.llm.components import connected_components
 
 WORDS, SEED, BITS = 3, 42, 2
@@ -54,6 +54,7 @@ def simhash_of(text: Column) -> Column:
 
     @F.pandas_udf("long")
     def prints(texts: pd.Series) -> pd.Series:
+        held(("simhash",), list)  # drops another stage's model
         return pd.Series(np.array([simhash(t) for t in texts], dtype=np.uint64).view(np.int64))
 
     return prints(text)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadlake.llm.common import free_name, materialize
+from threadlake.llm.common import free_name, held, materialize
 
 ORDER, SPAN, DECAY, LANDMARKS = 4, 6, 0.7, 192
 #: The bounded sample of labelled rows that the machine learns from, by a hash of the id; and of their sentences.
@@ -249,6 +249,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, sentences: i
     keys = np.array(list(dims), dtype=np.int64)
 
     def vectors(batches):
+        held(("toxicity",), list)
         where = np.zeros(SYMBOLS**ORDER, dtype=np.int32)
         where[keys] = np.arange(1, len(keys) + 1)
         for batch in batches:
@@ -285,6 +286,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, sentences: i
 
     @F.pandas_udf("array<double>")
     def pooled(texts: pd.Series) -> pd.Series:
+        held(("toxicity",), list)
         return pd.Series([_pool(shared.value, t).tolist() for t in texts])
 
     got = sample.select(pooled("text").alias("x"), "toxic").toPandas()
@@ -299,6 +301,7 @@ def scorer(docs: DataFrame, machine: Machine):
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
+        held(("toxicity",), list)  # drops another stage's model
         return pd.Series(shared.value.score(list(texts)))
 
     return score

@@ -101,19 +101,55 @@ PAGES = [
     (8, "https://com/fr/x", None),
     (9, "https://w.net/a", "<link rel=canonical href=/b>"),
     (9, "https://w.net/a", "<link rel=canonical href=/b>"),
+    (10, "https://r.net/a/b/c.html?x=1", "<link rel=canonical href='../d.html'>"),
+    (11, "https://r.net/a/d.html", "<link rel=canonical href='?id=1&amp;k=2'>"),
+    (12, "https://r.net/a/d.html?id=1&k=2", "<link rel=\"canonical\" href=\"https://example.org/es/9\">"),
+    (13, "https://s.net/x", "<!-- <link rel=canonical href=https://example.org/es/9> --><script>'<link rel=canonical href=https://example.org/es/9>'</script>"),
+    (14, "https://t.net/x", "<base href='https://example.org/es/'><link rel=canonical href=y.html>"),
+    (15, "https://u.net/x/y", "<link rel=canonical href=mailto:a@b.c><link rel='alternate' href='https://example.org/es/1'>"),
+    (16, "https://www.r.net/a/d.html", ""),
 ]
 
 
 def test_url_filters(spark):
     pages = spark.createDataFrame([(*p, "x") for p in PAGES], "page_id long, url string, html string, node string")
     got = {r["page_id"]: r for r in url_filters.judge_urls(pages).collect()}
-    assert {k: r["verdict"] for k, r in got.items()} == {1: "block", 2: "block", 3: "block", 4: "allow", 5: "block", 6: "allow", 7: "allow", 8: "allow", 9: "allow"}
+    blocked = {1, 3, 5, 10, 11, 12, 14}
+    assert {k: r["verdict"] for k, r in got.items()} == {p[0]: "block" if p[0] in blocked else "allow" for p in PAGES}
+    assert got[7]["alias"] is None and got[6]["alias"] is None
+    wide = {r["page_id"]: r["verdict"] for r in url_filters.judge_urls(pages, address=url_filters.common_address).collect()}
+    assert {k for k, v in wide.items() if v == "block"} == blocked | {2, 16}
     assert (got[5]["host"], got[5]["path"], got[5]["rule"], got[7]["host"], got[6]["path"]) == ("example.org", "/en/12", "example.org/en/1", "", "")
     more = spark.createDataFrame([("https://w.net/b", "https://q.com/de/1")], "url string, target string")
     assert {r["verdict"] for r in url_filters.judge_urls(pages, redirects=more).where("page_id = 9").collect()} == {"block"}
     assert url_filters.judge_urls(pages.limit(0)).count() == 0
 
 
+def test_url_propagation(spark):
+    """Random links, rules and redirects against a closure by repeated passes."""
+    rng = np.random.default_rng(8)
+    hosts = [f"https://h{i}.{'org' if i % 5 == 0 else 'net'}" for i in range(12)]
+    urls = [f"{h}/{p}" for h in hosts for p in ("es/1", "a/2", "b/c/3")]
+    pages, edges = [], []
+    for i, u in enumerate(urls):
+        to = urls[int(rng.integers(len(urls)))] if rng.random() < 0.4 else None
+        pages.append((i, u, f'<link rel="canonical" href="{to}">' if to else None))
+        edges += [(u, to)] if to else []
+    moved = [(urls[int(a)], urls[int(b)]) for a, b in rng.integers(0, len(urls), (6, 2))]
+    rules = [("allow", "org", "/"), ("block", "h1.net", "/es/"), ("block", "h2.net", "/"), ("block", "h5.org", "/es/1")]
+
+    def own(u):
+        m = re.search(r"://([^/]*)(.*)", u)
+        fits = [(len(h + p), v) for v, h, p in rules if (m[1] == h or m[1].endswith("." + h)) and m[2].startswith(p)]
+        return max(fits)[1] if fits else None
+
+    bad = {u for u in urls if own(u) == "block"}
+    while more := {x for a, b in edges + moved for x in (a, b) if (a in bad or b in bad)} - bad:
+        bad |= more
+    got = {r["page_id"]: r["verdict"] for r in url_filters.judge_urls(spark.createDataFrame(pages, "page_id long, url string, html string"), rules, spark.createDataFrame(moved, "url string, target string")).collect()}
+    assert got == {i: own(u) or ("block" if u in bad else "allow") for i, u, _ in pages} and len(bad) > 6
+
+
 def test_url_filters_on_table(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     url = {r["page_id"]: r["url"] for r in pages.collect()}
@@ -150,6 +186,26 @@ def test_secrets(spark):
     assert kinds
 
 
+def test_random_strings():
+    """Added spans against a plain version: what base matches leave of each run, tested by its ratio."""
+    enc = tiktoken_encoding(RANKS)
+    rng = np.random.default_rng(2)
+    caught = 0
+    for i in range(300):
+        letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ" + "0123456789" * (i % 2)
+        word = "".join(rng.choice(list(letters), int(rng.integers(16, 40))))
+        t = f"see AKIAABCDEFGHIJKL/{word} and 0123456789abcdef0123456789abcdef-{word}, internationalizations"
+        want = set()
+        for at in (t.index(word), t.rindex(word)):
+            for a, b in [(at - 1, at + len(word))] if any(c.isdigit() for c in word) else [(at, at + len(word))]:
+                if b - a <= (2.2 if b - a > len(word) else 2.0) * len(enc.encode_ordinary(t[a:b])):
+                    want.add((a, b))
+        got = {(a, b) for a, k, b in secrets.scan(t, enc) if k == 3}
+        assert got == want
+        caught += len(got) == 2
+    assert caught > 290
+
+
 def test_secret_kinds(spark, odd):
     enc = tiktoken_encoding(RANKS)
     t = "see PassWord: 'hunter22x' AKIAABCDEFGHIJKL9 d41d8cd98f00b204e9800998ecf8427e 550e8400-e29b-41d4-a716-446655440000 q8Zx7Kp2Vw9Tj4Lm6Rb3 internationalization_2024_overview Kapi-key=short"

@@ -340,6 +340,36 @@ def test_sharding(spark, docs, rows, slot_rows):
     assert len({r["shard"] for r in sharding.shard_documents(docs, None, target_bytes=60_000).collect()}) == -(-sum(size) // 60_000)
 
 
+def test_sharding_cuts(spark):
+    """Every cut against a plain one: widest dimension, weighted median within the tolerance, copies together."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    meta = sharding.metadata(docs)
+    points, n = sharding._coordinates(meta)
+    rows = [(tuple(r[f"c{i}"] for i in range(n)), r["size"], r["text_crc32"]) for r in points.collect()]
+    tree = sharding.build_tree(points, n, 40)
+
+    def walk(node, some):
+        if tree.left[node] < 0:
+            return [some]
+        widths = [(max(c[d] for c, _, _ in some) >> 40) - (min(c[d] for c, _, _ in some) >> 40) for d in range(n)]
+        assert widths[tree.dim[node]] == max(widths)
+        left = [x for x in some if x[0][tree.dim[node]] < tree.cut[node]]
+        total, share = sum(x[1] for x in some), (tree.k[node] // 2) / tree.k[node]
+        best = min(abs(sum(x[1] for x in some if x[0][tree.dim[node]] < c) - share * total) for c in {x[0][tree.dim[node]] for x in some})
+        assert abs(sum(x[1] for x in left) - share * total) <= max(best, sharding.NEAR_GROUPS * total / tree.k[node])
+        return walk(tree.left[node], left) + walk(tree.right[node], [x for x in some if x[0][tree.dim[node]] >= tree.cut[node]])
+
+    leaves = walk(0, rows)
+    assert len(leaves) == 40
+    where = defaultdict(set)
+    for i, leaf in enumerate(leaves):
+        for _, _, crc in leaf:
+            where[crc].add(i)
+    copies = [crc for crc in where if sum(x[2] == crc for x in rows) > 1]
+    parted = sum(len(where[c]) > 1 for c in copies)
+    assert len(copies) > 40 and parted <= 0.15 * len(copies), (parted, len(copies))
+
+
 def test_sharding_odd(spark, odd, none):
     got = sharding.shard_documents(odd, 4).collect()
     assert len(got) == odd.count() and all(r["grown_shard"] is None and 0 <= r["shard"] < 4 for r in got)

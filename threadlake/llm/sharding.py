@@ -17,21 +17,25 @@ from threadlake.llm.common import materialize
 #: Bits of a dimension's value, of the text's checksum and of the id's hash in a coordinate, high to low.
 BITS = 20
 ROUND_BITS = 10
-#: A cut this near, as a share of a leaf, is not refined further.
-NEAR = 0.001
+#: A cut this near, as a share of a leaf, is not refined further; nor is one between groups of equal texts that is this near.
+NEAR, NEAR_GROUPS = 0.001, 0.01
 OVERHEAD = 16
 
 
 def metadata(docs: DataFrame, dims: tuple[str, ...] = ("lang", "source")) -> DataFrame:
-    """doc_id, size, text_crc32 and raw dimensions d0, d1, ...: log size, doc_id and a hash of each column of dims.
+    """doc_id, size, text_crc32 and raw dimensions d0, d1, ...: log size and a hash of each column of dims.
 
-    Null texts have no bytes, null metadata is the empty string, a null doc_id counts as 0.
+    Copies of a text take the metadata of the least of them, so that no cut of a dimension parts them.
+    Null texts have no bytes, null metadata is the empty string.
     """
     text = F.encode(F.coalesce("text", F.lit("")), "utf-8")
     size = (F.octet_length(F.coalesce("text", F.lit(""))) + OVERHEAD).cast("long")
-    named = [F.crc32(F.coalesce(F.col(c).cast("string"), F.lit("")).cast("binary")).cast("double") for c in dims if c in docs.columns]
-    raw = [F.log2(size), F.coalesce(F.col("doc_id").cast("double"), F.lit(0.0)), *named]
-    return docs.select("doc_id", size.alias("size"), F.crc32(text).alias("text_crc32"), *(r.alias(f"d{i}") for i, r in enumerate(raw)))
+    named = [F.crc32(F.coalesce(F.col(c).cast("string"), F.lit("")).cast("binary")) for c in dims if c in docs.columns]
+    one = materialize(docs.select("doc_id", size.alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("group"), F.struct(F.lit(0), *named).alias("said")))
+    copies = one.groupBy("group").agg(F.min("said").alias("least"), F.max("said").alias("most")).where("least <> most").select("group", "least")
+    both = one.join(materialize(copies), "group", "left").withColumn("said", F.coalesce("least", "said"))
+    raw = [F.log2("size"), *(F.col("said")[f"col{i + 2}"].cast("double") for i in range(len(named)))]
+    return both.select("doc_id", "size", "text_crc32", *(r.alias(f"d{i}") for i, r in enumerate(raw)))
 
 
 def _coordinates(meta: DataFrame) -> tuple[DataFrame, int]:
@@ -91,7 +95,7 @@ def build_tree(points: DataFrame, n_dims: int, leaves: int) -> Tree:
         for i in going:
             r = spread.get(i)
             dim = max(range(n_dims), key=lambda d: (r[f"z{d}"] >> 2 * BITS) - (r[f"a{d}"] >> 2 * BITS)) if r else 0
-            state[i] = {"dim": dim, "lo": 0, "below": 0, "target": (r["size"] if r else 0) * (tree.k[i] // 2) / tree.k[i], "near": NEAR * (r["size"] if r else 0) / tree.k[i], "cut": None if r else 0}
+            state[i] = {"dim": dim, "lo": 0, "below": 0, "target": (r["size"] if r else 0) * (tree.k[i] // 2) / tree.k[i], "leaf": (r["size"] if r else 0) / tree.k[i], "cut": None if r else 0}
         for shift in range(3 * BITS - ROUND_BITS, -1, -ROUND_BITS):
             rest = [i for i in going if state[i]["cut"] is None]
             if not rest:
@@ -113,7 +117,7 @@ def build_tree(points: DataFrame, n_dims: int, leaves: int) -> Tree:
                 over, under = s["below"] + v - s["target"], s["target"] - s["below"]
                 lo, hi = s["lo"] + (b << shift), s["lo"] + (b + 1 << shift)
                 s["lo"] = lo
-                if shift == 0 or min(over, under) <= s["near"]:
+                if shift == 0 or min(abs(over), under) <= s["leaf"] * (NEAR_GROUPS if shift == BITS else NEAR):
                     s["cut"] = hi if abs(over) < under else lo
         first = len(tree.k)
         for i in going:
@@ -127,8 +131,11 @@ def shard_documents(docs: DataFrame, shards: int | None = 40, target_bytes: int
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row.
 
     Give the number of shards, or the bytes of a leaf. Sizes are near equal (law `bytes`): off by part
-    of a document at each cut. Groups of equal texts part only where a cut must pass through them. Rows
-    that agree in all metadata stay together. slot counts each shard's rows from 0. No rows give none.
+    of a document at each cut. Groups of equal texts part only where a cut must pass through them to keep
+    sizes within NEAR_GROUPS of a leaf. Rows that agree in all columns stay together, nulls too. slot
+    counts each shard's rows from 0; ties go by doc_id and checksum. A text larger than a leaf fills one
+    of its own; repeated rows count each; other columns are ignored; no rows give none. The tree itself,
+    a few numbers a leaf, is built on the driver: meant for thousands of leaves.
     """
     meta = materialize(metadata(docs, dims))
     n_rows, total = meta.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
@@ -136,7 +143,8 @@ def shard_documents(docs: DataFrame, shards: int | None = 40, target_bytes: int
     points, n_dims = _coordinates(meta)
     tree = build_tree(points, n_dims, leaves)
     order = tree.shards()
-    number = [order.index(i) if i in order else -1 for i in range(len(tree.k))]
+    place = {node: k for k, node in enumerate(order)}
+    number = [place.get(i, -1) for i in range(len(tree.k))]
     # Slots: rows are dealt to parts of a shard by a hash, numbered there, and moved by the rows of the parts before.
     parts = max(1, math.ceil(n_rows / leaves / slot_rows))
     put = points.select("doc_id", "size", "text_crc32", F.get(F.lit(number), tree.node()).cast("int").alias("shard")).withColumn("part", F.col("shard") * F.lit(parts) + F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(parts)).cast("int"))

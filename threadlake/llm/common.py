@@ -40,13 +40,17 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def delete_folder(spark: SparkSession, uri: str) -> None:
+    """Delete a folder that shared_dir named and that nothing reads any more; other folders stay."""
+    if uri.rsplit("/", 1)[-1].startswith("threadlake-"):
+        path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a materialized table that nothing reads any more."""
-    spark = df.sparkSession
     for uri in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/threadlake-" in uri:
-            path = spark._jvm.org.apache.hadoop.fs.Path(uri)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete_folder(df.sparkSession, uri)
 
 
 _HELD: dict = {}
@@ -110,7 +114,7 @@ def running(df: DataFrame, order: list[str], value: str, index: str, start: str,
     """
     n = max(1, -(-df.count() // rows))
     dealt = df.repartitionByRange(n, *order).sortWithinPartitions(*order).select("*", F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_i"))
-    dealt = materialize(dealt)
+    dealt = materialize(dealt)  # numbered once, whatever is computed again
     totals = dealt.groupBy("_p").agg(F.count("*").alias("_n"), F.sum(value).alias("_v"))
     ahead = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select("_p", *(F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias(c) for c in ("_n", "_v")))

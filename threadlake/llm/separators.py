@@ -9,7 +9,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadlake.llm.common import materialize, read_file, running, shared_dir, small_batches, write_file
+from threadlake.llm.common import delete_folder, discard, materialize, read_file, running, shared_dir, small_batches, write_file
 from threadlake.llm.tokens import tiktoken_words
 
 #: Bytes of one block, a multiple of the id width; and about so many bytes of text go to one file.
@@ -90,16 +90,20 @@ def scan_separators(files: DataFrame, eod: int, width: int = 2, block_bytes: int
 
 
 def count_tokens(docs: DataFrame, vocabulary: str, eod: int, file_bytes: int = FILE_TEXT_BYTES, width: int = 2, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(doc_id, doc_index, start, n_tokens, file, file_start): documents written flat, then found again by their separators alone.
+    """(doc_id, doc_index, start, n_tokens): documents written flat, then found again by their separators alone.
 
     doc_index and start, the documents and the ids before a document, go by ascending doc_id over all
-    documents (nulls first; documents of one id by their counts), wherever they lie: file and file_start
-    say where that is, and depend on how docs were read. Null and empty texts have the end id alone, a
-    repeated row is a document of its own, no rows give none, other columns of docs are ignored, and a
-    text of any length is one document: it may cross any number of blocks.
+    documents (nulls first; documents of one id by their counts), however they were read and wherever
+    they lay in the files, which are deleted. Null and empty texts have the end id alone, a repeated row
+    is a document of its own, no rows give none, other columns of docs are ignored, and a text of any
+    length is one document: it may cross any number of blocks.
     """
     files = write_token_files(docs, vocabulary, eod, file_bytes, width)
     listed = files.select("file", F.posexplode("doc_ids").alias("at", "doc_id")).select("file", F.col("at").cast("long").alias("doc_index"), "doc_id")
     found = scan_separators(files.select("file", "n_bytes"), eod, width, block_bytes)
-    placed = found.join(listed, ["file", "doc_index"]).select("doc_id", "n_tokens", "file", F.col("start").alias("file_start"))
-    return running(placed, ["doc_id", "n_tokens", "file", "file_start"], "n_tokens", "doc_index", "start").select("doc_id", "doc_index", "start", "n_tokens", "file", "file_start")
+    counted = materialize(found.join(listed, ["file", "doc_index"]).select("doc_id", "n_tokens"))
+    one = files.select("file").first()
+    if one:
+        delete_folder(docs.sparkSession, one["file"].rsplit("/", 1)[0])
+    discard(files)
+    return running(counted, ["doc_id", "n_tokens"], "n_tokens", "doc_index", "start").select("doc_id", "doc_index", "start", "n_tokens")

@@ -190,7 +190,7 @@ def _spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 def tiktoken_words(path: str, dtype: str = "<u4") -> WordEncoder:
     def build() -> WordEncoder:
         e = _tiktoken(path)
-        return WordEncoder(e.encode_ordinary, dtype, lambda parts: e.encode_ordinary_batch(parts, num_threads=1))
+        return WordEncoder(e.encode_ordinary, dtype, lambda parts: [e.encode_ordinary(p) for p in parts])
 
     return held(("tiktoken words", path, dtype), build)
 

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from threadlake.operators.narrative import phrase_motifs
 from threadlake.operators.ranking import top_k
-from threadlake.operators.rollups import active, count_by, daily_counts, emotion_timeline, late_night_trend, month_winners, monthly_split, ratio
+from threadlake.operators.rollups import active, count_by, daily_counts, emotion_timeline, late_night_trend, month_winners, monthly_split, participant_overview, ratio
 from threadlake.operators.sessions import chunk_windows, longest_streak
-from threadlake.functions.text import late_night
+from threadlake.functions.text import format_compact, late_night, weekend
 
 KEYS = ("archive_id",)
 
@@ -58,7 +58,7 @@ def monthly_takeover(m: DataFrame) -> DataFrame:
 
 
 def night_owl_month(m: DataFrame, floor: int = 400) -> DataFrame:
-    return top_k(late_night_trend(m).where(F.col("total_messages") >= floor), KEYS, [F.desc("late_night_share"), "month_key"], 1)
+    return top_k(late_night_trend(m).where(F.col("total_messages") >= floor), KEYS, [F.desc("late_night_share"), F.desc("total_messages"), "month_key"], 1)
 
 
 def hinted_motifs(a: DataFrame, limit: int = 40, least: int = 3) -> DataFrame:
@@ -84,9 +84,12 @@ def arc_summary(a: DataFrame) -> DataFrame:
 
 
 def peak_periods(a: DataFrame) -> DataFrame:
-    """(archive_id, kind, period, value): the top month or week of each kind; ties go to the period met first."""
+    """(archive_id, kind, period, value): the top month or week of each kind; ties go to the period met first.
+
+    The most intense week is the one with most messages.
+    """
     months = active(a).groupBy("archive_id", F.col("month_key").alias("period")).agg(F.count("*").cast("double").alias("most_active_month"), F.sum(F.col("support_signal").cast("double")).alias("support_month"), F.sum(F.col("repair_signal").cast("double")).alias("repair_month"), F.min("seq").alias("seen"))
-    weeks = active(a).groupBy("archive_id", F.col("week_key").alias("period")).agg(F.round(F.avg("emotion_intensity"), 4).alias("value"), F.min("seq").alias("seen"))
+    weeks = active(a).groupBy("archive_id", F.col("week_key").alias("period")).agg(F.count("*").cast("double").alias("value"), F.min("seq").alias("seen"))
     long = months.unpivot(["archive_id", "period", "seen"], ["most_active_month", "support_month", "repair_month"], "kind", "value").unionByName(weeks.withColumn("kind", F.lit("most_intense_week")))
     return top_k(long, ["archive_id", "kind"], [F.desc("value"), "seen"], 1)
 
@@ -112,3 +115,108 @@ def signature_headline(a: DataFrame, s: DataFrame) -> DataFrame:
     for part in (longest_streak(a), day, month, longest, support, cycles):
         out = out.join(part, "archive_id", "left")
     return out
+
+
+#: Fixed values: (measure, column of the participants' overview, whether the least wins).
+LEADERS = [
+    ("who_sent_more", "total_messages", False), ("who_replied_faster", "average_reply_gap", True), ("who_used_more_emojis", "emoji_count", False), ("who_texted_later", "late_night_percentage", False), ("who_writes_longer", "chars_per_message", False),
+    ("who_shares_more_links", "link_count", False), ("who_starts_more_conversations", "session_opener_count", False), ("who_sends_more_multiline", "multiline_count", False), ("who_owns_more_weekends", "weekend_percentage", False),
+]
+#: Record, label, detail (null: made from the data), page, and which messages support it.
+RECORDS = [
+    ("who_sent_more", "Who sent more", None, "/dashboard/", "all"),
+    ("who_replied_faster", "Who replied faster", "Average reply gap across the archive", "/patterns/", "all"),
+    ("who_used_more_emojis", "Who used more emojis", "Total emoji count across all sent messages", "/dashboard/", "emoji"),
+    ("who_texted_later", "Who texted later", "Share of each participant's messages sent after 10 PM", "/timeline/", "late"),
+    ("most_active_month", "Most active month", "The archive's loudest month by message volume", "/timeline/", "month"),
+    ("most_intense_week", "Most intense week", "Peak weekly exchange volume", "/timeline/", "week"),
+    ("most_balanced_month", "Most balanced month", "The closest split between both sides without dropping into a quiet period", "/dashboard/", "month"),
+    ("highest_support_stretch", "Highest support stretch", "Where support signals clustered most heavily", "/lenses/reassurance/", "month"),
+    ("strongest_repair_stretch", "Strongest repair stretch", "The stretch with the clearest repair energy", "/lenses/repair-reconnection/", "month"),
+    ("who_writes_longer", "Who writes longer messages", "Average character length per sent message", "/dashboard/", "all"),
+    ("who_shares_more_links", "Who shares more links", "Total links dropped across the archive", "/dashboard/", "link"),
+    ("who_starts_more_conversations", "Who starts more conversations", "Who opens more technical sessions", "/dashboard/", "all"),
+    ("who_sends_more_multiline", "Who sends more multiline notes", "Longer note-style messages instead of one-liners", "/moments/", "multiline"),
+    ("who_owns_more_weekends", "Who owns more weekends", "Share of each person's messages sent on weekends", "/patterns/", "weekend"),
+    ("biggest_monthly_takeover", "Biggest monthly takeover", None, "/timeline/", "month"),
+    ("most_night_owl_month", "Most night-owl month", "Month with the highest late-night message share", "/timeline/", "month"),
+]
+
+
+def tenths(c: Column) -> Column:
+    """A number as text with one decimal, rounded half up."""
+    t = F.floor(c * 10.0 + 0.5)
+    return F.concat(F.floor(t / 10).cast("string"), F.lit("."), F.pmod(t, F.lit(10)).cast("string"))
+
+
+def participant_leaders(m: DataFrame) -> DataFrame:
+    """(archive_id, measure, sender_id, value): who leads in each measure; ties go to the participant met first.
+
+    A participant without reply gaps has mean 0, and so replies fastest.
+    """
+    seen = active(m).where("sender_id is not null").groupBy("archive_id", "sender_id").agg(F.min("seq").alias("seen"))
+    o = participant_overview(m).join(seen, ["archive_id", "sender_id"])
+    each = F.inline(F.array(*(F.struct(F.lit(k).alias("measure"), F.col(c).cast("double").alias("value"), (F.col(c).cast("double") * (1.0 if least else -1.0)).alias("_o")) for k, c, least in LEADERS)))
+    return top_k(o.select("archive_id", "sender_id", "seen", each), ["archive_id", "measure"], ["_o", "seen"], 1).select("archive_id", "measure", "sender_id", "value")
+
+
+def supporting(m: DataFrame, k: int = 3) -> DataFrame:
+    """(archive_id, kind, who, ids): the first k active messages of each participant, month and week, by what they support."""
+    late, kinds = late_night(F.col("hour_of_day")), []
+    sent = F.col("sender_id").isNotNull()
+    for kind, who, fits in (
+        ("all", "sender_id", sent), ("emoji", "sender_id", sent & (F.col("emoji_count") > 0)), ("late", "sender_id", sent & late), ("link", "sender_id", sent & F.col("has_url")), ("multiline", "sender_id", sent & F.col("is_multiline")),
+        ("weekend", "sender_id", sent & weekend(F.col("weekday"))), ("month", "month_key", F.lit(True)), ("week", "week_key", F.lit(True)), ("any", "month_key", F.lit(True)), ("night", "month_key", late),
+    ):
+        whose = F.lit("*") if kind in ("any", "night") else F.col(who)
+        kinds.append(F.when(fits, F.struct(F.lit(kind).alias("kind"), whose.alias("who"))))
+    each = active(m).select("archive_id", "seq", F.inline(F.array_compact(F.array(*kinds))))
+    first = top_k(each, ["archive_id", "kind", "who"], ["seq"], k)
+    ids = F.transform(F.array_sort(F.collect_list("seq")), lambda x: F.format_string("msg_%07d", x + 1))
+    return first.groupBy("archive_id", "kind", "who").agg(F.array_join(ids, ",").alias("ids"))
+
+
+def detective_records(a: DataFrame, balanced_floor: int = 200, night_floor: int = 400) -> DataFrame:
+    """The sixteen records of an archive: id, label, value, detail, winner, page and first supporting messages; N/A without data."""
+    n = lambda c: format_compact(F.col(c))
+    share = participant_overview(a).select("archive_id", "sender_id", F.col("message_share").alias("share"))
+    lead = participant_leaders(a).join(share, ["archive_id", "sender_id"])
+    shown = {"average_reply_gap": F.concat(tenths(F.col("value")), F.lit(" min")), "chars_per_message": F.concat(tenths(F.col("value")), F.lit(" chars/msg")), "late_night_percentage": F.concat(tenths(F.col("value")), F.lit("%")), "weekend_percentage": F.concat(tenths(F.col("value")), F.lit("%"))}
+    value = n("value")
+    for k, c, _ in LEADERS:
+        if c in shown:
+            value = F.when(F.col("measure") == k, shown[c]).otherwise(value)
+    none = F.lit(None).cast("string")
+    people = lead.select("archive_id", F.col("measure").alias("record_id"), F.concat("sender_id", F.lit(" - "), value).alias("value"), F.when(F.col("measure") == "who_sent_more", F.concat(tenths(F.col("share")), F.lit("% of the archive"))).alias("own_detail"), F.col("sender_id").alias("winner"), F.col("sender_id").alias("who"))
+    named = {"most_active_month": "most_active_month", "most_intense_week": "most_intense_week", "support_month": "highest_support_stretch", "repair_month": "strongest_repair_stretch"}
+    kind = F.lit(None).cast("string")
+    for k, v in named.items():
+        kind = F.when(F.col("kind") == k, v).otherwise(kind)
+    periods = peak_periods(a).select("archive_id", kind.alias("record_id"), F.concat("period", F.lit(" - "), n("value")).alias("value"), none.alias("own_detail"), none.alias("winner"), F.col("period").alias("who"))
+    even = most_balanced_month(a, balanced_floor).select("archive_id", F.lit("most_balanced_month").alias("record_id"), F.concat("month_key", F.lit(" - "), n("total_messages")).alias("value"), none.alias("own_detail"), none.alias("winner"), F.col("month_key").alias("who"))
+    over = monthly_takeover(a).select("archive_id", F.lit("biggest_monthly_takeover").alias("record_id"), F.concat("month_key", F.lit(" - "), "winner").alias("value"), F.concat(n("margin"), F.lit(" message lead")).alias("own_detail"), "winner", F.col("month_key").alias("who"))
+    owl = night_owl_month(a, night_floor).select("archive_id", F.lit("most_night_owl_month").alias("record_id"), F.concat("month_key", F.lit(" - "), tenths(F.col("late_night_share")), F.lit("%")).alias("value"), none.alias("own_detail"), none.alias("winner"), F.col("month_key").alias("who"))
+    found = people.unionByName(periods).unionByName(even).unionByName(over).unionByName(owl)
+    told = F.inline(F.array(*(F.struct(F.lit(i).alias("place"), F.lit(k).alias("record_id"), F.lit(label).alias("label"), F.lit(d).cast("string").alias("told"), F.lit(route).alias("route"), F.lit(kind).alias("kind")) for i, (k, label, d, route, kind) in enumerate(RECORDS))))
+    grid = active(a).select("archive_id").distinct().select("archive_id", told)
+    missing = {"who_sent_more": "No data", "most_balanced_month": "No balanced month found", "biggest_monthly_takeover": "No clear monthly winner"}
+    detail = F.coalesce("own_detail", "told")
+    for k, v in missing.items():
+        detail = F.when(F.col("value").isNull() & (F.col("record_id") == k), v).otherwise(detail)
+    out = grid.join(found, ["archive_id", "record_id"], "left").join(supporting(a), ["archive_id", "kind", "who"], "left")
+    return out.select("archive_id", "place", "record_id", "label", F.coalesce("value", F.lit("N/A")).alias("value"), detail.alias("detail"), "winner", "route", F.coalesce("ids", F.lit("")).alias("ids"))
+
+
+def story_spotlights(m: DataFrame) -> DataFrame:
+    """(archive_id, place, label, value, ids): messages, streak, top month and late share, with first supporting messages."""
+    act = active(m)
+    total = act.groupBy("archive_id").agg(F.count("*").alias("n"), F.sum(late_night(F.col("hour_of_day")).cast("int")).alias("late"))
+    month = top_k(count_by(act, "month_key"), KEYS, [F.desc("n"), "month_key"], 1).select("archive_id", "month_key", F.col("n").alias("top"))
+    one = total.join(longest_streak(m), "archive_id").join(month, "archive_id")
+    share = F.regexp_replace(tenths(F.col("late") * 100.0 / F.greatest("n", F.lit(1))), r"\.0$", "")
+    row = lambda i, label, value, kind, who: F.struct(F.lit(i).alias("place"), F.lit(label).alias("label"), value.alias("value"), F.lit(kind).alias("kind"), who.alias("who"))
+    each = one.select("archive_id", F.inline(F.array(
+        row(1, "Messages shared", format_compact(F.col("n")), "any", F.lit("*")), row(2, "Longest streak", F.concat(F.col("longest_streak").cast("string"), F.lit(" days")), "any", F.lit("*")),
+        row(3, "Most active month", F.concat("month_key", F.lit(" ("), format_compact(F.col("top")), F.lit(")")), "month", F.col("month_key")), row(4, "Late-night share", F.concat(share, F.lit("%")), "night", F.lit("*")),
+    )))
+    return each.join(supporting(m), ["archive_id", "kind", "who"], "left").select("archive_id", "place", "label", "value", F.coalesce("ids", F.lit("")).alias("ids"))

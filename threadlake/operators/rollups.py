@@ -61,7 +61,7 @@ def participant_overview(m: DataFrame) -> DataFrame:
     when = lambda c: F.sum(c.cast("int"))
     per = a.where("sender_id is not null").groupBy("archive_id", "sender_id").agg(
         F.count("*").alias("n"), F.sum("word_count").alias("words"), F.sum("char_count").alias("chars"), F.sum("emoji_count").alias("emoji"), when(F.col("has_url")).alias("links"),
-        when(weekend(F.col("weekday"))).alias("weekends"), when(late_night(F.col("hour_of_day"))).alias("late"), F.max("char_count").alias("longest"), F.avg("reply_gap_minutes").alias("gap"),
+        when(weekend(F.col("weekday"))).alias("weekends"), when(late_night(F.col("hour_of_day"))).alias("late"), F.max("char_count").alias("longest"), when(F.col("is_multiline")).alias("multiline"), F.avg("reply_gap_minutes").alias("gap"),
     )
     per = per.join(session_openers(m).withColumnRenamed("n", "opened"), ["archive_id", "sender_id"], "left")
     whole = Window.partitionBy("archive_id")
@@ -70,7 +70,7 @@ def participant_overview(m: DataFrame) -> DataFrame:
     return per.select(
         "archive_id", "sender_id", c("n").alias("total_messages"), ratio(c("n"), total("n")).alias("message_share"), c("words").alias("total_words"), ratio(c("words"), c("n"), False).alias("words_per_message"),
         ratio(c("chars"), c("n"), False).alias("chars_per_message"), c("emoji").alias("emoji_count"), ratio(c("emoji"), total("emoji")).alias("emoji_share"), c("links").alias("link_count"), ratio(c("links"), total("links")).alias("link_share"),
-        ratio(c("weekends"), c("n")).alias("weekend_percentage"), ratio(c("late"), c("n")).alias("late_night_percentage"), F.coalesce("opened", F.lit(0)).alias("session_opener_count"), c("longest").alias("longest_message"), F.round(F.coalesce("gap", F.lit(0.0)), 2).alias("average_reply_gap"),
+        ratio(c("weekends"), c("n")).alias("weekend_percentage"), ratio(c("late"), c("n")).alias("late_night_percentage"), F.coalesce("opened", F.lit(0)).alias("session_opener_count"), c("longest").alias("longest_message"), c("multiline").alias("multiline_count"), F.round(F.coalesce("gap", F.lit(0.0)), 2).alias("average_reply_gap"),
     )
 
 
@@ -129,8 +129,22 @@ def emotion_mix(a: DataFrame) -> DataFrame:
 
 
 def archetype_mix(a: DataFrame) -> DataFrame:
-    return active(a).select("archive_id", "sender_id", F.explode("archetype_tags").alias("archetype")).groupBy("archive_id", "sender_id", "archetype").agg(F.count("*").alias("n"))
+    """Counts by archetype tag, over all senders (sender_id `*`) and by sender, in one pass."""
+    each = active(a).select("archive_id", F.explode("archetype_tags").alias("archetype"), F.array_compact(F.array(F.lit("*"), F.col("sender_id"))).alias("who"))
+    return each.select("archive_id", "archetype", F.explode("who").alias("sender_id")).groupBy("archive_id", "sender_id", "archetype").agg(F.count("*").alias("n"))
 
 
 def signals(a: DataFrame, by: str) -> DataFrame:
     return active(a).groupBy("archive_id", by).agg(*(F.sum(F.col(f"{s}_signal").cast("int")).alias(f"{s}_count") for s in ("support", "conflict", "repair")))
+
+
+def distribution_by_sender(m: DataFrame, column: str, size: int) -> DataFrame:
+    """(archive_id, sender_id, column, n): counts of active rows for every sender and value below size, zeros included."""
+    a = active(m)
+    grid = a.where("sender_id is not null").select("archive_id", "sender_id").distinct().select("archive_id", "sender_id", F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias(column))
+    return grid.join(count_by(a, "sender_id", column), ["archive_id", "sender_id", column], "left").select("archive_id", "sender_id", column, F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def scope(rows: DataFrame, participant: str | None) -> DataFrame:
+    """One participant's rows of a mix, or those over all (`*`) for None."""
+    return rows.where(F.col("sender_id") == (participant or "*"))

@@ -35,14 +35,14 @@ def silence_gaps(messages: DataFrame, keys=KEYS, limit: int = 6) -> DataFrame:
     return pairs.where("gap_minutes > 0").withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= limit)
 
 
-def chunk_windows(messages: DataFrame, keys=KEYS, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
-    """(keys, seq, chunk_no from 1): overlapping row windows, by arithmetic on seq instead of a join."""
+def chunk_windows(messages: DataFrame, keys=KEYS, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, columns=()) -> DataFrame:
+    """(keys, seq, columns, chunk_no from 1): overlapping row windows, by arithmetic on seq instead of a join."""
     step = max(size - overlap, 1)
-    counted = messages.select(*keys, "seq", F.count("*").over(Window.partitionBy(*keys)).alias("_n"))
+    counted = messages.select(*keys, "seq", *columns, F.count("*").over(Window.partitionBy(*keys)).alias("_n"))
     last = F.when(F.col("_n") <= size, 0).otherwise(F.ceil((F.col("_n") - size) / step))
     low = F.greatest(F.lit(0), F.ceil((F.col("seq") - size + 1) / step))
     high = F.least(last, F.floor(F.col("seq") / step))
-    return counted.select(*keys, "seq", F.explode(F.sequence(low.cast("int"), high.cast("int"))).alias("k")).select(*keys, "seq", (F.col("k") + 1).alias("chunk_no"))
+    return counted.select(*keys, "seq", *columns, F.explode(F.sequence(low.cast("int"), high.cast("int"))).alias("k")).select(*keys, "seq", *columns, (F.col("k") + 1).alias("chunk_no"))
 
 
 def longest_streak(messages: DataFrame, keys=KEYS) -> DataFrame:

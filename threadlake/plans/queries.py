@@ -37,16 +37,16 @@ def _repaired(c: str) -> str:
 
 
 BASE = f"""
-conv AS (SELECT conv_id, min(text) AS said FROM conversations WHERE turn = 1 GROUP BY conv_id),
+conv AS (SELECT conv_id, turn, min(text) AS said FROM conversations GROUP BY conv_id, turn),
 m0 AS (
-  SELECT user_id // 5 AS archive_id, CAST(row_number() OVER (PARTITION BY user_id // 5 ORDER BY event_id) - 1 AS BIGINT) AS seq,
+  SELECT user_id // 50 AS archive_id, CAST(row_number() OVER (PARTITION BY user_id // 50 ORDER BY event_id) - 1 AS BIGINT) AS seq,
     date_trunc('minute', ts) + to_days(CAST(25 * ((day(ts) - 1) // 5) AS INTEGER)) AS ts, e.event_id, user_id,
     CASE WHEN event_type = 'signup' AND event_id % 10 = 0 THEN 'system' WHEN event_type = 'error' AND event_id % 5 = 0 THEN 'deleted' WHEN event_type = 'purchase' AND event_id % 4 = 0 THEN 'media_omitted' ELSE 'text' END AS message_type, said
-  FROM events e LEFT JOIN conv ON event_id % 5 = 1 AND conv_id = event_id % (SELECT max(conv_id) + 1 FROM conversations)),
+  FROM (SELECT *, CASE WHEN event_id % 5 = 1 THEN event_id // 5 END AS k, (SELECT max(conv_id) + 1 FROM conversations) AS nc FROM events) e LEFT JOIN conv ON conv_id = k % nc AND turn = (k // nc) % 8),
 m1 AS (
   SELECT archive_id, seq, ts, message_type, CASE WHEN message_type <> 'system' THEN 'participant_0' || (user_id % 5 + 1) END AS sender_id,
     CASE message_type WHEN 'deleted' THEN 'This message was deleted' WHEN 'media_omitted' THEN '<Media omitted>'
-      ELSE coalesce(trim(regexp_replace(said, '\\s+', ' ', 'g')), ([{", ".join(map(quoted, PHRASES))}])[(event_id * 7 + user_id) % 40 + 1]) END AS text
+      ELSE coalesce(trim(regexp_replace(said, '\\s+', ' ', 'g')), ([{", ".join(map(quoted, PHRASES))}])[(event_id * 7 + user_id) % 40 + 1]) END AS text, coalesce(message_type = 'text' AND contains(said, chr(10)), false) AS is_multiline
   FROM m0),
 m2 AS (
   SELECT *, {_repaired("lower(text)")} AS normalized_text, regexp_matches(text, '(?i)(https?://|www\\.)') AS has_url,
@@ -73,7 +73,7 @@ a3 AS (SELECT *, least(1e0, greatest(0e0, 0.15e0 + emoji_count * 0.04e0 + len(re
 a4 AS (SELECT *, least(1e0, greatest(0e0, 0.15e0 + ri * 0.45e0 + least(word_count, 40) / 120e0 + CASE WHEN support_signal THEN 0.16e0 ELSE 0e0 END + CASE WHEN conflict_signal THEN 0.18e0 ELSE 0e0 END + CASE WHEN repair_signal THEN 0.18e0 ELSE 0e0 END
     + CASE WHEN {_hits(L.INTIMACY)} > 0 THEN 0.2e0 ELSE 0e0 END + CASE WHEN {_hits(L.BANTER)} > 0 THEN 0.15e0 ELSE 0e0 END - CASE WHEN {_hits(L.INSTITUTIONAL)} > 0 THEN 0.5e0 ELSE 0e0 END - CASE WHEN word_count > 60 THEN 0.3e0 ELSE 0e0 END)) AS rs FROM a3),
 a AS (SELECT *, message_type = 'text' AND rs >= 0.67e0 AND word_count BETWEEN 4 AND 50 AS highlight_candidate, rs >= 0.78e0 OR support_signal OR conflict_signal OR repair_signal OR list_contains(archetype_tags, 'affection') AS milestone_candidate,
-    round(ri, 4) AS emotion_intensity, round(rs, 4) AS importance_score, round(0.3e0 + rs * 0.7e0, 4) AS evidence_score FROM a4)"""
+    floor(ri * 10000e0 + 0.5e0) / 10000e0 AS emotion_intensity, floor(rs * 10000e0 + 0.5e0) / 10000e0 AS importance_score, floor((0.3e0 + rs * 0.7e0) * 10000e0 + 0.5e0) / 10000e0 AS evidence_score FROM a4)"""
 
 SESSIONS = """,
 s0 AS (SELECT archive_id, session_no, min(seq) AS first_seq, max(seq) AS last_seq, arg_min(ts, seq) AS start_ts, arg_max(ts, seq) AS end_ts, count(*) AS message_count, avg(importance_score) AS mean_importance FROM a GROUP BY ALL),
@@ -112,7 +112,7 @@ def long(*names: str):
     return lambda df: df.select(*(F.col(n).cast("long").alias(n) if n in _COUNTS else F.col(n) for n in names))
 
 
-_COUNTS = {"n", "seq", "rank", "session_no", "message_count", "total_messages", "margin", "winner_count", "late_night_count", "late_night_messages", "active_days", "longest_streak", "chunk_no", "change_score", "segment_no", "support_count", "conflict_count", "repair_count", "sessions", "first_session", "first_seq", "last_seq", "total_words", "emoji_count", "link_count", "session_opener_count", "longest_message", "hour_of_day", "weekday", "gap_minutes", "reply_gap_minutes", "from_seq", "archive_id"}
+_COUNTS = {"multiline_count", "n", "seq", "rank", "session_no", "message_count", "total_messages", "margin", "winner_count", "late_night_count", "late_night_messages", "active_days", "longest_streak", "chunk_no", "change_score", "segment_no", "support_count", "conflict_count", "repair_count", "sessions", "first_session", "first_seq", "last_seq", "total_words", "emoji_count", "link_count", "session_opener_count", "longest_message", "hour_of_day", "weekday", "gap_minutes", "reply_gap_minutes", "from_seq", "archive_id"}
 
 
 def rows(name: str, build, names: str, sql: str, level: int = 0) -> None:
@@ -133,8 +133,8 @@ _STOP = ", ".join(map(quoted, L.STOP_WORDS))
 _TOKENS = f"list_filter(string_split_regex(regexp_replace(normalized_text, '[^\\p{{L}}\\p{{N}}{L.SPACES}]', ' ', 'g'), '[{L.SPACES}]+'), lambda x: length(x) > 1 AND x NOT IN ({_STOP}))"
 column("tokenize", lambda: F.array_join(T.tokenize(F.col("text")), " "), f"array_to_string({_TOKENS}, ' ')")
 column("slugify", lambda: T.slugify(F.col("text")), "substr(regexp_replace(regexp_replace(normalized_text, '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 80)")
-column("sentence_case", lambda: T.sentence_case(F.col("text")), "upper(substr(text, 1, 1)) || substr(text, 2)")
-column("title_case", lambda: T.title_case(F.col("text")), f"array_to_string(list_transform(list_filter(string_split_regex(text, '[_\\-{L.SPACES}]+'), lambda x: x <> ''), lambda x: upper(substr(x, 1, 1)) || substr(x, 2)), ' ')")
+column("sentence_case", lambda: T.sentence_case(F.col("text")), "CASE WHEN substr(text, 1, 1) = 'ß' THEN 'SS' ELSE upper(substr(text, 1, 1)) END || substr(text, 2)")
+column("title_case", lambda: T.title_case(F.col("text")), f"array_to_string(list_transform(list_filter(string_split_regex(text, '[_\\-{L.SPACES}]+'), lambda x: x <> ''), lambda x: CASE WHEN substr(x, 1, 1) = 'ß' THEN 'SS' ELSE upper(substr(x, 1, 1)) END || substr(x, 2)), ' ')")
 rows("calendar_keys", lambda m: m, "archive_id seq hour_of_day weekday day_key week_key month_key", "SELECT * FROM m")
 rows("gap_minutes", lambda m: m, "archive_id seq gap_minutes", "SELECT * FROM m")
 rows("sessionize", lambda m: m, "archive_id seq session_no", "SELECT * FROM m")
@@ -153,12 +153,12 @@ rows("monthly_volume", R.monthly_volume, "archive_id month_key n", "SELECT archi
 rows("frequency_summary", R.frequency_summary, "archive_id total_messages active_days mean_per_day", "SELECT archive_id, count(*) AS total_messages, count(DISTINCT day_key) FILTER (message_type <> 'system') AS active_days, round(count(*) FILTER (message_type <> 'system') / greatest(1e0, count(DISTINCT day_key) FILTER (message_type <> 'system')), 2) AS mean_per_day FROM m GROUP BY 1")
 _OPEN = ", o AS (SELECT archive_id, session_no, arg_min(sender_id, seq) AS sender_id FROM act GROUP BY ALL)"
 rows("session_openers", R.session_openers, "archive_id sender_id n", _OPEN + ";;SELECT archive_id, sender_id, count(*) AS n FROM o GROUP BY ALL")
-rows("participant_overview", R.participant_overview, "archive_id sender_id total_messages message_share total_words words_per_message chars_per_message emoji_count emoji_share link_count link_share weekend_percentage late_night_percentage session_opener_count longest_message average_reply_gap", _OPEN + """,
+rows("participant_overview", R.participant_overview, "archive_id sender_id total_messages message_share total_words words_per_message chars_per_message emoji_count emoji_share link_count link_share weekend_percentage late_night_percentage session_opener_count longest_message multiline_count average_reply_gap", _OPEN + """,
 oc AS (SELECT archive_id, sender_id, count(*) AS opened FROM o GROUP BY ALL),
-p AS (SELECT archive_id, sender_id, count(*) AS n, sum(word_count) AS words, sum(char_count) AS chars, sum(emoji_count) AS emoji, sum(CAST(has_url AS INT)) AS links, sum(CAST(weekday IN (0, 6) AS INT)) AS weekends, sum(CAST(hour_of_day IN (22, 23, 0, 1, 2, 3, 4) AS INT)) AS late, max(char_count) AS longest, avg(reply_gap_minutes) AS gap FROM act WHERE sender_id IS NOT NULL GROUP BY ALL);;
+p AS (SELECT archive_id, sender_id, count(*) AS n, sum(word_count) AS words, sum(char_count) AS chars, sum(emoji_count) AS emoji, sum(CAST(has_url AS INT)) AS links, sum(CAST(weekday IN (0, 6) AS INT)) AS weekends, sum(CAST(hour_of_day IN (22, 23, 0, 1, 2, 3, 4) AS INT)) AS late, max(char_count) AS longest, sum(CAST(is_multiline AS INT)) AS multiline_count, avg(reply_gap_minutes) AS gap FROM act WHERE sender_id IS NOT NULL GROUP BY ALL);;
 SELECT archive_id, sender_id, n AS total_messages, round(n / greatest(1e0, sum(n) OVER w) * 100, 2) AS message_share, words AS total_words, round(words / CAST(n AS DOUBLE), 2) AS words_per_message, round(chars / CAST(n AS DOUBLE), 2) AS chars_per_message, emoji AS emoji_count,
 round(emoji / greatest(1e0, sum(emoji) OVER w) * 100, 2) AS emoji_share, links AS link_count, round(links / greatest(1e0, sum(links) OVER w) * 100, 2) AS link_share, round(weekends / CAST(n AS DOUBLE) * 100, 2) AS weekend_percentage, round(late / CAST(n AS DOUBLE) * 100, 2) AS late_night_percentage,
-coalesce(opened, 0) AS session_opener_count, longest AS longest_message, round(coalesce(gap, 0e0), 2) AS average_reply_gap FROM p LEFT JOIN oc USING (archive_id, sender_id) WINDOW w AS (PARTITION BY archive_id)""")
+coalesce(opened, 0) AS session_opener_count, longest AS longest_message, multiline_count, round(coalesce(gap, 0e0), 2) AS average_reply_gap FROM p LEFT JOIN oc USING (archive_id, sender_id) WINDOW w AS (PARTITION BY archive_id)""")
 rows("reply_gaps", R.reply_gaps, "archive_id sender_id average_reply_gap", "SELECT archive_id, sender_id, round(coalesce(avg(reply_gap_minutes), 0e0), 2) AS average_reply_gap FROM act WHERE sender_id IS NOT NULL GROUP BY ALL")
 _SPLIT = """, mo AS (SELECT archive_id, month_key, count(*) AS total_messages, sum(CAST(hour_of_day IN (22, 23, 0, 1, 2, 3, 4) AS INT)) AS late_night_count FROM act GROUP BY ALL), pe AS (SELECT DISTINCT archive_id, sender_id FROM act WHERE sender_id IS NOT NULL),
 c AS (SELECT archive_id, month_key, sender_id, count(*) AS k FROM act GROUP BY ALL), sp AS (SELECT mo.archive_id, mo.month_key, pe.sender_id, total_messages, late_night_count, coalesce(k, 0) AS n FROM mo JOIN pe USING (archive_id) LEFT JOIN c ON c.archive_id = mo.archive_id AND c.month_key = mo.month_key AND c.sender_id = pe.sender_id)"""
@@ -166,6 +166,7 @@ rows("monthly_split", R.monthly_split, "archive_id month_key sender_id total_mes
 rows("month_winners", R.month_winners, "archive_id month_key winner winner_count margin total_messages", _SPLIT + ", r AS (SELECT *, row_number() OVER w AS r, lead(n) OVER w AS second FROM sp WINDOW w AS (PARTITION BY archive_id, month_key ORDER BY n DESC, sender_id));;SELECT archive_id, month_key, CASE WHEN n = second THEN NULL ELSE sender_id END AS winner, n AS winner_count, CASE WHEN n = second THEN 0 ELSE n - coalesce(second, 0) END AS margin, total_messages FROM r WHERE r = 1")
 rows("late_night_trend", R.late_night_trend, "archive_id month_key total_messages late_night_messages late_night_share", "SELECT archive_id, month_key, total_messages, l AS late_night_messages, round(l / CAST(total_messages AS DOUBLE) * 100, 2) AS late_night_share FROM (SELECT archive_id, month_key, count(*) AS total_messages, sum(CAST(hour_of_day IN (22, 23, 0, 1, 2, 3, 4) AS INT)) AS l FROM act GROUP BY ALL)")
 for _name, _col, _size in (("weekday_distribution", "weekday", 7), ("hour_distribution", "hour_of_day", 24)):
+    rows(_name + "_by_sender", lambda m, c=_col, n=_size: R.distribution_by_sender(m, c, n), f"archive_id sender_id {_col} n", f", g AS (SELECT archive_id, sender_id, unnest(range(0, {_size})) AS {_col} FROM (SELECT DISTINCT archive_id, sender_id FROM act WHERE sender_id IS NOT NULL)), c AS (SELECT archive_id, sender_id, {_col}, count(*) AS k FROM act GROUP BY ALL);;SELECT archive_id, sender_id, {_col}, coalesce(k, 0) AS n FROM g LEFT JOIN c USING (archive_id, sender_id, {_col})")
     rows(_name, lambda m, c=_col, n=_size: R.dense(m, c, n), f"archive_id {_col} n", f", g AS (SELECT archive_id, unnest(range(0, {_size})) AS {_col} FROM (SELECT DISTINCT archive_id FROM m)), c AS (SELECT archive_id, {_col}, count(*) AS k FROM act GROUP BY ALL);;SELECT archive_id, {_col}, coalesce(k, 0) AS n FROM g LEFT JOIN c USING (archive_id, {_col})")
 for _name, _quiet in (("busiest_windows", False), ("quietest_windows", True)):
     rows(_name, lambda m, q=_quiet: R.window_extremes(m, quiet=q), "archive_id rank weekday hour_of_day n", f", c AS (SELECT archive_id, weekday, hour_of_day, count(*) AS n FROM act GROUP BY ALL);;SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY archive_id ORDER BY n {'' if _quiet else 'DESC'}, weekday, hour_of_day) AS rank FROM c) WHERE rank <= 6")
@@ -181,7 +182,7 @@ rows("signals_and_candidates", lambda a: a, "archive_id seq support_signal confl
 _AACT = "(SELECT * FROM a WHERE message_type <> 'system')"
 rows("emotion_timeline", R.emotion_timeline, "archive_id week_key mean_intensity dominant_emotion n", f", w AS (SELECT archive_id, week_key, round(avg(emotion_intensity), 4) AS mean_intensity, count(*) AS n FROM {_AACT} GROUP BY ALL), l AS (SELECT archive_id, week_key, emotion_label AS dominant_emotion, row_number() OVER (PARTITION BY archive_id, week_key ORDER BY count(*) DESC, min(seq)) AS r FROM {_AACT} GROUP BY archive_id, week_key, emotion_label);;SELECT * FROM w JOIN l USING (archive_id, week_key) WHERE r = 1", 1)
 rows("emotion_mix", R.emotion_mix, "archive_id sender_id emotion_label n", f"SELECT archive_id, coalesce(sender_id, '*') AS sender_id, emotion_label, count(*) AS n FROM {_AACT} GROUP BY GROUPING SETS ((archive_id, emotion_label), (archive_id, sender_id, emotion_label))", 1)
-rows("archetype_mix", R.archetype_mix, "archive_id sender_id archetype n", f"SELECT archive_id, sender_id, archetype, count(*) AS n FROM (SELECT archive_id, sender_id, unnest(archetype_tags) AS archetype FROM {_AACT}) GROUP BY ALL", 1)
+rows("archetype_mix", R.archetype_mix, "archive_id sender_id archetype n", f"SELECT archive_id, coalesce(sender_id, '*') AS sender_id, archetype, count(*) AS n FROM (SELECT archive_id, sender_id, unnest(archetype_tags) AS archetype FROM {_AACT}) GROUP BY GROUPING SETS ((archive_id, archetype), (archive_id, sender_id, archetype))", 1)
 for _name, _by in (("signal_totals", "sender_id"), ("signal_trend", "month_key")):
     rows(_name, lambda a, by=_by: R.signals(a, by), f"archive_id {_by} support_count conflict_count repair_count", f"SELECT archive_id, {_by}, {', '.join(f'sum(CAST({s}_signal AS INT)) AS {s}_count' for s in ('support', 'conflict', 'repair'))} FROM {_AACT} GROUP BY ALL", 1)
 rows("topic_clusters", N.topic_clusters, "archive_id rank topic n", ", e AS (SELECT archive_id, seq, unnest(topic_tags) AS topic, generate_subscripts(topic_tags, 1) AS p FROM a);;SELECT archive_id, topic, count(*) AS n, row_number() OVER (PARTITION BY archive_id ORDER BY count(*) DESC, min(seq * 100 + p)) AS rank FROM e GROUP BY archive_id, topic", 1)

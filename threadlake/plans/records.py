@@ -10,8 +10,7 @@ from threadlake.plans import queries as Q
 _LATE = "sum(CAST(hour_of_day IN (22, 23, 0, 1, 2, 3, 4) AS INT))"
 _ISO = "strftime({}, '%Y-%m-%dT%H:%M:%S')"
 _SPAN = f"{_ISO.format('arg_min(ts, seq)')} AS first_ts, {_ISO.format('arg_max(ts, seq)')} AS last_ts"
-#: The test bed's months are small, so their floors are lower than the defaults.
-FLOORS = {"balanced": 40, "night": 50}
+FLOORS = {"balanced": 200, "night": 400}
 
 Q._COUNTS |= {"participants", "total_messages", "top_day_count", "top_month_count", "longest_session", "cycles"}
 
@@ -37,7 +36,7 @@ Q.rows("monthly_takeover", X.monthly_takeover, "archive_id month_key winner marg
 w AS (SELECT archive_id, month_key, sender_id AS winner, n - coalesce(second, 0) AS margin, total_messages FROM r WHERE r = 1 AND n IS DISTINCT FROM second);;
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY archive_id ORDER BY margin DESC, total_messages DESC, month_key) AS q FROM w) WHERE q = 1""")
 Q.rows("night_owl_month", lambda m: X.night_owl_month(m, FLOORS["night"]), "archive_id month_key total_messages late_night_share", f""", n AS (SELECT archive_id, month_key, count(*) AS total_messages, round({_LATE} / CAST(count(*) AS DOUBLE) * 100, 2) AS late_night_share FROM act GROUP BY archive_id, month_key);;
-SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY archive_id ORDER BY late_night_share DESC, month_key) AS r FROM n WHERE total_messages >= {FLOORS["night"]}) WHERE r = 1""")
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY archive_id ORDER BY late_night_share DESC, total_messages DESC, month_key) AS r FROM n WHERE total_messages >= {FLOORS["night"]}) WHERE r = 1""")
 _HINTED = f""", t AS (SELECT archive_id, seq, {Q._TOKENS} AS t FROM a WHERE message_type = 'text' AND word_count BETWEEN 2 AND 8),
 c AS (SELECT archive_id, array_to_string(t, ' ') AS phrase, count(*) AS n, min(seq) AS f FROM t WHERE len(t) BETWEEN 2 AND 8 GROUP BY ALL),
 k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY archive_id ORDER BY n DESC, f) AS rank FROM c WHERE n >= 3) WHERE rank <= 40),
@@ -49,7 +48,7 @@ l AS (SELECT archive_id, week_key, emotion_label, row_number() OVER (PARTITION B
 t AS (SELECT archive_id, week_key, mean_intensity, emotion_label AS e, row_number() OVER (PARTITION BY archive_id ORDER BY week_key) - 1 AS i, count(*) OVER (PARTITION BY archive_id) AS c FROM w JOIN l USING (archive_id, week_key) WHERE r = 1)"""
 Q.rows("arc_summary", X.arc_summary, "archive_id opening_tone middle_tone closing_tone peak_week peak_intensity", _WEEKS + ";;SELECT archive_id, max(e) FILTER (i = 0) AS opening_tone, max(e) FILTER (i = c // 2) AS middle_tone, max(e) FILTER (i = c - 1) AS closing_tone, (list(week_key ORDER BY mean_intensity DESC, week_key))[1] AS peak_week, max(mean_intensity) AS peak_intensity FROM t GROUP BY archive_id", 1)
 _PERIOD = "SELECT archive_id, '{0}' AS kind, {1} AS period, {2} AS value, row_number() OVER (PARTITION BY archive_id ORDER BY {2} DESC, min(seq)) AS r FROM {3} GROUP BY archive_id, {1}"
-_PERIODS = " UNION ALL ".join(_PERIOD.format(k, p, v, Q._AACT) for k, p, v in (("most_active_month", "month_key", "CAST(count(*) AS DOUBLE)"), ("support_month", "month_key", "CAST(sum(CAST(support_signal AS INT)) AS DOUBLE)"), ("repair_month", "month_key", "CAST(sum(CAST(repair_signal AS INT)) AS DOUBLE)"), ("most_intense_week", "week_key", "round(avg(emotion_intensity), 4)")))
+_PERIODS = " UNION ALL ".join(_PERIOD.format(k, p, v, Q._AACT) for k, p, v in (("most_active_month", "month_key", "CAST(count(*) AS DOUBLE)"), ("support_month", "month_key", "CAST(sum(CAST(support_signal AS INT)) AS DOUBLE)"), ("repair_month", "month_key", "CAST(sum(CAST(repair_signal AS INT)) AS DOUBLE)"), ("most_intense_week", "week_key", "CAST(count(*) AS DOUBLE)")))
 Q.rows("peak_periods", X.peak_periods, "archive_id kind period value", f";;SELECT * FROM ({_PERIODS}) WHERE r = 1", 1)
 _CYCLES = "SELECT archive_id, count(*) FILTER (list_contains(p_arch, 'conflict') AND list_contains(archetypes, 'repair_reconnection')) AS n FROM p GROUP BY archive_id"
 Q.rows("conflict_repair_cycles", lambda x: X.conflict_repair_cycles(x[1]), "archive_id n", _CYCLES, 2)

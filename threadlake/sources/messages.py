@@ -20,17 +20,19 @@ PHRASES = [
 
 def messages_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "user_id", "event_type")
-    conv = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("turn = 1").groupBy("conv_id").agg(F.min("text").alias("said"))
+    conv = spark.read.parquet(f"{sf_dir}/conversations.parquet").groupBy("conv_id", "turn").agg(F.min("text").alias("said"))
     n = spark.read.parquet(f"{sf_dir}/conversations.parquet").agg((F.max("conv_id") + 1).alias("n_conv"))
     kind = F.expr("CASE WHEN event_type = 'signup' AND event_id % 10 = 0 THEN 'system' WHEN event_type = 'error' AND event_id % 5 = 0 THEN 'deleted' WHEN event_type = 'purchase' AND event_id % 4 = 0 THEN 'media_omitted' ELSE 'text' END")
-    e = ev.withColumn("archive_id", F.floor(F.col("user_id") / 5)).withColumn("message_type", kind).crossJoin(F.broadcast(n))
-    e = e.join(conv, F.when(F.col("event_id") % 5 == 1, F.col("event_id") % F.col("n_conv")) == F.col("conv_id"), "left")
+    e = ev.withColumn("archive_id", F.floor(F.col("user_id") / 50)).withColumn("message_type", kind).crossJoin(F.broadcast(n))
+    # every fifth event speaks a turn: first the turns 0 of all conversations, then the turns 1, and so on, again and again
+    k = F.when(F.col("event_id") % 5 == 1, F.floor(F.col("event_id") / 5))
+    e = e.withColumn("conv_id", k % F.col("n_conv")).withColumn("turn", F.floor(k / F.col("n_conv")) % 8).join(conv, ["conv_id", "turn"], "left")
     phrase = F.element_at(F.array(*map(F.lit, PHRASES)), ((F.col("event_id") * 7 + F.col("user_id")) % 40 + 1).cast("int"))
     words = F.when(F.col("message_type") == "deleted", "This message was deleted").when(F.col("message_type") == "media_omitted", "<Media omitted>").otherwise(F.coalesce(F.trim(F.regexp_replace("said", r"\s+", " ")), phrase))
     moved = F.expr("cast(date_trunc('MINUTE', ts) as timestamp_ntz) + make_dt_interval(cast(25 * floor((day(ts) - 1) / 5) as int))")
     sender = F.when(F.col("message_type") != "system", F.concat(F.lit("participant_0"), (F.col("user_id") % 5 + 1).cast("string")))
     seq = F.row_number().over(Window.partitionBy("archive_id").orderBy("event_id")) - 1
-    m = e.select("archive_id", seq.cast("long").alias("seq"), moved.alias("ts"), sender.alias("sender_id"), sender.alias("sender_label"), "message_type", words.alias("text"))
+    m = e.select("archive_id", seq.cast("long").alias("seq"), moved.alias("ts"), sender.alias("sender_id"), sender.alias("sender_label"), "message_type", words.alias("text"), F.coalesce((F.col("message_type") == "text") & F.col("said").contains("\n"), F.lit(False)).alias("is_multiline"))
     return features(m)
 
 

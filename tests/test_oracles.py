@@ -1,6 +1,7 @@
 """Every query with SQL against DuckDB, as multisets of rows."""
 
 import math
+import os
 from collections import Counter
 
 import duckdb
@@ -8,7 +9,7 @@ import pytest
 
 import __spark_entry__ as entry
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
 TABLES = ("events", "conversations", "documents", "pages", "benchmark", "labels")
 
 

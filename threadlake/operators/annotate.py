@@ -19,8 +19,8 @@ ANNOTATIONS = ["emotion_label", "archetype_tags", "topic_tags", "emotion_intensi
 
 
 def keyword_hits(text: Column) -> Column:
-    """Whether each of KEYWORDS occurs anywhere in the text."""
-    return F.transform(F.array(*map(F.lit, KEYWORDS)), lambda k: text.contains(k))
+    """Whether each of KEYWORDS occurs anywhere in the text. The outer array binds the text, which would else be made anew for each keyword."""
+    return F.transform(F.array(text), lambda t: F.transform(F.lit(KEYWORDS), lambda k: t.contains(k)))[0]
 
 
 def count_hits(hits: Column, keywords: list[str]) -> Column:

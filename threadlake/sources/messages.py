@@ -31,6 +31,8 @@ def messages_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.when(F.col("message_type") == "deleted", "This message was deleted").when(F.col("message_type") == "media_omitted", "<Media omitted>").otherwise(F.coalesce(F.trim(F.regexp_replace("said", r"\s+", " ")), phrase))
     moved = F.expr("cast(date_trunc('MINUTE', ts) as timestamp_ntz) + make_dt_interval(cast(25 * floor((day(ts) - 1) / 5) as int))")
     sender = F.when(F.col("message_type") != "system", F.concat(F.lit("participant_0"), (F.col("user_id") % 5 + 1).cast("string")))
+    # dealt by archive before the texts are looked at; the windows by archive keep this
+    e = e.repartition("archive_id")
     seq = F.row_number().over(Window.partitionBy("archive_id").orderBy("event_id")) - 1
     m = e.select("archive_id", seq.cast("long").alias("seq"), moved.alias("ts"), sender.alias("sender_id"), sender.alias("sender_label"), "message_type", words.alias("text"), F.coalesce((F.col("message_type") == "text") & F.col("said").contains("\n"), F.lit(False)).alias("is_multiline"))
     return features(m)

@@ -62,12 +62,12 @@ def brute_contamination(text, items, width=10):
     return len(w), hit, sorted(ids)
 
 
-@pytest.mark.parametrize("block", [decontamination.BLOCK_BYTES, 20_000])
-def test_decontamination(spark, docs, rows, block):
+@pytest.mark.parametrize("passes", [1, 3])
+def test_decontamination(spark, docs, rows, passes):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     bench = bench.select(F.col("item_id").cast("string").alias("item_id"), "text").union(spark.createDataFrame([("short", "The and"), (None, None), ("none", "...")], "item_id string, text string"))
     items = [tuple(r) for r in bench.collect()]
-    got = decontamination.find_contamination(docs, bench, block_bytes=block).collect()
+    got = decontamination.find_contamination(docs, bench, passes=passes).collect()
     assert len(got) == len(rows)
     some = 0
     for r in got:
@@ -86,6 +86,11 @@ def test_decontamination_odd(spark, odd, none):
     got = {(r["doc_id"], r["text"]): r["hits_"] for r in decontamination.find_contamination(odd, bench).collect()}
     assert got[5, "a b c"]["n_hit"] == 3 and got[5, "a b"]["items"] == ["1"] and got[None, "lost text"]["items"] == [""] and got[1, None]["n_words"] == 0
     assert decontamination.find_contamination(none, bench).count() == 0
+    clash = odd.withColumns({"_d": F.lit(1), "got": F.lit(2), "whose": F.lit(3)})
+    again = decontamination.find_contamination(clash, bench, passes=2)
+    assert again.columns == [*clash.columns, "hits_"] and again.where("_d = 1 and got = 2 and whose = 3").count() == odd.count()
+    with pytest.raises(ValueError, match="passes"):
+        decontamination.find_contamination(none, bench.withColumn("text", F.repeat(F.lit("w "), 1)), passes=0)
     assert decontamination.drop_contaminated(odd, bench).count() == odd.count() - 5
     assert decontamination.drop_contaminated(odd, bench.limit(0)).count() == odd.count()
 
@@ -315,6 +320,28 @@ def test_sentencepiece_words():
         assert np.frombuffer(ids, "<u2").tolist() == m.sp.encode(w[1:])
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_best_paths(seed):
+    """The forward scores of a hand-made unigram vocabulary against all ways to cut each word."""
+    rng = np.random.default_rng(seed)
+    pieces = sorted({"".join(rng.choice(list("ab▁c"), int(rng.integers(1, 4)))) for _ in range(30)} | {"a", "b"})
+    ids, scores = {p: i for i, p in enumerate(pieces)}, rng.uniform(-9, -1, len(pieces)).tolist()
+    m = sentencepieces.Model.__new__(sentencepieces.Model)
+    m.pieces = pieces
+    m._trie(ids)
+    words = sorted({"".join(rng.choice(list("ab▁cz"), int(rng.integers(1, 9)))) for _ in range(300)})
+
+    def brute(w):
+        if not w:
+            return 0.0
+        ways = [scores[ids[w[:k]]] + brute(w[k:]) for k in range(1, min(3, len(w)) + 1) if w[:k] in ids]
+        return max([*ways, -30.0 + brute(w[1:])])
+
+    for w, path in zip(words, sentencepieces.best_paths(words, m.go, m.fail, m.outs, scores, -30.0)):
+        assert "".join(pieces[p] if p >= 0 else chr(-1 - p) for p in path) == w
+        assert sum(scores[p] if p >= 0 else -30.0 for p in path) == pytest.approx(brute(w))
+
+
 def check_shards(got, texts, shards):
     total = defaultdict(int)
     slots = defaultdict(list)

@@ -19,8 +19,8 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same before lower-casing.
 ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 RESULT = "n_words long, n_hit long, items array<string>, starts array<long>, ends array<long>"
-#: Bytes of windows in one automaton. More windows make more automata, each its own pass over the texts.
-BLOCK_BYTES = 32 << 20
+#: Bytes of windows that one automaton may have, and that are broadcast at once.
+MOST_BYTES = 256 << 20
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
 
@@ -84,30 +84,33 @@ def _scanner(spark: SparkSession, windows: list[tuple[str, list[str]]]):
     return hits
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_bytes: int = BLOCK_BYTES, key: str = "doc_id", text: str = "text") -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, passes: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with n_words, n_hit, items, starts, ends in a struct column, named hits unless docs has that name.
 
-    The windows of one automaton are at most about block_bytes. A larger benchmark is cut by a hash of
-    the window; hits of the blocks are then joined on the key and a digest of the text. Null texts have
-    no words and no hits; repeated rows give repeated results; extra columns pass through.
+    One automaton of all windows, which each text meets once. A benchmark of more than MOST_BYTES of windows
+    is refused: give a number of passes, each with its own automaton of a share of the windows (by a hash)
+    over all texts; their hits are joined on the key and a digest of the text. Null and empty texts have no
+    words and no hits; texts of any length are scanned whole; of equal windows each item counts; repeated
+    rows give repeated results; no rows give none; extra columns pass through.
     """
     spark, out = docs.sparkSession, free_name(docs, "hits")
-    windows = benchmark_windows(benchmark, width)
+    windows = materialize(benchmark_windows(benchmark, width))
     size = windows.agg(F.coalesce(F.sum(F.octet_length("window") + 24 * F.size("items")), F.lit(0))).first()[0]
-    blocks = max(1, -(-size // block_bytes))
-    if blocks == 1:
+    if size > MOST_BYTES * passes:
+        raise ValueError(f"{size} bytes of windows need passes={-(-size // MOST_BYTES)} or more")
+    if passes == 1:
         return docs.withColumn(out, _scanner(spark, [tuple(r) for r in windows.collect()])(F.col(text)))
-    windows = materialize(windows)
     found = None
     slim = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).distinct()
-    for b in range(blocks):
-        part = [tuple(r) for r in windows.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == b).collect()]
+    for b in range(passes):
+        part = [tuple(r) for r in windows.where(F.pmod(F.xxhash64("window"), F.lit(passes)) == b).collect()]
         one = materialize(slim.withColumn("h", _scanner(spark, part)(F.col("t"))).where("h.n_hit > 0").select("k", F.sha2("t", 256).alias("d"), "h.*"))
         found = one if found is None else found.unionByName(one)
     gathered = found.groupBy("k", "d").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"))
-    plain = docs.withColumn("_d", F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
-    joined = plain.join(gathered.select(F.struct("k", "d").alias("_kd"), F.struct("items", "starts", "ends").alias("_g")), F.struct(F.col(key).alias("k"), F.col("_d").alias("d")).eqNullSafe(F.col("_kd")), "left")
-    return joined.withColumn(out, _joined(F.col(text), F.col("_g.items"), F.col("_g.starts"), F.col("_g.ends"))).drop("_d", "_kd", "_g")
+    whose, got = free_name(docs, "whose"), free_name(docs, "got")
+    own = F.struct(F.col(key).alias("k"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("d"))
+    joined = docs.join(gathered.select(F.struct("k", "d").alias(whose), F.struct("items", "starts", "ends").alias(got)), own.eqNullSafe(F.col(whose)), "left")
+    return joined.withColumn(out, _joined(F.col(text), *(F.col(got)[c] for c in ("items", "starts", "ends")))).drop(whose, got)
 
 
 def _passages(text: str | None, items, starts, ends) -> tuple:

@@ -1,11 +1,13 @@
 """SentencePiece encoding and decoding by a shared-prefix forward pass.
 
 The distinct marked words of a batch are sorted, which is a depth-first walk of their trie, and the
-forward states of a common prefix are kept from word to word. The public model is of BPE type, where
-the best path isn't the one of highest summed score: a path is right if each two neighbouring pieces
-would be merged into nothing else. So a state keeps the one last piece whose pair with the piece
-before it stands the merges; this gives the library's ids. An automaton of the pieces names those
+forward states of a common prefix are kept from word to word. An automaton of the pieces names those
 that end at a character, so that no other is tried.
+
+For models of unigram type the pass is Viterbi's: a prefix's forward score is the highest summed score of
+the pieces that make it. For models of BPE type, such as the public one, the path of highest sum isn't
+the library's: a path is right if each two neighbouring pieces would be merged into nothing else. There
+a prefix keeps the one last piece whose pair with the piece before it stands the merges.
 """
 
 from __future__ import annotations
@@ -44,6 +46,9 @@ class Model:
         self.start = len(self.pieces) + 0x110000  # stands before the first piece; a character that is no piece is n + its code point
         self.coded = [np.array([i], dtype=self.dtype).tobytes() for i in range(n)]
         self._trie({p: i for p, i in self.ids.items()})
+        self.scores = [self.sp.get_score(i) for i in range(n)]
+        #: BPE models score their pieces by rank, in whole numbers; unigram models by log probability.
+        self.unigram = any(self.scores[i] != int(self.scores[i]) for i in plain)
         self.courses: dict[int, list | None] = {}
         self.pairs: dict[int, bool] = {}
         self.words: dict[str, bytes] = {}
@@ -128,6 +133,10 @@ class Model:
 
     def encode_sorted(self, words: list[str]) -> list[bytes]:
         """Ids of sorted distinct marked words as little-endian 16- or 32-bit numbers."""
+        if self.unigram:
+            least = min(self.scores[i] for i in self.ids.values()) - 10.0  # the library's score of an unknown character
+            spell = lambda p: [p] if p >= 0 else [self.bytes[b] for b in chr(-1 - p).encode("utf-8", "surrogatepass")]
+            return [np.array([i for p in path for i in spell(p)], dtype=self.dtype).tobytes() for path in best_paths(words, self.go, self.fail, self.outs, self.scores, least)]
         go, fail, outs, pairs, stands = self.go, self.fail, self.outs, self.pairs, self.stands
         n, pieces, coded = len(self.pieces), self.pieces, self.coded
         states, last = [0], [self.start]  # of each prefix: its state, and the last piece of its path
@@ -218,6 +227,47 @@ class Model:
         return text[1:] if text.startswith(" ") else text
 
 
+def best_paths(words: list[str], go: list[dict[str, int]], fail: list[int], outs: list[tuple[tuple[int, int], ...]], scores, unknown: float) -> list[list[int]]:
+    """The pieces of highest summed score of each of the sorted words; -1 - c for a character c that no piece covers.
+
+    Forward scores of the prefix that a word shares with the one before it aren't computed again. Of
+    equal sums the path with the longest last piece is taken.
+    """
+    states, best, back = [0], [0.0], [(0, 0)]  # of each prefix: its state, forward score, and last piece with its length
+    before, out = "", []
+    for w in words:
+        common = 0
+        for x, y in zip(before, w):
+            if x != y:
+                break
+            common += 1
+        for some in (states, best, back):
+            del some[common + 1 :]
+        s, d = states[common], common
+        for ch in w[common:]:
+            d += 1
+            t = go[s].get(ch)
+            while t is None and s:
+                s = fail[s]
+                t = go[s].get(ch)
+            s = t or 0
+            states.append(s)
+            top, last = best[d - 1] + unknown, (-1 - ord(ch), 1)
+            for k, p in reversed(outs[s]):  # longest first, so that the longest of equal sums comes last
+                if best[d - k] + scores[p] >= top:
+                    top, last = best[d - k] + scores[p], (p, k)
+            best.append(top)
+            back.append(last)
+        path, d = [], len(w)
+        while d:
+            p, k = back[d]
+            path.append(p)
+            d -= k
+        out.append(path[::-1])
+        before = w
+    return out
+
+
 def model(path: str) -> Model:
     return held(("pieces", path), lambda: Model(path))
 

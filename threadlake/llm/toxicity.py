@@ -102,8 +102,10 @@ class Machine:
         return out
 
     def score(self, texts: list[str | None]) -> np.ndarray:
-        x = (self.pooled([t or "" for t in texts]) - self.mean) / self.scale
-        return 1 / (1 + np.exp(-np.clip(x @ self.pool[:-1] + self.pool[-1], -30, 30)))
+        """Of each text; 0 without any word."""
+        raw = self.pooled([t or "" for t in texts])
+        x = (raw - self.mean) / self.scale
+        return np.where(raw[:, -1] > 0, 1 / (1 + np.exp(-np.clip(x @ self.pool[:-1] + self.pool[-1], -30, 30))), 0.0)
 
 
 def _pieces(text: str):

@@ -1,0 +1,177 @@
+"""The stages of corpus_pipeline on planted documents, each against a plain version; and queries without SQL."""
+
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from tests.llm.test_operators import brute_contamination
+from tests.llm.test_overlaps import brute_kept
+from threadlake.llm import fingerprints, secrets, sentencepieces, toxicity
+from threadlake.llm.queries import QUERIES
+from threadlake.llm.tokens import tiktoken_encoding, vocabulary_path
+
+SF = "/root/testdata/sf0.001"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, hits string, score double"
+
+
+@pytest.fixture(scope="module")
+def planted(spark, tmp_path_factory):
+    """A folder with documents, labels and benchmark: plain and toxic texts, copies, benchmark passages, secrets, nulls, repeats."""
+    rng = random.Random(7)
+    words = [w for w in ("river stone garden winter letter market window silver morning village bridge teacher music paper summer forest kitchen doctor street candle ocean mirror").split()]
+    insult = "you are a worthless zorblatt and a miserable snarfkin. "
+
+    def prose(n):
+        return " ".join(f"{rng.choice(words)}{rng.choice(['', 's', 'ly'])}" + (f" {rng.randrange(9999)}" if i % 7 == 0 else "") for i in range(n)) + "."
+
+    rows = {i: prose(60) for i in range(200)}
+    toxic = set(range(0, 200, 9))
+    for i in toxic:
+        rows[i] = prose(20) + " " + insult + prose(20)
+    items = [(1, " ".join(prose(14).split())), (2, "tiny passage here")]
+    rows[300] = prose(30) + " " + items[0][1] + " " + prose(10)
+    rows[301] = rows[10]
+    rows[302] = rows[11].replace(" ", "  ", 3) + " end"
+    rows[303] = prose(20) + " password = hunter2hunter2 and qZxKpVwTjLmRbHsDfGyNcX " + prose(10)
+    rows[304], rows[305], rows[306] = None, "", prose(30_000)
+    folder = tmp_path_factory.mktemp("planted")
+    data = [(i, t, "en", "s", len(t or ""), "x", 0.5) for i, t in rows.items()]
+    docs = spark.createDataFrame([*data, data[20]], SCHEMA)
+    docs.coalesce(2).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(i, 1, int(i in toxic)) for i in range(200)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return str(folder), rows, toxic, items
+
+
+def test_stages(spark, planted):
+    sf, rows, toxic, items = planted
+    docs, stages = spark.read.parquet(f"{sf}/documents.parquet"), dict(corpus_pipeline.STAGES)
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near copies", "benchmark", "secrets", "token ids"]
+
+    kept = stages["toxicity"](spark, docs, sf)
+    assert kept.columns == docs.columns
+    ids = [r["doc_id"] for r in kept.collect()]
+    held = {i for i in range(200) if zlib.crc32(str(i).encode()) % 4 == 2}
+    assert not toxic & held & set(ids) and set(range(200)) - toxic <= set(ids) and ids.count(20) == 2
+
+    one = stages["near copies"](spark, docs, sf)
+    assert one.columns == docs.columns and sorted(r["doc_id"] for r in one.collect()) == brute_kept(rows)
+
+    clean = stages["benchmark"](spark, docs, sf)
+    want = sorted(i for i, t in [*rows.items(), (20, rows[20])] if not brute_contamination(t, items)[1])
+    assert clean.columns == docs.columns and sorted(r["doc_id"] for r in clean.collect()) == want and 300 not in want
+
+    enc = tiktoken_encoding(vocabulary_path("byte_bpe_50k.tiktoken"))
+    cut = {r["doc_id"]: r for r in stages["secrets"](spark, docs, sf).collect()}
+    for i, t in rows.items():
+        parts, at = [], 0
+        for a, _, z in secrets.scan(t, enc):
+            parts += [t[at:a], "[SECRET]"] if a >= at else []
+            at = max(at, z)
+        assert cut[i]["text"] == (None if t is None else "".join(parts) + t[at:]) and (t is None or cut[i]["n_chars"] == len(cut[i]["text"]))
+    assert cut[303]["text"].count("[SECRET]") == 2
+
+    sp = sentencepieces.model(vocabulary_path("piece_bpe_32k.model")).sp
+    for r in stages["token ids"](spark, docs, sf).collect():
+        assert np.frombuffer(r["ids"], "<u2").tolist() == sp.encode(rows[r["doc_id"]] or "") and r["n_ids"] == len(r["ids"]) // 2
+
+
+def test_run(spark, planted):
+    """The stages one after the other, on all that the one before kept; and on no rows."""
+    sf, rows, toxic, _ = planted
+    got = {r["doc_id"]: r["n_ids"] for r in corpus_pipeline.run(spark, sf).collect()}
+    held = {i for i in toxic if zlib.crc32(str(i).encode()) % 4 == 2}
+    assert not held & set(got) and not {300, 301, 302, 305} & set(got) and {10, 11, 303, 304, 306} <= set(got) and len(got) > 150
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, sf)
+    assert docs.count() == 0
+
+
+def brute_sketch(text):
+    w = [x for x in re.split(r"[ \t\n\x0b\f\r]+", (text or "").lower()) if x]
+    out = set()
+    for i in range(max(1, len(w) - 4) if w else 0):
+        h = 42
+        for x in w[i : i + 5]:
+            h = xxhash.xxh64_intdigest(x.encode(), h)
+        out.add(h >> 1)
+    low = {h for h in out if h < 1 << 59}
+    return (sorted(low) or sorted(out)[:1]), sorted(out)
+
+
+def brute_likeness(a, b):
+    (sa, fa), (sb, fb) = a, b
+    if any(s and s[0] >= 1 << 59 for s in (sa, sb)):
+        sa, sb = fa, fb
+    least = min(len(sa), len(sb))
+    return 1.0 if not sa and not sb else len(set(sa) & set(sb)) / least if least else 0.0
+
+
+def test_fingerprint_query(spark):
+    rows = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    ids, got = sorted(rows), {r["doc_id"]: r for r in QUERIES["op5_document_fingerprints"](spark, SF).collect()}
+    for i, d in enumerate(ids):
+        t, nxt = rows[d], rows[ids[(i + 1) % len(ids)]]
+        q = len(t) // 4
+        own, after, edit = brute_sketch(t), brute_sketch(nxt), brute_sketch(t[: len(t) - q] + nxt[:q])
+        assert got[d]["fingerprint"] == "".join(f"{h:016x}" for h in own[0]) and got[d]["edited_fingerprint"] == "".join(f"{h:016x}" for h in edit[0])
+        assert got[d]["near_edited"] == pytest.approx(brute_likeness(own, edit)) and got[d]["near_next"] == pytest.approx(brute_likeness(own, after))
+
+
+def test_machine_score():
+    """A document's pooled numbers from kernel sums taken subsequence by subsequence, without the table."""
+    rng = np.random.default_rng(3)
+    codes = {}
+
+    def weight(code):
+        return codes.setdefault(code, float(rng.normal()))
+
+    text = "You idi-ot, go home. Kind words here!\nAnd more of th.em today"
+    s = toxicity.symbols(text)
+    x = [1 if c == 2 else int(c) for c in s] + [0] * toxicity.SPAN
+    value = []
+    for i in range(len(s)):
+        total = 0.0
+        for o in toxicity.OFFSETS:
+            code = 0
+            for k, at in enumerate((0, *o)):
+                code += x[i + at] * toxicity.SYMBOLS ** (toxicity.ORDER - 1 - k)
+            total += toxicity.DECAY ** (o[-1] + 1) * weight(code)
+        value.append(total)
+    table = np.zeros(toxicity.SYMBOLS**toxicity.ORDER, np.float32)
+    for c, v in codes.items():
+        table[c] = v
+    starts = [i for i in range(len(s) - 1) if s[i] <= 2 and s[i + 1] > 2]
+    words = sorted((sum(value[a:z]) for a, z in zip(starts, [*starts[1:], len(s)])), reverse=True)
+    top = (words + [0.0] * 10)[:10]
+    got = toxicity._pool(table, text)
+    assert got[:6] == pytest.approx([top[0], top[1], np.mean(top[:3]), np.mean(top[:5]), np.mean(top), sum(words) / len(words)], abs=1e-3)
+    assert got[7] == pytest.approx(np.log1p(len(words)))
+
+
+def test_toxicity_query(spark, planted):
+    sf, rows, toxic, _ = planted
+    got = QUERIES["op9_toxicity"](spark, sf).collect()
+    assert len(got) == len(rows) + 1
+    for r in got:
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) and r["predicted"] == int(r["score"] >= 0.3) and 0 <= r["score"] <= 1
+    right = [r["predicted"] == (r["doc_id"] in toxic) for r in got if r["held_out"] and r["doc_id"] < 200]
+    assert np.mean(right) > 0.95
+
+
+def test_odd_insults(spark, planted):
+    """Letters put in, digits for letters and blanks between letters, in documents that the machine hasn't seen."""
+    sf, rows, toxic, _ = planted
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    m = toxicity.fit(docs, labels)
+    plain = [rows[i] for i in range(1, 9)]
+    assert (m.score(plain) < 0.3).all()
+    put_in = [t + " you are a worthlexss zorqblatt and a misxerable snarfwkin." for t in plain]
+    assert (m.score(put_in) >= 0.3).mean() > 0.7

@@ -27,6 +27,30 @@ def with_sessions(messages: DataFrame, keys=KEYS, gap: int = SESSION_GAP) -> Dat
     return m.withColumn("reply_gap_minutes", F.when(F.lag("ts").over(own).isNotNull(), reply)).withColumn("technical_session_id", F.format_string("tech_%04d", "session_no"))
 
 
+def with_sessions_in_blocks(messages: DataFrame, keys=KEYS, gap: int = SESSION_GAP, block_rows: int = 1 << 20) -> DataFrame:
+    """The same as with_sessions where one archive may hold much of all rows: no task has more than block_rows of them.
+
+    Rows are dealt to blocks of seq, which counts an archive's messages without holes. A block gets the last
+    time before it, and each sender's, from small tables of the blocks; its sessions are counted on from
+    those of the blocks before.
+    """
+    m = messages.withColumn("_b", F.floor(F.col("seq") / block_rows))
+    ends = m.groupBy(*keys, "_b").agg(F.max_by("ts", "seq").alias("_last")).select(*keys, (F.col("_b") + 1).alias("_b"), "_last")
+    before = F.lag("_end").over(Window.partitionBy(*keys, "sender_id").orderBy("_b"))
+    own_ends = m.where("sender_id is not null").groupBy(*keys, "sender_id", "_b").agg(F.max_by("ts", "seq").alias("_end")).withColumn("_own", before).drop("_end")
+    order, own = Window.partitionBy(*keys, "_b").orderBy("seq"), Window.partitionBy(*keys, "_b", "sender_id").orderBy("seq")
+    m = m.join(ends, [*keys, "_b"], "left").join(own_ends, [*keys, "sender_id", "_b"], "left")
+    earlier, own_earlier = F.coalesce(F.lag("ts").over(order), "_last"), F.coalesce(F.lag("ts").over(own), "_own")
+    since = lambda c: F.greatest(F.lit(0), minutes(F.col("ts"), c)).cast("int")
+    m = m.withColumn("gap_minutes", F.when(earlier.isNotNull(), since(earlier))).withColumn("reply_gap_minutes", F.when(F.col("sender_id").isNotNull() & own_earlier.isNotNull(), since(own_earlier)))
+    m = m.withColumn("_new", (F.col("gap_minutes").isNull() | (F.col("gap_minutes") >= gap)).cast("int"))
+    ahead = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = m.groupBy(*keys, "_b").agg(F.sum("_new").alias("_n")).select(*keys, "_b", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_start"))
+    number = F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)) + F.col("_start")
+    m = m.join(starts, [*keys, "_b"]).withColumn("session_no", number.cast("int")).withColumn("technical_session_id", F.format_string("tech_%04d", "session_no"))
+    return m.select(*messages.columns, "gap_minutes", "session_no", "reply_gap_minutes", "technical_session_id")
+
+
 def silence_gaps(messages: DataFrame, keys=KEYS, limit: int = 6) -> DataFrame:
     """The longest gaps between neighbouring active messages."""
     order = Window.partitionBy(*keys).orderBy("seq")

@@ -31,8 +31,13 @@ def has_url(c: Column) -> Column:
     return c.rlike(r"(?i)(https?://|www\.)")
 
 
+def words_in(normal: Column) -> Column:
+    """Words of a text whose white space is normal already, in whatever case."""
+    return F.size(F.filter(F.split(normal, " "), lambda x: x != ""))
+
+
 def word_count(c: Column) -> Column:
-    return F.size(F.filter(F.split(normalize_whitespace(c), " "), lambda x: x != ""))
+    return words_in(normalize_whitespace(c))
 
 
 def char_count(c: Column) -> Column:

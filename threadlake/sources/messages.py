@@ -41,8 +41,9 @@ def messages_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 def features(m: DataFrame) -> DataFrame:
     """Text features, calendar keys, gaps and sessions on (archive_id, seq, ts, sender_id, sender_label, message_type, text)."""
     text, ts = F.col("text"), F.col("ts")
+    m = m.withColumn("normalized_text", T.normalize_text(text))
     m = m.select(
-        "*", F.format_string("msg_%07d", F.col("seq") + 1).alias("message_id"), T.normalize_text(text).alias("normalized_text"), T.has_url(text).alias("has_url"), T.char_count(text).alias("char_count"), T.word_count(text).alias("word_count"), T.count_emoji(text).alias("emoji_count"),
+        "*", F.format_string("msg_%07d", F.col("seq") + 1).alias("message_id"), T.has_url(text).alias("has_url"), T.char_count(text).alias("char_count"), T.words_in(F.col("normalized_text")).alias("word_count"), T.count_emoji(text).alias("emoji_count"),
         F.hour(ts).alias("hour_of_day"), T.weekday(ts).alias("weekday"), T.day_key(ts).alias("day_key"), T.week_key(ts).alias("week_key"), T.month_key(ts).alias("month_key"),
     )
     return with_sessions(m)

@@ -116,7 +116,12 @@ def edited(text: Column, following: Column) -> Column:
 
 
 def fingerprint_documents(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row."""
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row.
+
+    Null texts are empty; two texts without words are alike (1), one without words is like no other (0).
+    Rows of one doc_id, repeated ones too, stand in the order of their texts; null ids come first; a lone
+    row is next to itself; no rows give none. Texts of any length are taken whole; other columns are ignored.
+    """
     d = with_next(docs, bucket_bytes)
     d = d.withColumn("edited", edited(F.col("text"), F.col("next_text")))
     d = d.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "text", "edited", "next_text", "sketch", "next_sketch", sketch(F.col("edited")).alias("edited_sketch"))

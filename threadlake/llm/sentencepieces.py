@@ -303,5 +303,10 @@ def decode_ids(path: str):
 
 
 def encode_documents(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """docs with a struct column, named pieces unless docs has that name: n_ids, ids, ids_crc32, exact."""
+    """docs with a struct column, named pieces unless docs has that name: n_ids, ids, ids_crc32, exact.
+
+    Null and empty texts have no ids. A text of any length is encoded whole; a batch's texts are
+    taken some SOME_WORDS words at a time. Equal texts, repeated rows too, have equal ids; no rows give none;
+    other columns pass through.
+    """
     return docs.withColumn(free_name(docs, "pieces"), piece_ids(path)(F.col(text)))

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadlake.llm.common import free_name, held, materialize
+from threadlake.llm.common import discard, free_name, held, materialize
 from threadlake.llm.components import connected_components
 
 WORDS, SEED, BITS = 3, 42, 2
@@ -136,14 +136,19 @@ def near_pairs(prints: DataFrame, bits: int = BITS, bucket: int = BUCKET) -> Dat
     many = keyed.join(crowded, "key", "left_semi").select("fp").distinct()
     hubs = many.select("fp", F.explode(F.array(fp, *(fp.bitwiseXOR(F.lit(_signed(1 << i))) for i in range(64)))).alias("hub"))
     least = hubs.groupBy("hub").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1")
-    return pairs.unionByName(hubs.join(least, "hub").where("a <> fp").select("a", F.col("fp").alias("b")))
+    out = materialize(pairs.unionByName(hubs.join(least, "hub").where("a <> fp").select("a", F.col("fp").alias("b"))))
+    for done in (keyed, crowded, few):
+        discard(done)
+    return out
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fp, component_id) of every row: the smallest doc_id reachable over links of two bits or fewer.
 
-    Null, empty and wordless texts have fingerprint 0 and are linked like any other. Repeated rows are
-    in one component. Rows with a null doc_id get the component's smallest id that isn't null.
+    Null, empty and wordless texts have fingerprint 0 and are linked like any other. Equal texts and
+    repeated rows are in one component. Rows with a null doc_id get the component's smallest id that
+    isn't null. A text of any length is hashed whole, 200,000 shingles at a time; no rows give none;
+    other columns are ignored.
     """
     prints = materialize(docs.select(F.col(key).alias("doc_id"), simhash_of(F.col(text)).alias("fp")))
     first = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadlake.llm.common import free_name, held, materialize
+from threadlake.llm.common import discard, free_name, held, materialize
 
 ORDER, SPAN, DECAY, LANDMARKS = 4, 6, 0.7, 192
 #: The bounded sample of labelled rows that the machine learns from, by a hash of the id; and of their sentences.
@@ -270,7 +270,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, sentences: i
                     out.append((k / np.float32(np.sqrt(n))).tobytes())
                 yield pa.RecordBatch.from_pydict({"v": out, "toxic": part.column(1)}, schema=pa.schema([("v", pa.binary()), ("toxic", pa.int32())]))
 
-    got = materialize(chosen).repartition(24).mapInArrow(vectors, "v binary, toxic int").toPandas()
+    picked = materialize(chosen)
+    got = picked.repartition(24).mapInArrow(vectors, "v binary, toxic int").toPandas()
     k = np.frombuffer(b"".join(got["v"]), dtype=np.float32).reshape(len(got), -1)
     y = got["toxic"].to_numpy(dtype=np.float64)
     assert 0 < y.sum() < len(y), "the machine needs sentences of both classes"
@@ -294,6 +295,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, sentences: i
     got = sample.select(pooled("text").alias("x"), "toxic").toPandas()
     x, y = np.array(got["x"].tolist()), got["toxic"].to_numpy(dtype=np.float64)
     mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-9)
+    discard(sample)
+    discard(picked)
     return Machine(table, float(w[-1]), _logistic((x - mean) / scale, y), mean, scale)
 
 
@@ -310,11 +313,15 @@ def scorer(docs: DataFrame, machine: Machine):
 
 
 def score_documents(docs: DataFrame, machine: Machine, text: str = "text") -> DataFrame:
-    """docs with the probability of being toxic, named score unless docs has that name."""
+    """docs with the probability of being toxic, named score unless docs has that name.
+
+    Null, empty and wordless texts score 0. All of a long text counts, a part of CHUNK characters at a time.
+    Equal texts, repeated rows too, score alike; no rows give none; other columns pass through.
+    """
     return docs.withColumn(free_name(docs, "score"), scorer(docs, machine)(F.col(text)))
 
 
 def drop_toxic(docs: DataFrame, machine: Machine, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs that score below the threshold, columns as they were."""
+    """The rows of docs that score below the threshold, null and empty texts among them; columns as they were."""
     name = free_name(docs, "score")
     return score_documents(docs, machine, text).where(F.col(name) < threshold).select(*docs.columns)

@@ -30,6 +30,8 @@ THRESHOLD = 0.3
 #: Symbols: 0 dropped, 1 between words, 2 end of sentence, then letters; 39 is any other letter or digit.
 SYMBOLS = 40
 LETTERS = "abcdefghijklmnopqrstuvwxyzéèêçüöäßñóí"
+#: Signs that are written for letters.
+MEANT = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
 OFFSETS = list(combinations(range(1, SPAN), ORDER - 1))
 #: Characters handled at once.
 CHUNK = 1 << 19
@@ -46,6 +48,8 @@ def _symbol_table() -> np.ndarray:
         t[ord(c)] = t[ord(c.upper()) if len(c.upper()) == 1 else ord(c)] = 3 + i % (SYMBOLS - 4)
     for c in "   　 \t\r\f\v":
         t[ord(c)] = 1
+    for c, letter in MEANT.items():
+        t[ord(c)] = t[ord(letter)]
     for c in ".!?\n":
         t[ord(c)] = 2
     t[0x2010:0x2060] = 0
@@ -53,11 +57,18 @@ def _symbol_table() -> np.ndarray:
 
 
 def symbols(text: str) -> np.ndarray:
-    """Codes of the text's symbols between two word ends, dropped ones left out; so is a stop before a letter."""
+    """Codes of the text's symbols between two word ends, dropped ones left out.
+
+    So is a stop before a letter, and a blank between two letters that stand alone, as in a word spelled out.
+    """
     raw = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
     code = _symbol_table()[raw]
     code[:-1][(code[:-1] == 2) & (raw[:-1] != 10) & (code[1:] > 2)] = 0
-    return np.concatenate((np.array([1], np.uint8), code[code > 0], np.array([1], np.uint8)))
+    s = np.concatenate((np.array([1], np.uint8), code[code > 0], np.array([1], np.uint8)))
+    letter, alone, spelled = s > 2, np.zeros(len(s), bool), np.zeros(len(s), bool)
+    alone[1:-1] = letter[1:-1] & ~letter[:-2] & ~letter[2:]
+    spelled[1:-1] = (s[1:-1] == 1) & alone[:-2] & alone[2:]
+    return s[~spelled]
 
 
 def _codes(s: np.ndarray):

@@ -173,10 +173,8 @@ def test_odd_insults(spark, planted):
     m = toxicity.fit(docs, labels)
     plain = [rows[i] for i in range(1, 9)]
     assert (m.score(plain) < 0.3).all()
-    put_in = [t + " you are a worthlexss zorqblatt and a misxerable snarfwkin." for t in plain]
-    assert (m.score(put_in) >= 0.3).mean() > 0.7
-    insult = "you are a worthless {} and a miserable {}."
-    for change in (lambda w: w, lambda w: " ".join(w), lambda w: "-".join(w), lambda w: w.translate(str.maketrans("oieast", "013457"))):
-        odd = [t + " " + insult.format(change("zorblatt"), change("snarfkin")) for t in plain]
+    unseen = [rows[i] for i in sorted(toxic) if zlib.crc32(str(i).encode()) % 4 == 2]
+    for change in (lambda w: w, lambda w: w[:5] + "x" + w[5:], lambda w: " ".join(w), lambda w: "-".join(w), lambda w: w.translate(str.maketrans("oieast", "013457"))):
+        odd = [t.replace("zorblatt", change("zorblatt")).replace("snarfkin", change("snarfkin")) for t in unseen]
         assert (m.score(odd) >= 0.3).mean() > 0.7
     assert toxicity.features(" idiot ") == toxicity.features(" i d i o t ") == toxicity.features(" 1d10t ")

@@ -40,9 +40,11 @@ def render_lines(m: DataFrame) -> DataFrame:
 def parse_lines(lines: DataFrame) -> DataFrame:
     """is_header and, for headers, timestamp_raw and rest. A null line continues a record with nothing."""
     line = F.coalesce("line", F.lit(""))
-    part = lambda k: F.regexp_extract(line, HEADER, k)
-    header = line.rlike(HEADER)
-    return lines.select("archive_id", "line_no", header.alias("is_header"), F.when(header, F.concat(part(1), F.lit(", "), part(2), F.lit(" "), F.lower(part(3)))).alias("timestamp_raw"), F.when(header, part(4)).otherwise(line).alias("rest"))
+    # the parts of a header by one replacement; NUL is in none but the last, which keeps its own
+    parts = F.when(line.rlike(HEADER), F.split(F.regexp_replace(line, HEADER, "$1, $2 \0$3\0$4"), "\0", 3))
+    cut = lines.select("archive_id", "line_no", line.alias("line"), parts.alias("p"))
+    p = F.col("p")
+    return cut.select("archive_id", "line_no", p.isNotNull().alias("is_header"), F.concat(p[0], F.lower(p[1])).alias("timestamp_raw"), F.coalesce(p[2], "line").alias("rest"))
 
 
 def assemble_records(parsed: DataFrame) -> DataFrame:

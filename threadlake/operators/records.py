@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from threadlake.operators.narrative import phrase_motifs
 from threadlake.operators.ranking import top_k
-from threadlake.operators.rollups import active, count_by, daily_counts, emotion_timeline, late_night_trend, month_winners, monthly_split, participant_overview, ratio
-from threadlake.operators.sessions import chunk_windows, longest_streak
+from threadlake.operators.rollups import active, count_by, emotion_timeline, late_night_trend, month_winners, monthly_split, participant_overview, ratio
+from threadlake.operators.sessions import chunk_windows, longest_streak, streak_of
 from threadlake.functions.text import format_compact, late_night, weekend
 
 KEYS = ("archive_id",)
@@ -101,20 +101,27 @@ def conflict_repair_cycles(s: DataFrame) -> DataFrame:
 
 
 def signature_headline(a: DataFrame, s: DataFrame) -> DataFrame:
-    """One row an archive: totals, streak, top day and month, longest session, night share, support and cycles."""
-    act = active(a)
-    days = daily_counts(a)
-    night = F.sum(late_night(F.col("hour_of_day")).cast("int"))
-    total = act.groupBy("archive_id").agg(F.count("*").alias("total_messages"), ratio(F.count("*"), F.countDistinct("day_key"), False).alias("mean_per_day"), ratio(night, F.count("*")).alias("late_night_share"))
-    day = top_k(days, KEYS, [F.desc("n"), "day_key"], 1).select("archive_id", F.col("day_key").alias("top_day"), F.col("n").alias("top_day_count"))
-    month = top_k(count_by(act, "month_key"), KEYS, [F.desc("n"), "month_key"], 1).select("archive_id", F.col("month_key").alias("top_month"), F.col("n").alias("top_month_count"))
+    """One row an archive: totals, streak, top day and month, longest session, night share, support and cycles.
+
+    Messages are read once, into counts by day; all else comes from the days and the sessions.
+    """
+    act = F.col("message_type") != "system"
+    n = lambda c: F.sum(c.cast("int"))
+    days = a.groupBy("archive_id", "day_key").agg(n(act).alias("n"), n(act & late_night(F.col("hour_of_day"))).alias("late"), n(F.col("support_signal")).alias("support"))
+    some = days.where("n > 0")
+    best = lambda c: F.min(F.struct((-F.col("n")).alias("m"), F.col(c).alias("at")))
+    total = some.groupBy("archive_id").agg(F.sum("n").alias("total"), F.count("*").alias("days"), F.sum("late").alias("late"), best("day_key").alias("day"))
+    months = some.groupBy("archive_id", F.substring("day_key", 1, 7).alias("month_key")).agg(F.sum("n").alias("n")).groupBy("archive_id").agg(best("month_key").alias("month"))
+    support = days.groupBy("archive_id").agg(F.sum("support").alias("support_count"))
     longest = s.groupBy("archive_id").agg(F.max("message_count").alias("longest_session"))
-    support = a.groupBy("archive_id").agg(F.sum(F.col("support_signal").cast("int")).alias("support_count"))
-    cycles = conflict_repair_cycles(s).withColumnRenamed("n", "cycles")
     out = total
-    for part in (longest_streak(a), day, month, longest, support, cycles):
+    for part in (months, streak_of(some), support, longest, conflict_repair_cycles(s).withColumnRenamed("n", "cycles")):
         out = out.join(part, "archive_id", "left")
-    return out
+    c = F.col
+    return out.select(
+        "archive_id", c("total").alias("total_messages"), ratio(c("total"), c("days"), False).alias("mean_per_day"), ratio(c("late"), c("total")).alias("late_night_share"), "longest_streak", c("day.at").alias("top_day"), (-c("day.m")).alias("top_day_count"),
+        c("month.at").alias("top_month"), (-c("month.m")).alias("top_month_count"), "longest_session", "support_count", "cycles",
+    )
 
 
 #: Fixed values: (measure, column of the participants' overview, whether the least wins).

@@ -71,6 +71,11 @@ def chunk_windows(messages: DataFrame, keys=KEYS, size: int = CHUNK_SIZE, overla
 
 def longest_streak(messages: DataFrame, keys=KEYS) -> DataFrame:
     """The longest run of consecutive days with active messages."""
-    days = messages.where("message_type <> 'system'").select(*keys, F.to_date("day_key").alias("d")).distinct()
+    return streak_of(messages.where("message_type <> 'system'").select(*keys, "day_key").distinct(), keys)
+
+
+def streak_of(days: DataFrame, keys=KEYS) -> DataFrame:
+    """The longest run of consecutive days in a table of (keys, day_key)."""
+    days = days.select(*keys, F.to_date("day_key").alias("d"))
     runs = days.withColumn("run", F.date_sub("d", F.row_number().over(Window.partitionBy(*keys).orderBy("d"))))
     return runs.groupBy(*keys, "run").agg(F.count("*").alias("n")).groupBy(*keys).agg(F.max("n").alias("longest_streak"))

@@ -214,8 +214,9 @@ def _svm(x: np.ndarray, y: np.ndarray, c: float = 1.0, rounds: int = 25) -> np.n
     ridge[-1, -1] = 1e-6
     for _ in range(rounds):
         active = s * (a @ w) < 1
-        b = a[active] * weight[active, None]
-        new = np.linalg.solve(ridge + b.T @ a[active], b.T @ s[active])
+        some = a[active]
+        b = some * weight[active, None]
+        new = np.linalg.solve(ridge + b.T @ some, b.T @ s[active])
         if np.abs(new - w).max() < 1e-4:
             break
         w = new
@@ -285,15 +286,18 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, sentences: i
     got = picked.repartition(24).mapInArrow(vectors, "v binary, toxic int").toPandas()
     k = np.frombuffer(b"".join(got["v"]), dtype=np.float32).reshape(len(got), -1)
     y = got["toxic"].to_numpy(dtype=np.float64)
+    del got
     assert 0 < y.sum() < len(y), "the machine needs sentences of both classes"
     gram = (mat.T @ mat).astype(np.float64)
     values, vecs = np.linalg.eigh(gram)
     keep = values > 1e-4 * values.max()
     white = vecs[:, keep] / np.sqrt(values[keep])
-    z = k @ white.astype(np.float32)
-    z = z.astype(np.float64)
+    z = (k @ white.astype(np.float32)).astype(np.float64)
+    del k
     spread = z.std(axis=0).mean() or 1.0
-    w = _svm(z / spread, y)
+    z /= spread
+    w = _svm(z, y)
+    del z
     table = np.zeros(SYMBOLS**ORDER, dtype=np.float32)
     table[keys] = mat @ (white @ (w[:-1] / spread))
     shared = docs.sparkSession.sparkContext.broadcast(table)

@@ -26,16 +26,22 @@ ORDER, SPAN, DECAY, LANDMARKS = 4, 6, 0.7, 192
 TRAIN_ROWS, TRAIN_SENTENCES = 12_000, 30_000
 #: A document's sentences beyond these, by hash, are taken only where there is room after all documents' first ones.
 DOCUMENT_SENTENCES = 100
+#: Clean documents of the sample whose words give the neutral score.
+NEUTRAL_ROWS = 1000
 THRESHOLD = 0.3
 #: Symbols: 0 dropped, 1 between words, 2 end of sentence, then letters; 39 is any other letter or digit.
 SYMBOLS = 40
 LETTERS = "abcdefghijklmnopqrstuvwxyzéèêçüöäßñóí"
-#: Signs that are written for letters.
+#: Signs that are written for letters, within words that have half as many letters as digits and such signs at least.
 MEANT = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
+#: In the symbol table such a sign has the code of its letter plus this.
+SIGN = 64
 OFFSETS = list(combinations(range(1, SPAN), ORDER - 1))
 #: Characters handled at once.
 CHUNK = 1 << 19
 POOLED = 8
+#: Signs of MEANT that are dropped as punctuation where they aren't read as letters.
+_DROPPED = [ord(c) for c in MEANT if not c.isdigit()]
 
 
 @lru_cache(maxsize=1)
@@ -49,7 +55,7 @@ def _symbol_table() -> np.ndarray:
     for c in "   　 \t\r\f\v":
         t[ord(c)] = 1
     for c, letter in MEANT.items():
-        t[ord(c)] = t[ord(letter)]
+        t[ord(c)] = SIGN + t[ord(letter)]
     for c in ".!?\n":
         t[ord(c)] = 2
     t[0x2010:0x2060] = 0
@@ -60,11 +66,20 @@ def symbols(text: str) -> np.ndarray:
     """Codes of the text's symbols between two word ends, dropped ones left out.
 
     So is a stop before a letter, and a blank between two letters that stand alone, as in a word spelled out.
+    A sign of MEANT is its letter where its word has half as many letters as signs and digits at least, else what it is.
     """
     raw = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
     code = _symbol_table()[raw]
     code[:-1][(code[:-1] == 2) & (raw[:-1] != 10) & (code[1:] > 2)] = 0
     s = np.concatenate((np.array([1], np.uint8), code[code > 0], np.array([1], np.uint8)))
+    sign = s >= SIGN
+    if sign.any():
+        word = np.cumsum(s <= 2)
+        other = sign | (s == SYMBOLS - 1)
+        meant = sign & (2 * np.bincount(word, (s > 2) & ~other) >= np.bincount(word, other))[word]
+        plain = np.isin(raw[code > 0], _DROPPED)
+        s = np.where(meant, s - SIGN, np.where(sign, SYMBOLS - 1, s)).astype(np.uint8)
+        s = s[np.concatenate(([True], ~plain, [True])) | meant]
     letter, alone, spelled = s > 2, np.zeros(len(s), bool), np.zeros(len(s), bool)
     alone[1:-1] = letter[1:-1] & ~letter[:-2] & ~letter[2:]
     spelled[1:-1] = (s[1:-1] == 1) & alone[:-2] & alone[2:]
@@ -100,16 +115,16 @@ def kernel(a: str, b: str) -> float:
 
 
 class Machine:
-    """What scoring needs: the table of subsequence weights, their bias, and the pooling regression."""
+    """What scoring needs: the table of subsequence weights, the pooling regression and a clean word's mean score."""
 
-    def __init__(self, table: np.ndarray, bias: float, pool: np.ndarray, mean: np.ndarray, scale: np.ndarray):
-        self.table, self.bias, self.pool, self.mean, self.scale = table, bias, pool, mean, scale
+    def __init__(self, table: np.ndarray, pool: np.ndarray, mean: np.ndarray, scale: np.ndarray, neutral: float = 0.0):
+        self.table, self.pool, self.mean, self.scale, self.neutral = table, pool, mean, scale, neutral
 
     def pooled(self, texts: list[str]) -> np.ndarray:
         """Of each text: best word scores, means, best sentence scores. All parts of long texts count."""
         out = np.zeros((len(texts), POOLED))
         for i, t in enumerate(texts):
-            out[i] = _pool(self.table, t)
+            out[i] = _pool(self.table, t, self.neutral)
         return out
 
     def score(self, texts: list[str | None]) -> np.ndarray:
@@ -130,19 +145,25 @@ def _pieces(text: str):
         at = z
 
 
-def _pool(table: np.ndarray, text: str) -> np.ndarray:
+def _pool(table: np.ndarray, text: str, neutral: float = 0.0) -> np.ndarray:
+    """A word gets the neutral score for the share of its subsequences that the table doesn't know, so strings never seen say nothing."""
     words = [np.zeros(0)]
     best_sentence, n_words = [0.0, 0.0], 0
     total = 0.0
     for part in _pieces(text):
         s = symbols(part)
-        v = np.zeros(len(s), dtype=np.float32)
+        v, known, most = np.zeros(len(s), dtype=np.float32), np.zeros(len(s), dtype=np.float32), np.float32(sum(DECAY ** (o[-1] + 1) for o in OFFSETS))
         for weight, code in _codes(s):
-            v += np.float32(weight) * table[code]
+            found = table[code]
+            v += np.float32(weight) * found
+            if neutral:
+                known += np.float32(weight) * (found != 0)
         starts = np.flatnonzero((s <= 2) & np.concatenate((s[1:] > 2, [False])))
         if not len(starts):
             continue
         w = np.add.reduceat(v, starts)
+        if neutral:
+            w += np.float32(neutral) * (1 - np.add.reduceat(known, starts) / (most * np.diff(np.append(starts, len(s)))))
         n_words += len(w)
         total += float(w.sum())
         some = np.partition(w, -10)[-10:] if len(w) > 10 else w
@@ -159,13 +180,13 @@ def _pool(table: np.ndarray, text: str) -> np.ndarray:
 
 
 def held_out(key: Column) -> Column:
-    """Rows kept from learning: the CRC-32 of the id as text, modulo 4, is 2."""
-    return F.crc32(key.cast("string").cast("binary")) % 4 == 2
+    """Rows kept from learning: the CRC-32 of the id as text, modulo 4, is 2. Rows without an id aren't; they have no label either."""
+    return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
 def _sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
     """(text, toxic) of the labelled rows to learn from: `rows` ids with the least hashes, at most one row each."""
-    ids = labels.where("doc_id is not null and toxic is not null").where(~F.coalesce(held_out(F.col("doc_id")), F.lit(True)))
+    ids = labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id")))
     ids = ids.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     return materialize(docs.select("doc_id", "text").where("text is not null").join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.max("toxic").alias("toxic")))
 
@@ -188,6 +209,13 @@ def _sentences(sample: DataFrame, bound: int, each: int = DOCUMENT_SENTENCES) ->
     return some[0].unionByName(some[1]), take1, take0
 
 
+def _left_out(sentences: DataFrame) -> DataFrame:
+    """The sentences, in half of them each word of five letters or more without one: its third, or its third from the end."""
+    which = F.pmod(F.xxhash64("s"), F.lit(4))
+    early, late = F.regexp_replace("s", r"(\p{L}{2})\p{L}(\p{L}{2,})", "$1$2"), F.regexp_replace("s", r"(\p{L}{2,})\p{L}(\p{L}{2})", "$1$2")
+    return sentences.select(F.when(which == 0, early).when(which == 1, late).otherwise(F.col("s")).alias("s"), "toxic")
+
+
 def _landmarks(sample: DataFrame, count: int) -> list[str]:
     """Words and word beginnings that tell the classes apart, and the commonest words as background.
 
@@ -206,12 +234,14 @@ def _landmarks(sample: DataFrame, count: int) -> list[str]:
 
 
 def _svm(x: np.ndarray, y: np.ndarray, c: float = 1.0, rounds: int = 25) -> np.ndarray:
-    """Weights and bias of a linear machine with squared hinge loss, classes weighted equally, by Newton steps."""
-    a = np.hstack((x, np.ones((len(x), 1))))
+    """Weights of a linear machine with squared hinge loss, classes weighted equally, by Newton steps.
+
+    It has no bias: a sentence of strings never seen scores 0, and a toxic one must have something that speaks for it.
+    """
+    a = x
     s = np.where(y > 0, 1.0, -1.0)
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y <= 0).sum())) * len(y) * c / 100
     w, ridge = np.zeros(a.shape[1]), np.eye(a.shape[1])
-    ridge[-1, -1] = 1e-6
     for _ in range(rounds):
         active = s * (a @ w) < 1
         some = a[active]
@@ -223,7 +253,18 @@ def _svm(x: np.ndarray, y: np.ndarray, c: float = 1.0, rounds: int = 25) -> np.n
     return w
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> np.ndarray:
+def _logistic_upward(x: np.ndarray, y: np.ndarray, upward: int) -> np.ndarray:
+    """A logistic regression in which none of the first `upward` weights is negative: the most negative one goes until none is."""
+    used = np.ones(x.shape[1], bool)
+    while True:
+        w = np.zeros(x.shape[1] + 1)
+        w[np.append(used, True)] = _logistic(x[:, used], y)
+        if w[:upward].min() >= 0:
+            return w
+        used[w[:upward].argmin()] = False
+
+
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 2.0, rounds: int = 50) -> np.ndarray:
     a = np.hstack((x, np.ones((len(x), 1))))
     w, r = np.zeros(a.shape[1]), ridge * np.eye(a.shape[1])
     r[-1, -1] = 1e-9
@@ -248,10 +289,10 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, sentences: i
     flat = np.zeros(POOLED)
     if not 0 < positive < n:
         bias = 30.0 if n and positive else -30.0
-        return Machine(np.zeros(SYMBOLS**ORDER, np.float32), 0.0, np.append(flat, bias), flat, np.ones(POOLED))
+        return Machine(np.zeros(SYMBOLS**ORDER, np.float32), np.append(flat, bias), flat, np.ones(POOLED))
     chosen, toxic, clean = _sentences(sample, sentences)
     if not toxic or not clean:
-        return Machine(np.zeros(SYMBOLS**ORDER, np.float32), 0.0, np.append(flat, 30.0 if toxic else -30.0), flat, np.ones(POOLED))
+        return Machine(np.zeros(SYMBOLS**ORDER, np.float32), np.append(flat, 30.0 if toxic else -30.0), flat, np.ones(POOLED))
     marks = _landmarks(sample, landmarks)
     f = [features(m) for m in marks]
     dims = {k: i for i, k in enumerate(sorted(set().union(*f)))}
@@ -282,7 +323,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, sentences: i
                     out.append((k / np.float32(np.sqrt(n))).tobytes())
                 yield pa.RecordBatch.from_pydict({"v": out, "toxic": part.column(1)}, schema=pa.schema([("v", pa.binary()), ("toxic", pa.int32())]))
 
-    picked = materialize(chosen)
+    picked = materialize(_left_out(chosen))
     got = picked.repartition(24).mapInArrow(vectors, "v binary, toxic int").toPandas()
     k = np.frombuffer(b"".join(got["v"]), dtype=np.float32).reshape(len(got), -1)
     y = got["toxic"].to_numpy(dtype=np.float64)
@@ -299,20 +340,27 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, sentences: i
     w = _svm(z, y)
     del z
     table = np.zeros(SYMBOLS**ORDER, dtype=np.float32)
-    table[keys] = mat @ (white @ (w[:-1] / spread))
+    table[keys] = mat @ (white @ (w / spread))
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
-    @F.pandas_udf("array<double>")
-    def pooled(texts: pd.Series) -> pd.Series:
-        held(("toxicity",), list)
-        return pd.Series([_pool(shared.value, t).tolist() for t in texts])
+    def pooled(neutral: float):
+        @F.pandas_udf("array<double>")
+        def pool(texts: pd.Series) -> pd.Series:
+            held(("toxicity",), list)
+            return pd.Series([_pool(shared.value, t, neutral).tolist() for t in texts])
+
+        return pool("text").alias("x")
 
-    got = sample.select(pooled("text").alias("x"), "toxic").toPandas()
+    some = [r["x"][5] for r in sample.where("toxic = 0").limit(NEUTRAL_ROWS).select(pooled(0.0)).collect()]
+    neutral = float(np.mean(some)) if some else 0.0
+    got = sample.select(pooled(neutral), "toxic").toPandas()
     x, y = np.array(got["x"].tolist()), got["toxic"].to_numpy(dtype=np.float64)
     mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-9)
+    scale[-1] = max(scale[-1], 1.0)  # where lengths hardly differ, a text of another length is no surprise
     discard(sample)
     discard(picked)
-    return Machine(table, float(w[-1]), _logistic((x - mean) / scale, y), mean, scale)
+    # a worse word never lowers a score
+    return Machine(table, _logistic_upward((x - mean) / scale, y, POOLED - 1), mean, scale, neutral)
 
 
 def scorer(docs: DataFrame, machine: Machine):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadlake.llm import decontamination, fingerprints, secrets, sentencepieces, separators, sharding, simhash, toxicity, url_filters, wavelets
+from threadlake.llm import decontamination, fingerprints, prefix_trie, secrets, sentencepieces, separators, sharding, simhash, toxicity, url_filters, wavelets
 from threadlake.llm.common import table
 from threadlake.llm.tokens import vocabulary_path
 
@@ -65,10 +65,20 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op2_url_filters, op3_secret_scans, op4_token_counts, op5_document_fingerprints, op6_sentencepiece, op7_sharding, op8_token_ids, op9_toxicity, op10_simhash)}
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.turns_of(table(spark, sf_dir, "conversations"))
+    return prefix_trie.prefix_trie(prefix_trie.with_shared_heads(turns))
+
+
+QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op2_url_filters, op3_secret_scans, op4_token_counts, op5_document_fingerprints, op6_sentencepiece, op7_sharding, op8_token_ids, op9_toxicity, op10_simhash, op13_conversation_trie)}
 
 _WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+#: One byte of a CRC-32, bit by bit.
+_CRC_BYTE = "xor(x, ascii(substr(c::VARCHAR, i + 1, 1)))"
+for _ in range(8):
+    _CRC_BYTE = f"(SELECT CASE WHEN y % 2 = 1 THEN xor(y >> 1, 3988292384) ELSE y >> 1 END FROM (SELECT {_CRC_BYTE} AS y))"
+
 ORACLES = {
     "op1_benchmark_decontamination": f"""
 WITH d AS (SELECT doc_id, coalesce({_WORDS}, []) AS w FROM documents),
@@ -84,4 +94,18 @@ items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
        sha256(coalesce(t, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN per USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op13_conversation_trie": f"""
+WITH RECURSIVE crc(c, x, i) AS (SELECT DISTINCT conv_id, 4294967295::BIGINT, 0 FROM conversations WHERE conv_id IS NOT NULL
+  UNION ALL SELECT c, {_CRC_BYTE}, i + 1 FROM crc WHERE i < length(c::VARCHAR)),
+h AS (SELECT c, xor(x, 4294967295) % 6 AS h FROM crc WHERE i = length(c::VARCHAR)),
+t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, substr(d, 1, 32)) AS i, substr(d, 1, 32) AS d, chars
+  FROM (SELECT conv_id, turn, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS d, length(coalesce(text, '')) AS chars FROM conversations WHERE conv_id IS NOT NULL)),
+r AS (SELECT h.c, t.i, d, chars FROM h JOIN t ON t.c = h.c - h.c % 100 AND t.i <= h UNION ALL SELECT h.c, 1000000 + t.i, d, chars FROM h JOIN t ON t.c = h.c AND t.i > h),
+s AS (SELECT h.c, coalesce(list(d ORDER BY i) FILTER (i IS NOT NULL), []) AS ds, coalesce(list(chars ORDER BY i) FILTER (i IS NOT NULL), []) AS cs FROM h LEFT JOIN r USING (c) GROUP BY h.c),
+p AS (SELECT c, unnest(range(0, len(ds) + 1)) AS depth, ds, cs FROM s),
+n AS (SELECT depth, ds[1:depth] AS path, min(c) AS conv_id, count(*) AS n_convs, max(cs[depth]) AS chars, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (len(ds) = depth), '')) AS ends_sha256 FROM p GROUP BY ALL),
+k AS (SELECT a.*, count(b.depth) AS n_children FROM n a LEFT JOIN n b ON b.depth = a.depth + 1 AND b.path[1:a.depth] = a.path GROUP BY ALL),
+up AS (SELECT path[1:d] AS path, sum(CAST(n_children = 0 AS INT)) AS n_leaves, sum((n_convs - 1) * coalesce(chars, 0)) AS saved_tokens FROM (SELECT *, unnest(range(0, depth + 1)) AS d FROM k) GROUP BY ALL)
+SELECT k.conv_id, CAST(k.depth AS BIGINT) AS depth, f.conv_id AS parent_conv_id, k.n_convs, k.n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, k.ends_sha256
+FROM k JOIN up USING (path) LEFT JOIN n f ON f.depth = k.depth - 1 AND f.path = k.path[1:k.depth - 1]""",
 }

@@ -1,14 +1,16 @@
 """The later operators against plain versions: prefix trie, ranked search, language model."""
 
 import hashlib
+import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
-from threadlake.llm import prefix_trie
+from threadlake.llm import prefix_trie, ranked
 
 
 def brute_trie(rows):
@@ -59,3 +61,53 @@ def test_prefix_trie_of_nothing(spark):
     one = spark.createDataFrame([(c, 0, "user", "a")], none.schema)
     got = prefix_trie.prefix_trie(prefix_trie.with_shared_heads(prefix_trie.turns_of(one))).collect()
     assert [tuple(r) for r in got] == [(c, 0, None, 1, 0, 1, 0, hashlib.sha256(str(c).encode()).hexdigest())]
+
+
+def brute_ranks(docs, items, k):
+    words = lambda t: re.findall(r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    have = [(d, Counter(words(t))) for d, t in docs if words(t)]
+    n, total = len(have), sum(sum(c.values()) for _, c in have)
+    df = Counter(w for _, c in have for w in c)
+    terms = defaultdict(set)
+    for i, t in items:
+        if i is not None:
+            terms[i] |= set(words(t))
+    out = []
+    for i, ts in terms.items():
+        scored = []
+        for d, c in have:
+            m = 100 - 90 + (90 * sum(c.values()) * n) // total
+            scored.append((-sum(math.floor(1000 * math.log((2 * n + 2) / (2 * df[t] + 1))) * ((10**9 * c[t]) // (1000 * c[t] + 8 * m)) for t in ts if t in c), d is None, d or 0))
+        out += [(i, r, None if none else d, -s) for r, (s, none, d) in enumerate(sorted(x for x in scored if x[0] < 0)[:k], 1)]
+    return sorted(out, key=lambda r: r[:2])
+
+
+@pytest.mark.parametrize("postings,pass_bytes,seed", [(60, 1 << 20, 1), (1 << 20, 1 << 20, 2), (500, 40, 3)])
+def test_ranked_search(spark, postings, pass_bytes, seed):
+    rng = random.Random(seed)
+    vocab = [f"w{int(rng.paretovariate(0.7))}" for _ in range(300)] + ["Straße", "ÉTÉ", "été", "don", "t"]
+    docs = [(i, " ".join(rng.choice(vocab) + rng.choice(["", ",", "-X", "'"]) for _ in range(rng.choice([1, 5, 40, 400])))) for i in range(300)]
+    docs += [(900, None), (901, ""), (902, " .,; "), (None, "w1 w2 w3"), docs[7], docs[7], (903, "w1 " * 50_000)]
+    items = [(i, " ".join(rng.choice(vocab) for _ in range(rng.choice([1, 3, 25])))) for i in range(12)] + [(20, None), (21, "..."), (22, "nowhere"), (3, "w1 w2"), (None, "w1")]
+    d = spark.createDataFrame([(*x, 0.5, "z") for x in docs], "doc_id long, text string, score double, rank string").repartition(3)
+    q = spark.createDataFrame([(*x, 1) for x in items], "item_id long, text string, doc_id int")
+    got = sorted(map(tuple, ranked.rank_documents(d, q, 4, pass_bytes, postings).collect()), key=lambda r: r[:2])
+    assert got == brute_ranks(docs, items, 4)
+    assert ranked.rank_documents(d.limit(0), q).count() == 0 and ranked.rank_documents(d, q.limit(0)).count() == 0
+
+
+def test_blocks_are_skipped():
+    """With a known k-th score, blocks of lists that can't matter stay compressed, and the best come out the same."""
+    rng = np.random.default_rng(4)
+    n = 20_000
+    term = np.concatenate((np.zeros(n, int), np.full(40, 1)))
+    doc = np.concatenate((np.arange(n), np.sort(rng.choice(n, 40, replace=False))))
+    tf = np.concatenate((rng.integers(1, 4, n), rng.integers(5, 9, 40)))
+    lists = ranked.Lists(term, doc, tf, np.full(n, 100, np.int64))
+    every, scores = ranked.best_of(lists, [(0, 3), (1, 900)], 5, 0)
+    want = np.zeros(n, np.int64)
+    np.add.at(want, doc, np.where(term == 0, 3, 900) * ((10**9 * tf) // (1000 * tf + 800)))
+    best = lambda d, s: sorted(zip(-s, d))[:5]
+    stats: dict = {}
+    some, found = ranked.best_of(lists, [(0, 3), (1, 900)], 5, int(np.sort(want)[-5]), stats)
+    assert best(every, scores) == best(some, found) == best(np.arange(n), want) and stats["skipped"] > 100

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadlake.llm import decontamination, fingerprints, prefix_trie, secrets, sentencepieces, separators, sharding, simhash, toxicity, url_filters, wavelets
+from threadlake.llm import decontamination, fingerprints, prefix_trie, ranked, secrets, sentencepieces, separators, sharding, simhash, toxicity, url_filters, wavelets
 from threadlake.llm.common import table
 from threadlake.llm.tokens import vocabulary_path
 
@@ -65,12 +65,16 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = prefix_trie.turns_of(table(spark, sf_dir, "conversations"))
     return prefix_trie.prefix_trie(prefix_trie.with_shared_heads(turns))
 
 
-QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op2_url_filters, op3_secret_scans, op4_token_counts, op5_document_fingerprints, op6_sentencepiece, op7_sharding, op8_token_ids, op9_toxicity, op10_simhash, op13_conversation_trie)}
+QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op2_url_filters, op3_secret_scans, op4_token_counts, op5_document_fingerprints, op6_sentencepiece, op7_sharding, op8_token_ids, op9_toxicity, op10_simhash, op12_ranked_search, op13_conversation_trie)}
 
 _WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -94,6 +98,15 @@ items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
        sha256(coalesce(t, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN per USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op12_ranked_search": f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, {_WORDS} AS w FROM documents WHERE len({_WORDS}) > 0),
+i AS (SELECT DISTINCT item_id, unnest({_WORDS}) AS t FROM benchmark),
+c AS (SELECT count(*) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS total FROM d),
+x AS (SELECT row, doc_id, t, n, count(*) AS tf FROM (SELECT row, doc_id, len(w) AS n, unnest(w) AS t FROM d) WHERE t IN (SELECT t FROM i) GROUP BY ALL),
+f AS (SELECT t, CAST(floor(1000 * ln((2 * n_docs + 2) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM x, c GROUP BY t, n_docs),
+s AS (SELECT item_id, row, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // total)))) AS BIGINT) AS score FROM x JOIN f USING (t) JOIN i USING (t), c GROUP BY item_id, row, doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM r WHERE rank <= 10""",
     "op13_conversation_trie": f"""
 WITH RECURSIVE crc(c, x, i) AS (SELECT DISTINCT conv_id, 4294967295::BIGINT, 0 FROM conversations WHERE conv_id IS NOT NULL
   UNION ALL SELECT c, {_CRC_BYTE}, i + 1 FROM crc WHERE i < length(c::VARCHAR)),

@@ -9,8 +9,9 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from threadlake.llm import prefix_trie, ranked
+from threadlake.llm import ngrams, prefix_trie, ranked
 
 
 def brute_trie(rows):
@@ -111,3 +112,68 @@ def test_blocks_are_skipped():
     stats: dict = {}
     some, found = ranked.best_of(lists, [(0, 3), (1, 900)], 5, int(np.sort(want)[-5]), stats)
     assert best(every, scores) == best(some, found) == best(np.arange(n), want) and stats["skipped"] > 100
+
+
+def brute_scores(docs, train, order):
+    """By plain dictionaries of n-grams, with probabilities rounded as in the levels."""
+    words = lambda t: ["<s>", *re.findall(r"[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")), "</s>"]
+    c = Counter()
+    for d, t in docs:
+        if train(d):
+            w = words(t)
+            c.update(tuple(w[i : i + k]) for k in range(1, order + 1) for i in range(len(w) - k + 1))
+    n = sum(v for k, v in c.items() if len(k) == 1 and k != ("<s>",))
+    v = sum(1 for k in c if len(k) == 1 and k != ("<s>",))
+    base = lambda w: math.log10((c[(w,)] + 0.1) / (n + 0.1 * (v + 1)))
+    step = lambda x: min(255, max(0, round(-ngrams.STEPS * x)))
+
+    def code(g):
+        shorter = step(base(g[-1])) if len(g) == 2 else code(g[1:])
+        return step(math.log10((c[g] + ngrams.PRIOR * 10 ** (-shorter / ngrams.STEPS)) / (c[g[:-1]] + ngrams.PRIOR)))
+
+    def lp(g):
+        if len(g) == 1:
+            return base(g[0])
+        if c[g]:
+            return -code(g) / ngrams.STEPS
+        return lp(g[1:]) + (math.log10(ngrams.PRIOR / (c[g[:-1]] + ngrams.PRIOR)) if c[g[:-1]] else 0)
+
+    out = []
+    for d, t in docs:
+        w = words(t)
+        out.append((d, not train(d), len(w) - 1, sum(c[(x,)] > 0 for x in w[1:]), n, sum(map(base, w[1:])), sum(lp(tuple(w[max(0, i - order + 1) : i + 1])) for i in range(1, len(w)))))
+    return out
+
+
+@pytest.mark.parametrize("order,block,shard", [(3, 50, 40), (3, 1 << 21, 1 << 20), (2, 300, 100), (4, 90, 25)])
+def test_language_model(spark, order, block, shard):
+    rng = random.Random(order)
+    words = ["the", "The", "of", "é", "a,b"] + [f"w{i}" for i in range(30)]
+    docs = [(i, " ".join(words[min(len(words) - 1, int(rng.paretovariate(0.6)) - 1)] for _ in range(rng.choice([0, 1, 2, 9, 60])))) for i in range(120)]
+    docs += [(500, None), (501, " \t\n"), (502, "nowhere else seen\u00a0x"), docs[3], docs[3], (503, "the of " * 3000), (None, "the of")]
+    train = lambda d: d is not None and d % 10 != 0 and d != 502
+    df = spark.createDataFrame([(*x, 1.0, "k") for x in docs], "doc_id long, text string, score double, train string").repartition(3)
+    model, got = ngrams.learn_and_score(df, (F.col("doc_id") % 10 != 0) & (F.col("doc_id") != 502), order, block, shard)
+    key = lambda r: (r[0] is None, r[0] or 0, r[2])
+    want = sorted(brute_scores(docs, train, order), key=key)
+    rows = sorted(map(tuple, got.collect()), key=key)
+    assert [r[:5] for r in rows] == [r[:5] for r in want]
+    for a, b in zip(rows, want):
+        assert a[5:] == pytest.approx(b[5:], abs=1e-6)
+    again = sorted(map(tuple, ngrams.score(df, model, 200).collect()), key=key)
+    assert [r[6] for r in again] == pytest.approx([r[6] for r in rows]) and all(r[1] for r in again)
+    ngrams.delete_model(df, model)
+
+
+def test_language_model_of_nothing(spark):
+    df = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
+    assert ngrams.learn_and_score(df.limit(0), F.lit(True))[1].count() == 0
+    rows = ngrams.learn_and_score(df, F.lit(None).cast("boolean"))[1].collect()
+    assert [(r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"]) for r in sorted(rows)] == [(3, 0, 0, 0, 0), (1, 0, 0, 0, 0)]
+
+
+@pytest.mark.parametrize("top", [1, 200, 1 << 20, 1 << 62])
+def test_monotone_codes(top):
+    v = np.sort(np.random.default_rng(top % 97).integers(0, top, 3000)).astype(np.uint64)
+    for x in (v, v[:1], v[:0], np.zeros(5, np.uint64)):
+        assert (ngrams.decode_monotone(*ngrams.encode_monotone(x)) == x).all()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadlake.llm import decontamination, fingerprints, prefix_trie, ranked, secrets, sentencepieces, separators, sharding, simhash, toxicity, url_filters, wavelets
+from threadlake.llm import decontamination, fingerprints, ngrams, prefix_trie, ranked, secrets, sentencepieces, separators, sharding, simhash, toxicity, url_filters, wavelets
 from threadlake.llm.common import table
 from threadlake.llm.tokens import vocabulary_path
 
@@ -65,6 +65,13 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model, scored = ngrams.learn_and_score(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 != 0)
+    ngrams.delete_model(docs, model)
+    return scored
+
+
 def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -74,7 +81,7 @@ def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(prefix_trie.with_shared_heads(turns))
 
 
-QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op2_url_filters, op3_secret_scans, op4_token_counts, op5_document_fingerprints, op6_sentencepiece, op7_sharding, op8_token_ids, op9_toxicity, op10_simhash, op12_ranked_search, op13_conversation_trie)}
+QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op2_url_filters, op3_secret_scans, op4_token_counts, op5_document_fingerprints, op6_sentencepiece, op7_sharding, op8_token_ids, op9_toxicity, op10_simhash, op11_lm_scoring, op12_ranked_search, op13_conversation_trie)}
 
 _WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 

@@ -21,6 +21,7 @@ from __future__ import annotations
 import io
 import json
 import uuid
+from collections import defaultdict
 from dataclasses import dataclass
 from itertools import count
 
@@ -184,20 +185,23 @@ def _write_blocks(docs: DataFrame, folder: str, size: int) -> DataFrame:
         name = (f"{folder}/block-{uuid.uuid4().hex}" for _ in count())
 
         def new():
-            return {}, [], [], [], []
+            return defaultdict(count(2).__next__), [], [], [], []
 
         def flush():
             at = next(name)
-            keys = np.array([x if (x := xxhash.xxh64_intdigest(w) >> 2) > BOS else x + 2 for w in known], np.uint64)
-            write_file(f"{at}.base", pack(keys=keys, ids=narrow(np.concatenate(parts)), lengths=narrow(np.array(lengths)), train=np.array(train, bool), doc=np.array([d or 0 for d in doc], np.int64), null=np.array([d is None for d in doc], bool)))
+            keys = np.array([0, 1, *(x if (x := xxhash.xxh64_intdigest(w) >> 2) > BOS else x + 2 for w in known)], np.uint64)
+            order = np.argsort(keys, kind="stable")  # a word's number is its key's place, so numbers stand in the order of the first level
+            place = np.empty(len(keys), np.int64)
+            place[order] = np.arange(len(keys))
+            write_file(f"{at}.base", pack(keys=keys[order], ids=narrow(place[np.concatenate(parts)]), lengths=narrow(np.array(lengths)), train=np.array(train, bool), doc=np.array([d or 0 for d in doc], np.int64), null=np.array([d is None for d in doc], bool)))
             return {"block": at, "tokens": sum(lengths), "words": len(known)}
 
         out, (known, parts, lengths, train, doc) = [], new()
         for batch in small_batches(batches, SLICE):
             for d, text, t in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 w = words_of(text)
-                ids = np.fromiter((known.setdefault(x, len(known)) for x in w), np.int64, len(w))
-                parts.append(np.append(ids + 2, END)), lengths.append(len(w) + 1), train.append(bool(t)), doc.append(d)
+                ids = np.fromiter(map(known.__getitem__, w), np.int64, len(w))
+                parts.append(np.append(ids, END)), lengths.append(len(w) + 1), train.append(bool(t)), doc.append(d)
                 if sum(lengths[-1:]) >= size or len(lengths) % 64 == 0 and sum(lengths) >= size:
                     out.append(flush())
                     known, parts, lengths, train, doc = new()
@@ -228,8 +232,8 @@ class Block:
         self.ids[self.first] = BOS
         self.train = np.repeat(base["train"], lengths + 1)
         self.lengths, self.doc, self.null, self.held = lengths, base["doc"], base["null"], ~base["train"]
-        self.keys = np.concatenate((np.array([END, BOS], np.uint64), base["keys"]))
-        self.k, self.local, self.n_local = 0, np.zeros(n, np.int64), 1
+        self.keys = base["keys"]
+        self.k, self.local = 0, np.zeros(n, np.int64)
 
     def ask(self) -> dict[str, np.ndarray]:
         """The distinct n-grams of the next level that may be there: in order of (shard, context, name), with training counts."""
@@ -239,7 +243,7 @@ class Block:
             context, name, of = ones, self.keys, ones
             counts = np.bincount(self.ids, self.train, len(self.keys)).astype(np.int64)
             total, prior, self.at, self.of = ones, np.zeros(len(which), np.uint8), None, self.ids
-            shard = (_mixed(name) % s).astype(np.int64)
+            shard = ((name >> np.uint64(30)) * s >> np.uint64(32)).astype(np.int64)  # by ranges of the 62 bits
         else:
             use = np.flatnonzero(self.real[1:] & (self.node[1:] >= 0) & (self.node[:-1] >= 0)) + 1
             code = self.local[use - 1] * len(self.keys) + self.ids[use]
@@ -250,7 +254,8 @@ class Block:
             total, prior = self.counts[first - 1].astype(np.uint64), quantised(self.lp[first])
             of = _mixed(name) % self.split(total)
             shard = (_mixed(context, of) % s).astype(np.int64)
-        self.order = np.lexsort((name, context, shard))
+        # n-grams stand in order of context and name already: local numbers follow the order of nodes
+        self.order = np.argsort(narrow(shard), kind="stable")
         self.salt = of
         self.asked = {"shard": shard, "context": context, "name": name, "count": counts, "total": total, "prior": prior}
         return {k: v[self.order] for k, v in self.asked.items()}
@@ -271,9 +276,9 @@ class Block:
             lp = np.log10((np.where(there, counts, 0) + 0.1) / (m.tokens + 0.1 * (m.words + 1)))
             self.base, self.lp = lp[self.ids], lp[self.ids]
             self.known = there[self.ids]
-            name = np.where(there, node * m.shards + shard, -1)
+            name = np.where(there, shard << m.part.bit_length() + 5 | node, -1)
             self.name, self.node, self.counts = name[self.ids], name[self.ids], np.where(there, counts, 0)[self.ids]
-            self.local, self.n_local = self.ids, len(self.keys)
+            self.local = self.ids
         else:
             there = node >= 0
             lp = np.where(there, code / -STEPS, np.nan)
@@ -283,13 +288,17 @@ class Block:
             less = np.where(has, np.log10(PRIOR / (np.append(0, self.counts[:-1]) + PRIOR)), 0.0)
             new = self.lp + less
             new[at] = np.where(there[of], lp[of], new[at])
-            number = node << 24 | shard
+            self.lp = new
+            if self.k + 1 == self.model.order:
+                self.k += 1
+                return
+            number = shard << 40 | node
             local, fresh, name, counts_ = (np.full(n, -1, np.int64) for _ in range(4))
-            local[at], fresh[at] = of, np.where(there, number, -1)[of]
+            local[at], fresh[at] = back[of], np.where(there, number, -1)[of]
             parts = self.split(a["total"]).astype(np.int64)
             name[at] = np.where(there, (node - first) * parts + self.salt.astype(np.int64), -1)[of]
             counts_[at] = np.where(there, counts, 0)[of]
-            self.lp, self.node, self.name, self.counts, self.local, self.n_local = new, fresh, name, counts_, local, len(node)
+            self.node, self.name, self.counts, self.local = fresh, name, counts_, local
         self.k += 1
 
     def scores(self) -> pa.RecordBatch:
@@ -323,13 +332,11 @@ def _climbed(at: str, model: Model, k: int) -> Block:
     return block
 
 
-def _keep_answers(table: pa.Table, k: int) -> str:
-    """Write a block's answers of a level in the order of what it asked."""
-    at = table["block"][0].as_py()
+def _answers(table: pa.Table) -> dict[str, np.ndarray]:
+    """A block's answers of a level in the order of what it asked."""
     order = np.argsort(table["shard"].to_numpy(), kind="stable")
     parts = [unpack(x) for x in table["answer"].take(order).to_pylist()]
-    write_file(f"{at}.{k}", pack(**{c: narrow(np.concatenate([p[c].astype(np.uint64) for p in parts])) for c in ("node", "first", "count", "code")}))
-    return at
+    return {c: narrow(np.concatenate([p[c].astype(np.uint64) for p in parts])) for c in ("node", "first", "count", "code")}
 
 
 def _answer(table: pa.Table, model: Model, k: int, learn: bool) -> pa.Table:
@@ -360,7 +367,12 @@ def _answer(table: pa.Table, model: Model, k: int, learn: bool) -> pa.Table:
     code, n = (np.where(there, x[node.clip(min=0)] if len(x) else 0, 0) for x in (level.code, level.counts))
     rows = [{"block": "", "shard": shard, "answer": b"", "tokens": tokens, "words": words}]
     for at, a, z in zip(table["block"].to_pylist(), np.cumsum(sizes) - sizes, np.cumsum(sizes)):
-        rows.append({"block": at, "shard": shard, "answer": pack(node=narrow(node[a:z] + 1), first=narrow(start[a:z]), count=narrow(n[a:z]), code=code[a:z].astype(np.uint8)), "tokens": 0, "words": 0})
+        if k < model.order:
+            said = pack(node=narrow(node[a:z] + 1), first=narrow(start[a:z]), count=narrow(n[a:z]), code=code[a:z].astype(np.uint8))
+        else:  # whether it is there, and its probability
+            none = np.zeros(z - a, np.uint8)
+            said = pack(node=there[a:z].astype(np.uint8), first=none, count=none, code=code[a:z].astype(np.uint8))
+        rows.append({"block": at, "shard": shard, "answer": said, "tokens": 0, "words": 0})
     return pa.Table.from_pylist(rows, pa.schema([("block", pa.string()), ("shard", pa.int32()), ("answer", pa.binary()), ("tokens", pa.int64()), ("words", pa.int64())]))
 
 
@@ -375,8 +387,12 @@ def _answering(model: Model, k: int, learn: bool):
 def _climbing(model: Model, k: int):
     def climb(table: pa.Table) -> pa.Table:
         held(("ngrams",), list)
-        at = _keep_answers(table, k)
-        block = _climbed(at, model, k + 1)
+        at, got = table["block"][0].as_py(), _answers(table)
+        block = _climbed(at, model, k)
+        if k < model.order:
+            write_file(f"{at}.{k}", pack(**got))
+        block.ask()
+        block.take(got)
         return pa.Table.from_batches([_requests(block, at) if k < model.order else block.scores()])
 
     return climb
@@ -388,8 +404,8 @@ def _rounds(docs: DataFrame, model: Model, learn: bool, block_tokens: int, shard
     blocks = materialize(_write_blocks(docs, folder, block_tokens))
     if learn:
         total = blocks.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
-        if total > shard_tokens << 24:
-            raise ValueError("2^24 shards are not enough; take larger ones")
+        if total > shard_tokens << 22:
+            raise ValueError("more than 2^22 shards; take larger ones")
         model = Model(model.folder, model.order, max(1, -(-total // shard_tokens)), max(1, shard_tokens // 4))
 
     first = model
@@ -400,16 +416,20 @@ def _rounds(docs: DataFrame, model: Model, learn: bool, block_tokens: int, shard
             for at in batch.column(0).to_pylist():
                 yield _requests(Block(at, first), at)
 
+    answers = None
     wide = max(spark.sparkContext.defaultParallelism, min(model.shards, 100_000))
     asked = blocks.select("block").repartition(wide, "block").mapInArrow(begin, _ASKED)
     for k in range(1, model.order + 1):
-        answers = materialize(asked.groupBy("shard").applyInArrow(_answering(model, k, learn), _ANSWER))
+        before, answers = answers, materialize(asked.groupBy("shard").applyInArrow(_answering(model, k, learn), _ANSWER))
+        if before:
+            discard(before)
         if k == 1 and learn:
             n, v = answers.where("block = ''").agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
             model = Model(model.folder, model.order, model.shards, model.part, n, v)
         asked = answers.where("block <> ''").groupBy("block").applyInArrow(_climbing(model, k), _ASKED if k < model.order else _SCORES)
     scored = materialize(asked)
     discard(blocks)
+    discard(answers)
     delete_folder(spark, folder)
     return model, scored
 

@@ -18,6 +18,7 @@ one given the context without its first word, down to (count + 0.1) / (N + 0.1 *
 
 from __future__ import annotations
 
+import gc
 import io
 import json
 import uuid
@@ -29,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadlake.llm.common import delete_folder, discard, held, materialize, open_fs, read_file, shared_dir, small_batches, write_file
@@ -225,7 +226,7 @@ class Block:
         self.ends = np.cumsum(lengths + 1)
         self.first = self.ends - lengths - 1
         n = int(self.ends[-1])
-        self.ids = np.full(n, END, np.int64)
+        self.ids = np.full(n, END, np.int32)
         self.real = np.ones(n, bool)
         self.real[self.first] = False
         self.ids[self.real] = base["ids"]
@@ -233,7 +234,7 @@ class Block:
         self.train = np.repeat(base["train"], lengths + 1)
         self.lengths, self.doc, self.null, self.held = lengths, base["doc"], base["null"], ~base["train"]
         self.keys = base["keys"]
-        self.k, self.local = 0, np.zeros(n, np.int64)
+        self.k, self.local = 0, np.zeros(n, np.int32)
 
     def ask(self) -> dict[str, np.ndarray]:
         """The distinct n-grams of the next level that may be there: in order of (shard, context, name), with training counts."""
@@ -246,9 +247,10 @@ class Block:
             shard = ((name >> np.uint64(30)) * s >> np.uint64(32)).astype(np.int64)  # by ranges of the 62 bits
         else:
             use = np.flatnonzero(self.real[1:] & (self.node[1:] >= 0) & (self.node[:-1] >= 0)) + 1
-            code = self.local[use - 1] * len(self.keys) + self.ids[use]
-            _, first, self.of = np.unique(code, return_index=True, return_inverse=True)
-            self.at, first = use, use[first]
+            code = self.local[use - 1].astype(np.int64) * len(self.keys) + self.ids[use]
+            _, first, of = np.unique(code, return_index=True, return_inverse=True)
+            del code
+            self.at, self.of, first = use.astype(np.int32), of.astype(np.int32), use[first]
             context, name = self.node[first - 1].astype(np.uint64), self.name[first].astype(np.uint64)
             counts = np.bincount(self.of, self.train[use], len(first)).astype(np.int64)
             total, prior = self.counts[first - 1].astype(np.uint64), quantised(self.lp[first])
@@ -274,26 +276,25 @@ class Block:
         if self.k == 0:
             there, m = node >= 0, self.model
             lp = np.log10((np.where(there, counts, 0) + 0.1) / (m.tokens + 0.1 * (m.words + 1)))
-            self.base, self.lp = lp[self.ids], lp[self.ids]
-            self.known = there[self.ids]
+            self.base, self.known, self.lp = lp, there, lp[self.ids]
             name = np.where(there, shard << m.part.bit_length() + 5 | node, -1)
             self.name, self.node, self.counts = name[self.ids], name[self.ids], np.where(there, counts, 0)[self.ids]
             self.local = self.ids
         else:
             there = node >= 0
-            lp = np.where(there, code / -STEPS, np.nan)
+            seen = np.where(there, code / -STEPS, np.nan)
             at, of = self.at, self.of
             # a context of the training text: what its successors leave for others
             has = np.append(False, self.real[1:] & (self.node[:-1] >= 0))
             less = np.where(has, np.log10(PRIOR / (np.append(0, self.counts[:-1]) + PRIOR)), 0.0)
-            new = self.lp + less
-            new[at] = np.where(there[of], lp[of], new[at])
-            self.lp = new
+            self.lp += less
+            del has, less
+            self.lp[at] = np.where(there[of], seen[of], self.lp[at])
             if self.k + 1 == self.model.order:
                 self.k += 1
                 return
             number = shard << 40 | node
-            local, fresh, name, counts_ = (np.full(n, -1, np.int64) for _ in range(4))
+            local, (fresh, name, counts_) = np.full(n, -1, np.int32), (np.full(n, -1, np.int64) for _ in range(3))
             local[at], fresh[at] = back[of], np.where(there, number, -1)[of]
             parts = self.split(a["total"]).astype(np.int64)
             name[at] = np.where(there, (node - first) * parts + self.salt.astype(np.int64), -1)[of]
@@ -303,7 +304,7 @@ class Block:
 
     def scores(self) -> pa.RecordBatch:
         total = lambda x: np.add.reduceat(np.where(self.real, x, 0), self.first)
-        cols = {"doc_id": pa.array(self.doc, pa.int64(), mask=self.null), "held_out": self.held, "n_tokens": self.lengths, "n_known": total(self.known).astype(np.int64), "train_tokens": np.full(len(self.doc), self.model.tokens), "base_score": total(self.base), "score": total(self.lp)}
+        cols = {"doc_id": pa.array(self.doc, pa.int64(), mask=self.null), "held_out": self.held, "n_tokens": self.lengths, "n_known": total(self.known[self.ids]).astype(np.int64), "train_tokens": np.full(len(self.doc), self.model.tokens), "base_score": total(self.base[self.ids]), "score": total(self.lp)}
         return pa.RecordBatch.from_pydict(cols, schema=pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())]))
 
 
@@ -398,6 +399,12 @@ def _climbing(model: Model, k: int):
     return climb
 
 
+def release(spark: SparkSession) -> None:
+    """Have the driver notice that the shuffles of finished rounds aren't needed, so that their files go."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def _rounds(docs: DataFrame, model: Model, learn: bool, block_tokens: int, shard_tokens: int) -> tuple[Model, DataFrame]:
     spark = docs.sparkSession
     folder = shared_dir(spark)
@@ -421,6 +428,8 @@ def _rounds(docs: DataFrame, model: Model, learn: bool, block_tokens: int, shard
     asked = blocks.select("block").repartition(wide, "block").mapInArrow(begin, _ASKED)
     for k in range(1, model.order + 1):
         before, answers = answers, materialize(asked.groupBy("shard").applyInArrow(_answering(model, k, learn), _ANSWER))
+        del asked
+        release(spark)
         if before:
             discard(before)
         if k == 1 and learn:

@@ -21,6 +21,7 @@ from __future__ import annotations
 import gc
 import io
 import json
+import time
 import uuid
 from collections import defaultdict
 from dataclasses import dataclass
@@ -401,8 +402,10 @@ def _climbing(model: Model, k: int):
 
 def release(spark: SparkSession) -> None:
     """Have the driver notice that the shuffles of finished rounds aren't needed, so that their files go."""
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):  # references from Python are let go with the first call after their collection
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def _rounds(docs: DataFrame, model: Model, learn: bool, block_tokens: int, shard_tokens: int) -> tuple[Model, DataFrame]:

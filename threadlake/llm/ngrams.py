@@ -18,10 +18,8 @@ one given the context without its first word, down to (count + 0.1) / (N + 0.1 *
 
 from __future__ import annotations
 
-import gc
 import io
 import json
-import time
 import uuid
 from collections import defaultdict
 from dataclasses import dataclass
@@ -31,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadlake.llm.common import delete_folder, discard, held, materialize, open_fs, read_file, shared_dir, small_batches, write_file
@@ -45,7 +43,8 @@ BLOCK_TOKENS, SHARD_TOKENS = 1 << 21, 1 << 20
 SLICE = 8 << 20
 END, BOS = 0, 1
 _LOW = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-_ANSWER = "block string, shard int, answer binary, tokens long, words long"
+#: An answer is a stretch of a file that the shard has written for all blocks.
+_ANSWER = "block string, shard int, file string, start long, size long, tokens long, words long"
 _ASKED = "shard int, block string, asked binary"
 
 
@@ -337,11 +336,11 @@ def _climbed(at: str, model: Model, k: int) -> Block:
 def _answers(table: pa.Table) -> dict[str, np.ndarray]:
     """A block's answers of a level in the order of what it asked."""
     order = np.argsort(table["shard"].to_numpy(), kind="stable")
-    parts = [unpack(x) for x in table["answer"].take(order).to_pylist()]
+    parts = [unpack(read_file(r["file"], r["start"], r["size"])) for r in table.select(["file", "start", "size"]).take(order).to_pylist()]
     return {c: narrow(np.concatenate([p[c].astype(np.uint64) for p in parts])) for c in ("node", "first", "count", "code")}
 
 
-def _answer(table: pa.Table, model: Model, k: int, learn: bool) -> pa.Table:
+def _answer(table: pa.Table, model: Model, k: int, learn: bool, folder: str) -> pa.Table:
     """What a shard answers to all blocks, after it has counted and written its part of the level if it is to learn."""
     shard = table["shard"][0].as_py()
     parts = [unpack(x) for x in table["asked"].to_pylist()]
@@ -367,21 +366,24 @@ def _answer(table: pa.Table, model: Model, k: int, learn: bool) -> pa.Table:
     node, start = level.find(context, name)
     there = node >= 0
     code, n = (np.where(there, x[node.clip(min=0)] if len(x) else 0, 0) for x in (level.code, level.counts))
-    rows = [{"block": "", "shard": shard, "answer": b"", "tokens": tokens, "words": words}]
+    rows, said, at_byte, file = [{"block": "", "shard": shard, "file": "", "start": 0, "size": 0, "tokens": tokens, "words": words}], [], 0, f"{folder}/shard-{shard}"
     for at, a, z in zip(table["block"].to_pylist(), np.cumsum(sizes) - sizes, np.cumsum(sizes)):
         if k < model.order:
-            said = pack(node=narrow(node[a:z] + 1), first=narrow(start[a:z]), count=narrow(n[a:z]), code=code[a:z].astype(np.uint8))
+            one = pack(node=narrow(node[a:z] + 1), first=narrow(start[a:z]), count=narrow(n[a:z]), code=code[a:z].astype(np.uint8))
         else:  # whether it is there, and its probability
             none = np.zeros(z - a, np.uint8)
-            said = pack(node=there[a:z].astype(np.uint8), first=none, count=none, code=code[a:z].astype(np.uint8))
-        rows.append({"block": at, "shard": shard, "answer": said, "tokens": 0, "words": 0})
-    return pa.Table.from_pylist(rows, pa.schema([("block", pa.string()), ("shard", pa.int32()), ("answer", pa.binary()), ("tokens", pa.int64()), ("words", pa.int64())]))
+            one = pack(node=there[a:z].astype(np.uint8), first=none, count=none, code=code[a:z].astype(np.uint8))
+        rows.append({"block": at, "shard": shard, "file": file, "start": at_byte, "size": len(one), "tokens": 0, "words": 0})
+        said.append(one)
+        at_byte += len(one)
+    write_file(file, b"".join(said))
+    return pa.Table.from_pylist(rows, pa.schema([("block", pa.string()), ("shard", pa.int32()), ("file", pa.string()), ("start", pa.int64()), ("size", pa.int64()), ("tokens", pa.int64()), ("words", pa.int64())]))
 
 
-def _answering(model: Model, k: int, learn: bool):
+def _answering(model: Model, k: int, learn: bool, folder: str):
     def answer(table: pa.Table) -> pa.Table:
         held(("ngrams",), list)
-        return _answer(table, model, k, learn)
+        return _answer(table, model, k, learn, folder)
 
     return answer
 
@@ -400,14 +402,6 @@ def _climbing(model: Model, k: int):
     return climb
 
 
-def release(spark: SparkSession) -> None:
-    """Have the driver notice that the shuffles of finished rounds aren't needed, so that their files go."""
-    for _ in range(2):  # references from Python are let go with the first call after their collection
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.5)
-
-
 def _rounds(docs: DataFrame, model: Model, learn: bool, block_tokens: int, shard_tokens: int) -> tuple[Model, DataFrame]:
     spark = docs.sparkSession
     folder = shared_dir(spark)
@@ -426,22 +420,21 @@ def _rounds(docs: DataFrame, model: Model, learn: bool, block_tokens: int, shard
             for at in batch.column(0).to_pylist():
                 yield _requests(Block(at, first), at)
 
-    answers = None
+    said: list[str] = []
     wide = max(spark.sparkContext.defaultParallelism, min(model.shards, 100_000))
     asked = blocks.select("block").repartition(wide, "block").mapInArrow(begin, _ASKED)
     for k in range(1, model.order + 1):
-        before, answers = answers, materialize(asked.groupBy("shard").applyInArrow(_answering(model, k, learn), _ANSWER))
-        del asked
-        release(spark)
-        if before:
-            discard(before)
+        said.append(shared_dir(spark))
+        answers = materialize(asked.groupBy("shard").applyInArrow(_answering(model, k, learn, said[-1]), _ANSWER))
+        if k > 1:
+            delete_folder(spark, said[-2])
         if k == 1 and learn:
             n, v = answers.where("block = ''").agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
             model = Model(model.folder, model.order, model.shards, model.part, n, v)
         asked = answers.where("block <> ''").groupBy("block").applyInArrow(_climbing(model, k), _ASKED if k < model.order else _SCORES)
     scored = materialize(asked)
     discard(blocks)
-    discard(answers)
+    delete_folder(spark, said[-1])
     delete_folder(spark, folder)
     return model, scored
 

@@ -182,3 +182,33 @@ def test_month_shards(spark, tmp_path):
     bad = placed.withColumns({"normalized_text": F.lit(None).cast("string"), "has_url": F.lit(True), "is_multiline": F.lit(False), "day_key": F.lit("d"), "week_key": F.lit("w"), "char_count": F.lit(-1), "word_count": F.lit(1), "emoji_count": F.lit(0), "hour_of_day": F.lit(24), "weekday": F.lit(6)})
     got = {r["rule"]: r["violations"] for r in tables.validate_table(bad, "messages").collect()}
     assert {k for k, v in got.items() if v} == {"normalized_text not null", "char_count not negative", "hour_of_day within 0 to 23"} and set(got.values()) == {0, 6}
+
+
+def test_selections_of_many(spark):
+    """500 candidates, limits of 100 and 7, against plain loops: nothing is cut before the selection."""
+    import random
+
+    rng = random.Random(5)
+    moods = ["romantic", "funny", "supportive", "neutral"]
+    rows = []
+    for i in range(500):
+        text = f"I love you and miss you, together number {rng.randrange(240)} ok"
+        rows.append((1, i + 1, i, rng.choice([None, *range(1, 40)]), rng.choice(["ann", "bo", "cy", None]), rng.choice(moods), rng.choice([0.7, 0.8, 0.9]), text, ["affection"]))
+    h = spark.createDataFrame(rows, "archive_id long, rank int, seq long, chapter_no int, sender_label string, emotion_label string, importance_score double, text string, archetype_tags array<string>").withColumn("sender_id", F.col("sender_label"))
+    rated = sorted((r for r in C.rated_highlights(h).collect() if not r["low_value"] and r["quality"] > 20), key=lambda r: (-r["quality"], r["rank"]))
+    assert len(rated) > 400
+    for limit, a, b in ((100, 3, 40), (7, 1, 2)):
+        taken = []
+        for r in rated:
+            n = lambda f: sum(f(x) == f(r) for x in taken)  # noqa: B023, E731
+            if len(taken) < limit and n(lambda x: x["chapter_no"]) < a and n(lambda x: x["sender_label"]) < b and not n(lambda x: x["display_quote"]):
+                taken.append(r)
+        got = C.curate_highlights(h, limit, 170, a, b).orderBy("place").collect()
+        assert [r["seq"] for r in got] == [r["seq"] for r in taken] and len(got) > limit // 2
+    plain = sorted(rows, key=lambda r: (-(r[6] + (0.3 if r[5] != "neutral" else 0.0)), r[1]))
+    for limit in (3, 6, 100):
+        taken = []
+        for r in plain:
+            if len(taken) < limit and (len(taken) >= 4 or (r[3] is None or all(x[3] != r[3] for x in taken)) and all(x[5] != r[5] for x in taken)):
+                taken.append(r)
+        assert [r["seq"] for r in C.diverse_highlights(h, limit).orderBy("place").collect()] == [r[2] for r in taken]

@@ -1,7 +1,8 @@
 """Choosing what is shown: greedy selections under quotas, titles, lenses and previews.
 
 A greedy selection depends on what was taken before, which no window can say. It is a fold over the ranked
-rows of one archive, of which the tables here have at most 60: the fold's state is what it has taken.
+rows of one archive, the fold's state being what it has taken. Before it go the rows that no state could
+take: later ones of those that fill the same quotas. What is left grows with quotas, not with candidates.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ CHAPTER_LINES = [
 def greedy(ranked: DataFrame, keys: list[str], columns: list[str], limit: int, fits: Callable[[Column, Column], Column]) -> DataFrame:
     """The rows taken, with `place` from 1: by rank, each that fits what was taken before, up to limit.
 
-    columns are what fits(taken, row) looks at; a key's ranked rows are held together, so rank few.
+    columns are what fits(taken, row) looks at; a key's ranked rows are held together, so leave out by first_of what can't fit.
     """
     rows = ranked.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("rank", *columns))).alias("_r"))
     take = lambda done, x: F.when((F.size(done) < limit) & fits(done, x), F.concat(done, F.array(x))).otherwise(done)
@@ -45,21 +46,38 @@ def greedy(ranked: DataFrame, keys: list[str], columns: list[str], limit: int, f
     return ranked.join(kept, [*keys, "rank"]).withColumn("place", F.col("_p") + 1).drop("_p")
 
 
+def ranked_by(df: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
+    return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+
+
+def first_of(df: DataFrame, keys: list[str], order: list[Column | str], k: int) -> DataFrame:
+    """The first k rows of each key; columns as they were."""
+    return df.withColumn("_nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_nth") <= k).drop("_nth")
+
+
 def below(done: Column, x: Column, column: str, most: int) -> Column:
     return F.size(F.filter(done, lambda y: y[column] == x[column])) < most
 
 
 def diverse_highlights(h: DataFrame, limit: int = 6, free: int = 4) -> DataFrame:
-    """Highlights by importance and mood; of one chapter or emotion no second before `free` are taken."""
+    """Highlights by importance and mood; of one chapter or emotion no second before `free` are taken.
+
+    The first `free` are a fold over the best of each chapter and emotion; what is taken after these is what follows them.
+    """
     score = F.col("importance_score") + F.when(F.col("emotion_label").isin("romantic", "funny", "supportive"), 0.3).otherwise(0.0)
     c = h.where((F.col("importance_score") > 0.65) & F.length("text").between(10, 250)).withColumnRenamed("rank", "first_rank").withColumn("score", score)
-    c = top_k(c, KEYS, [F.desc("score"), "first_rank"], 60)
+    order = [F.desc("score"), "first_rank"]
 
     def fits(done: Column, x: Column) -> Column:
         new = lambda column: ~F.exists(done, lambda y: y[column] == x[column])
-        return (F.size(done) >= free) | ((x["chapter_no"].isNull() | new("chapter_no")) & new("emotion_label"))
+        return (x["chapter_no"].isNull() | new("chapter_no")) & new("emotion_label")
 
-    return greedy(c, KEYS, ["chapter_no", "emotion_label"], limit, fits)
+    early = first_of(c, [*KEYS, "chapter_no", "emotion_label"], order, 1)
+    taken = greedy(ranked_by(early, KEYS, order), KEYS, ["chapter_no", "emotion_label"], min(limit, free), fits)
+    full = taken.where(F.col("place") == free).select(*KEYS, F.col("score").alias("_score"), F.col("first_rank").alias("_first"))
+    after = (F.col("score") < F.col("_score")) | ((F.col("score") == F.col("_score")) & (F.col("first_rank") > F.col("_first")))
+    later = top_k(c.join(full, KEYS).where(after).drop("_score", "_first"), KEYS, order, max(0, limit - free)).withColumn("place", F.col("rank") + free)
+    return taken.unionByName(later)
 
 
 def rated_highlights(h: DataFrame) -> DataFrame:
@@ -69,11 +87,16 @@ def rated_highlights(h: DataFrame) -> DataFrame:
 
 
 def curate_highlights(h: DataFrame, limit: int = 12, max_chars: int = 170, per_chapter: int = 2, per_sender: int = 2, keys: list[str] = KEYS) -> DataFrame:
-    """Highlights worth showing, best first, within quotas of chapter and sender and without a repeated excerpt."""
+    """Highlights worth showing, best first, within quotas of chapter and sender and without a repeated excerpt.
+
+    Of one chapter, sender and excerpt only the first can be taken; of one chapter and sender as many as the smaller
+    quota, after at most `limit` whose excerpt is taken already.
+    """
     r = rated_highlights(h).where(~F.col("low_value") & (F.col("quality") > 20)).withColumn("excerpt", D.cut_text(F.col("display_quote"), max_chars))
     r = r.withColumn("_c", F.coalesce(F.col("chapter_no").cast("string"), F.lit("unassigned"))).withColumn("_s", F.coalesce("sender_label", "sender_id", F.lit("system"))).withColumnRenamed("rank", "first_rank")
-    r = top_k(r, keys, [F.desc("quality"), "first_rank"], 60)
-    return greedy(r, keys, ["_c", "_s", "excerpt"], limit, lambda done, x: below(done, x, "_c", per_chapter) & below(done, x, "_s", per_sender) & below(done, x, "excerpt", 1)).drop("_c", "_s")
+    order, pair = [F.desc("quality"), "first_rank"], [*keys, "_c", "_s"]
+    r = first_of(first_of(r, [*pair, "excerpt"], order, 1), pair, order, limit + min(per_chapter, per_sender))
+    return greedy(ranked_by(r, keys, order), keys, ["_c", "_s", "excerpt"], limit, lambda done, x: below(done, x, "_c", per_chapter) & below(done, x, "_s", per_sender) & below(done, x, "excerpt", 1)).drop("_c", "_s")
 
 
 def rated_milestones(m: DataFrame) -> DataFrame:
@@ -88,8 +111,9 @@ def curate_milestones(m: DataFrame, limit: int = 8, per_chapter: int = 2, same_t
     keep = ~F.col("low_value") | F.col("career") if careers else ~F.col("low_value")
     r = rated_milestones(m).where(keep & (F.col("quality") > 10)).withColumnRenamed("rank", "first_rank")
     r = r.withColumn("_c", F.coalesce(F.col("chapter_no").cast("string"), F.lit("unassigned"))).withColumn("_t", F.lower(F.trim("display_title")))
-    r = top_k(r, keys, [F.desc("quality"), "first_rank"], 60)
-    return greedy(r, keys, ["_c", "_t"], limit, lambda done, x: below(done, x, "_c", per_chapter) & below(done, x, "_t", same_title)).drop("_c", "_t")
+    order = [F.desc("quality"), "first_rank"]
+    r = first_of(r, [*keys, "_c", "_t"], order, min(per_chapter, same_title))  # later ones find a quota full
+    return greedy(ranked_by(r, keys, order), keys, ["_c", "_t"], limit, lambda done, x: below(done, x, "_c", per_chapter) & below(done, x, "_t", same_title)).drop("_c", "_t")
 
 
 def curate_topic_clusters(clusters: DataFrame, quotes: DataFrame, limit: int = 6, least: int = 20) -> DataFrame:

@@ -19,8 +19,10 @@ def iso(ts: Column) -> Column:
 
 
 def messages_manifest(m: DataFrame) -> DataFrame:
-    """One row for each month's shard."""
-    return m.groupBy("archive_id", "month_key").agg(F.count("*").alias("n"), iso(F.min_by("ts", "seq")).alias("first_ts"), iso(F.max_by("ts", "seq")).alias("last_ts")).withColumn("shard_id", F.concat(F.lit("messages_"), "month_key"))
+    """One row for each month's shard, with how many shards and messages its archive has."""
+    shards = m.groupBy("archive_id", "month_key").agg(F.count("*").alias("n"), iso(F.min_by("ts", "seq")).alias("first_ts"), iso(F.max_by("ts", "seq")).alias("last_ts")).withColumn("shard_id", F.concat(F.lit("messages_"), "month_key"))
+    whole = Window.partitionBy("archive_id")
+    return shards.withColumns({"shard_count": F.count("*").over(whole), "total_messages": F.sum("n").over(whole)})
 
 
 def source_manifest(m: DataFrame) -> DataFrame:
@@ -28,9 +30,9 @@ def source_manifest(m: DataFrame) -> DataFrame:
 
 
 def chunk_manifest(m: DataFrame) -> DataFrame:
-    """First and last row and the sessions of each chunk; sessions ascend with seq, so their order is that of first sight."""
-    c = chunk_windows(m).join(m.select("archive_id", "seq", "session_no"), ["archive_id", "seq"])
-    by = c.groupBy("archive_id", "chunk_no").agg(F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.count("*").alias("n"), F.array_sort(F.collect_set("session_no")).alias("s"))
+    """First and last row and time and the sessions of each chunk; sessions ascend with seq, so their order is that of first sight."""
+    c = chunk_windows(m, columns=("session_no", "ts"))
+    by = c.groupBy("archive_id", "chunk_no").agg(F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.count("*").alias("n"), iso(F.min_by("ts", "seq")).alias("first_ts"), iso(F.max_by("ts", "seq")).alias("last_ts"), F.array_sort(F.collect_set("session_no")).alias("s"))
     return by.withColumn("session_ids", F.array_join(F.transform("s", lambda x: F.format_string("tech_%04d", x)), ",")).drop("s")
 
 

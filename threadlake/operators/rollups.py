@@ -100,6 +100,14 @@ def late_night_trend(m: DataFrame) -> DataFrame:
     return active(m).groupBy("archive_id", "month_key").agg(F.count("*").alias("total_messages"), F.sum(late).alias("late_night_messages"), ratio(F.sum(late), F.count("*")).alias("late_night_share"))
 
 
+def late_night_by_sender(m: DataFrame) -> DataFrame:
+    """Late-night messages of every listed sender in each month, zeros included."""
+    a = active(m)
+    counts = a.groupBy("archive_id", "month_key", "sender_id").agg(F.sum(late_night(F.col("hour_of_day")).cast("int")).alias("l"))
+    months, senders = counts.select("archive_id", "month_key").distinct(), counts.where("sender_id is not null").select("archive_id", "sender_id").distinct()
+    return months.join(senders, "archive_id").join(counts, ["archive_id", "month_key", "sender_id"], "left").select("archive_id", "month_key", "sender_id", F.coalesce("l", F.lit(0)).alias("late_night_messages"))
+
+
 def dense(m: DataFrame, column: str, size: int) -> DataFrame:
     """Counts of active rows for every value below size, zeros included."""
     grid = m.select("archive_id").distinct().select("archive_id", F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias(column))

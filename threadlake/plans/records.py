@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from threadlake.operators import records as X
+from threadlake.operators import rollups as R
 from threadlake.plans import queries as Q
 
 _LATE = "sum(CAST(hour_of_day IN (22, 23, 0, 1, 2, 3, 4) AS INT))"
@@ -12,15 +13,19 @@ _ISO = "strftime({}, '%Y-%m-%dT%H:%M:%S')"
 _SPAN = f"{_ISO.format('arg_min(ts, seq)')} AS first_ts, {_ISO.format('arg_max(ts, seq)')} AS last_ts"
 FLOORS = {"balanced": 200, "night": 400}
 
-Q._COUNTS |= {"participants", "total_messages", "top_day_count", "top_month_count", "longest_session", "cycles"}
+Q._COUNTS |= {"shard_count", "participants", "total_messages", "top_day_count", "top_month_count", "longest_session", "cycles"}
 
-Q.rows("messages_manifest", X.messages_manifest, "archive_id month_key shard_id n first_ts last_ts", f"SELECT archive_id, month_key, 'messages_' || month_key AS shard_id, count(*) AS n, {_SPAN} FROM m GROUP BY archive_id, month_key")
+Q.rows("messages_manifest", X.messages_manifest, "archive_id month_key shard_id n first_ts last_ts shard_count total_messages", f"SELECT archive_id, month_key, 'messages_' || month_key AS shard_id, count(*) AS n, {_SPAN}, count(*) OVER (PARTITION BY archive_id) AS shard_count, sum(count(*)) OVER (PARTITION BY archive_id) AS total_messages FROM m GROUP BY archive_id, month_key")
 Q.rows("source_manifest", X.source_manifest, "archive_id n participants first_ts last_ts", f"SELECT archive_id, count(*) AS n, count(DISTINCT sender_id) AS participants, {_SPAN} FROM m GROUP BY archive_id")
-Q.rows("chunk_manifest", X.chunk_manifest, "archive_id chunk_no first_seq last_seq n session_ids", """, c AS (SELECT archive_id, count(*) AS n FROM m GROUP BY 1),
+Q.rows("chunk_manifest", X.chunk_manifest, "archive_id chunk_no first_seq last_seq n first_ts last_ts session_ids", """, c AS (SELECT archive_id, count(*) AS n FROM m GROUP BY 1),
 k AS (SELECT archive_id, unnest(range(0, CASE WHEN n <= 120 THEN 1 ELSE CAST(ceil((n - 120) / 105.0) AS BIGINT) + 1 END)) AS k FROM c),
-x AS (SELECT m.archive_id, seq, session_no, k + 1 AS chunk_no FROM m JOIN k ON m.archive_id = k.archive_id AND m.seq >= 105 * k AND m.seq < 105 * k + 120),
+x AS (SELECT m.archive_id, seq, ts, session_no, k + 1 AS chunk_no FROM m JOIN k ON m.archive_id = k.archive_id AND m.seq >= 105 * k AND m.seq < 105 * k + 120),
 y AS (SELECT archive_id, chunk_no, string_agg(printf('tech_%04d', CAST(session_no AS BIGINT)), ',' ORDER BY session_no) AS session_ids FROM (SELECT DISTINCT archive_id, chunk_no, session_no FROM x) GROUP BY ALL),
-z AS (SELECT archive_id, chunk_no, min(seq) AS first_seq, max(seq) AS last_seq, count(*) AS n FROM x GROUP BY ALL);;SELECT * FROM y JOIN z USING (archive_id, chunk_no)""")
+z AS (SELECT archive_id, chunk_no, min(seq) AS first_seq, max(seq) AS last_seq, count(*) AS n, """ + _SPAN + """ FROM x GROUP BY archive_id, chunk_no);;SELECT * FROM y JOIN z USING (archive_id, chunk_no)""")
+Q.rows("late_night_by_sender", R.late_night_by_sender, "archive_id month_key sender_id late_night_messages", f"""SELECT mo.archive_id, month_key, pe.sender_id, coalesce(l, 0) AS late_night_messages FROM (SELECT DISTINCT archive_id, month_key FROM act) mo
+JOIN (SELECT DISTINCT archive_id, sender_id FROM act WHERE sender_id IS NOT NULL) pe USING (archive_id) LEFT JOIN (SELECT archive_id, month_key, sender_id, {_LATE} AS l FROM act GROUP BY ALL) c USING (archive_id, month_key, sender_id)""")
+_MIX = "SELECT archive_id, {0} AS sender_id, emotion_label, count(*) AS n FROM a WHERE message_type <> 'system' {1} GROUP BY archive_id, emotion_label"
+Q.rows("scope_filter", lambda a: R.scope(mix := R.emotion_mix(a), "participant_02").unionByName(R.scope(mix, None)), "archive_id sender_id emotion_label n", _MIX.format("'participant_02'", "AND sender_id = 'participant_02'") + " UNION ALL " + _MIX.format("'*'", ""), 1)
 _PEAK = "SELECT archive_id, sender_id, '{0}' AS kind, row_number() OVER (PARTITION BY archive_id, sender_id ORDER BY count(*) DESC, {1}) AS rank, {2} AS weekday, {3} AS hour_of_day, count(*) AS n FROM act WHERE sender_id IS NOT NULL GROUP BY archive_id, sender_id, {4}"
 _PEAKS = " UNION ALL ".join(
     f"SELECT * FROM ({_PEAK.format(*x)}) WHERE rank <= {k}"

@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from threadlake.functions import display as D
 from threadlake.functions import text as T
 from threadlake.operators import annotate as A
@@ -31,12 +32,58 @@ def messages(spark):
     return spark.createDataFrame(data, "archive_id string, seq long, ts timestamp_ntz, sender_id string, text string")
 
 
+def sessions_of(rows, gap):
+    """A plain loop over an archive's rows in order."""
+    out, before, own, session = [], None, {}, 0
+    wait = lambda t, p: None if p is None else max(0, round((t - p).total_seconds() / 60)) if t else 0
+    for i, r in enumerate(sorted(rows, key=lambda r: r["seq"])):
+        g = wait(r["ts"], before)
+        session += g is None or g >= gap
+        out.append((r["archive_id"], r["seq"], g, session, wait(r["ts"], own.get(r["sender_id"])) if r["sender_id"] else None, f"tech_{session:04d}", i))
+        before, own[r["sender_id"]] = r["ts"], r["ts"]
+    return out
+
+
 @pytest.mark.parametrize("block", [1, 7, 1 << 20])
 def test_sessions_in_blocks(messages, block):
-    want = S.with_sessions(messages)
-    got = S.with_sessions_in_blocks(messages, block_rows=block)
-    assert sorted(got.columns) == sorted(want.columns)
-    assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
+    """Also with a message without time, holes in the order, and columns of the names that are added."""
+    m = messages.withColumn("ts", F.when(F.col("seq") % 41 != 13, F.col("ts"))).withColumn("at", F.col("seq") * 3 + 5).withColumns({"session_no": F.lit(-1), "gap_minutes": F.lit("x")})
+    rows = [r.asDict() for r in m.collect()]
+    want = sorted(x for a in ("big", "b", "c") for x in sessions_of([r for r in rows if r["archive_id"] == a], 360))
+    got = S.with_sessions(m, gap=360, order="at", number="place", block_rows=block)
+    assert sorted(map(tuple, got.select("archive_id", "seq", "gap_minutes", "session_no", "reply_gap_minutes", "technical_session_id", "place").collect())) == want
+    assert len({x[3] for x in want}) > 20 and S.with_sessions(m.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("block", [1, 7, 50, 1 << 20])
+def test_silence_in_blocks(messages, block):
+    """Blocks without active rows, and of one row, lie between neighbours."""
+    m = messages.withColumn("message_type", F.when((F.col("seq") % 5 == 0) | F.col("seq").between(100, 130), "system").otherwise("text"))
+    want = []
+    for a in ("big", "b", "c"):
+        rows = sorted((r["seq"], r["ts"]) for r in m.where("message_type = 'text'").where(F.col("archive_id") == a).collect())
+        gaps = sorted((-int((t - p).total_seconds() // 60), s, q) for (q, p), (s, t) in zip(rows, rows[1:]))[:6]
+        want += [(a, i + 1, q, s, float(-g)) for i, (g, s, q) in enumerate(gaps) if g < 0]
+    got = S.silence_gaps(m, block_rows=block).select("archive_id", "rank", "from_seq", "seq", "gap_minutes")
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) == 18
+
+
+@pytest.mark.parametrize("name", ["sessionize", "silence_gaps", "chunk_windows", "reply_gap"])
+def test_no_messages_window_by_archive(spark, name):
+    """Every window keyed by an archive alone stands on a table of blocks, or keeps no more than a few ranks."""
+    plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    whole = [i for i, x in enumerate(plan.splitlines()) if "Window [" in x and "_block" not in x.split("], [")[1].split("]")[0] and "sender_id" not in x.split("], [")[1].split("]")[0]]
+    lines = plan.splitlines()
+    assert whole or name == "chunk_windows"
+    depth = lambda x: len(x) - len(x.lstrip(" :+-"))
+    for i in whole:
+        below = []
+        for x in lines[i + 1 :]:
+            if depth(x) <= depth(lines[i]):
+                break
+            below.append(x)
+        first = next(x for x in below if "Aggregate [" in x or "Filter (((_best" in x or "Window [" in x and "_block" in x.split("], [")[1] or "Relation" in x)
+        assert "Aggregate" in first or "_best" in first, (name, lines[i], first)
 
 
 def one(spark, value, make):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadlake.functions import text as T
@@ -31,19 +31,25 @@ def messages_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.when(F.col("message_type") == "deleted", "This message was deleted").when(F.col("message_type") == "media_omitted", "<Media omitted>").otherwise(F.coalesce(F.trim(F.regexp_replace("said", r"\s+", " ")), phrase))
     moved = F.expr("cast(date_trunc('MINUTE', ts) as timestamp_ntz) + make_dt_interval(cast(25 * floor((day(ts) - 1) / 5) as int))")
     sender = F.when(F.col("message_type") != "system", F.concat(F.lit("participant_0"), (F.col("user_id") % 5 + 1).cast("string")))
-    # dealt by archive before the texts are looked at; the windows by archive keep this
-    e = e.repartition("archive_id")
-    seq = F.row_number().over(Window.partitionBy("archive_id").orderBy("event_id")) - 1
-    m = e.select("archive_id", seq.cast("long").alias("seq"), moved.alias("ts"), sender.alias("sender_id"), sender.alias("sender_label"), "message_type", words.alias("text"), F.coalesce((F.col("message_type") == "text") & F.col("said").contains("\n"), F.lit(False)).alias("is_multiline"))
-    return features(m)
+    # ordered, numbered and dealt to blocks of events before the texts are looked at
+    e = with_sessions(e.select("archive_id", "event_id", "user_id", moved.alias("ts"), sender.alias("sender_id"), "message_type", "said"), order="event_id", number="seq")
+    m = e.select(
+        "archive_id", "seq", "ts", "sender_id", F.col("sender_id").alias("sender_label"), "message_type", words.alias("text"), F.coalesce((F.col("message_type") == "text") & F.col("said").contains("\n"), F.lit(False)).alias("is_multiline"),
+        "gap_minutes", "session_no", "reply_gap_minutes", "technical_session_id",
+    )
+    return text_features(m)
 
 
-def features(m: DataFrame) -> DataFrame:
-    """Text features, calendar keys, gaps and sessions on (archive_id, seq, ts, sender_id, sender_label, message_type, text)."""
+def text_features(m: DataFrame) -> DataFrame:
+    """Text features and calendar keys on (archive_id, seq, ts, text)."""
     text, ts = F.col("text"), F.col("ts")
     m = m.withColumn("normalized_text", T.normalize_text(text))
-    m = m.select(
+    return m.select(
         "*", F.format_string("msg_%07d", F.col("seq") + 1).alias("message_id"), T.has_url(text).alias("has_url"), T.char_count(text).alias("char_count"), T.words_in(F.col("normalized_text")).alias("word_count"), T.count_emoji(text).alias("emoji_count"),
         F.hour(ts).alias("hour_of_day"), T.weekday(ts).alias("weekday"), T.day_key(ts).alias("day_key"), T.week_key(ts).alias("week_key"), T.month_key(ts).alias("month_key"),
     )
-    return with_sessions(m)
+
+
+def features(m: DataFrame) -> DataFrame:
+    """Gaps, sessions, text features and calendar keys on (archive_id, seq, ts, sender_id, sender_label, message_type, text)."""
+    return text_features(with_sessions(m))

@@ -1,6 +1,7 @@
 """Hand-made cases with literal answers: values that must be right whatever constants both engines share."""
 
 import json
+import zlib
 from datetime import datetime, timedelta
 
 import pytest
@@ -13,7 +14,7 @@ from threadlake.operators import annotate as A
 from threadlake.operators import chunks as K
 from threadlake.operators import curation as C
 from threadlake.operators import sessions as S
-from threadlake.sources import tables
+from threadlake.sources import shards, tables
 
 
 @pytest.fixture(scope="module")
@@ -231,6 +232,34 @@ def test_month_shards(spark, tmp_path):
     assert {k for k, v in got.items() if v} == {"normalized_text not null", "char_count not negative", "hour_of_day within 0 to 23"} and set(got.values()) == {0, 6}
 
 
+@pytest.mark.parametrize("block", [3, 1 << 20])
+def test_sized_shards(spark, tmp_path, block):
+    """Files of at most the size and a line, in order, as the manifest says; a broken run is not read, and a changed file is refused."""
+    rows = [(a, None if i % 40 == 39 else f"2024-0{1 + i // 25}", i, f"msg_{i}", datetime(2024, 1, 1, 0, i % 60), "text", "é\n" + "x" * (i * 7919 % 90), f"s{i}", i, 1) for a in ("a", "b/c +%") for i in range(50)]
+    placed = spark.createDataFrame(rows, "archive_id string, month_key string, seq long, message_id string, ts timestamp_ntz, message_type string, text string, technical_session_id string, segment_no int, chapter_no int").withColumns({"sender_id": F.lit(None).cast("string"), "sender_label": F.lit("p")})
+    run = shards.publish(placed, str(tmp_path), 700, block)
+    got: dict = {}
+    for r in shards.read_shards(spark, str(tmp_path), run).collect():
+        got.setdefault(r["path"].rsplit("/", 1)[0], []).append(r["value"])
+    manifest = spark.read.parquet(f"{tmp_path}/run={run}/manifest").collect()
+    assert len(manifest) == len(got) > 12 and {r["total_messages"] for r in manifest} == {50} and {r["shard_count"] for r in manifest} == {3}
+    for r in manifest:
+        lines = got[r["path"].rsplit("/", 1)[0]]
+        assert len(lines) == r["n"] and sum(len(x.encode()) + 1 for x in lines) == r["bytes"] and sum(zlib.crc32(x.encode()) for x in lines) == r["checksum"]
+        ids = [int(json.loads(x)["message_id"][4:]) for x in lines]
+        assert ids == sorted(ids) and r["bytes"] - len(lines[-1].encode()) - 1 <= 700
+    assert sorted(json.loads(x)["message_id"] for v in got.values() for x in v) == sorted(r[3] for r in rows)
+    again = shards.publish(placed, str(tmp_path), 700, block)
+    assert again != run and shards.read_shards(spark, str(tmp_path), run).count() == shards.read_shards(spark, str(tmp_path), again).count() == 100
+    some = next(tmp_path.glob(f"run={again}/data/*/*/*/*.txt"))
+    some.write_bytes(some.read_bytes() + b"{}\n")
+    (some.parent / f".{some.name}.crc").unlink(missing_ok=True)
+    with pytest.raises(FileNotFoundError):
+        shards.read_shards(spark, str(tmp_path), again)
+    empty = shards.publish(placed.limit(0), str(tmp_path), 700)
+    assert spark.read.parquet(f"{tmp_path}/run={empty}/manifest").count() == 0
+
+
 def test_selections_of_many(spark):
     """500 candidates, limits of 100 and 7, against plain loops: nothing is cut before the selection."""
     import random

@@ -13,9 +13,10 @@ from threadlake.operators import records as X
 from threadlake.plans import queries as Q
 from threadlake.plans.records import _PERIODS
 from threadlake.plans.story import PLACED, shown
+from threadlake.sources import shards as H
 from threadlake.sources import tables as S
 
-Q._COUNTS |= {"checked", "violations"}
+Q._COUNTS |= {"checked", "violations", "bytes", "total_bytes", "file_count", "file_no", "shard_count"}
 q = Q.quoted
 
 _KINDS = " UNION ALL ".join(f"SELECT archive_id, seq, '{kind}' AS kind, {q(label)} AS label, {Q._hits(words)} AS n FROM m" for kind, t in (("emotion", L.EMOTIONS), ("archetype", L.ARCHETYPES), ("topic", L.TOPICS)) for label, words in t.items())
@@ -121,6 +122,16 @@ rw AS (SELECT archive_id, 1 AS place, 'Messages shared' AS label, {compact("n")}
 UNION ALL SELECT archive_id, 3, 'Most active month', month_key || ' (' || {compact("top")} || ')', 'month', month_key FROM al UNION ALL SELECT archive_id, 4, 'Late-night share', regexp_replace({tenths("(late * 100e0 / n)")}, '\\.0$', '') || '%', 'night', '*' FROM al);;
 SELECT rw.archive_id, place, label, value, coalesce(ids, '') AS ids FROM rw LEFT JOIN su USING (archive_id, kind, who)""")
 shown("month_shard_rows", lambda p, s, g: S.month_rows(p), "archive_id month_key message_id timestamp_local sender_id message_type text technical_session_id narrative_segment_id chapter_id", ";;SELECT *, printf('msg_%07d', seq + 1) AS message_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS timestamp_local, printf('tech_%04d', CAST(session_no AS BIGINT)) AS technical_session_id, printf('segment_%04d', segment_no) AS narrative_segment_id, printf('chapter_%03d', chapter_no) AS chapter_id FROM pl")
+_FIELD = lambda name, c: f""" CASE WHEN {c} IS NULL THEN '' ELSE ',"{name}":' || to_json({c}) END"""
+_FILES = """, f0 AS (SELECT archive_id, month_key, seq, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS stamp, '{' || substr(""" + " || ".join(_FIELD(n, c) for n, c in (
+    ("message_id", "printf('msg_%07d', seq + 1)"), ("timestamp_local", "strftime(ts, '%Y-%m-%dT%H:%M:%S')"), ("sender_id", "sender_id"), ("sender_label", "sender_id"), ("message_type", "message_type"), ("text", "text"),
+    ("technical_session_id", "printf('tech_%04d', CAST(session_no AS BIGINT))"), ("narrative_segment_id", "printf('segment_%04d', segment_no)"), ("chapter_id", "printf('chapter_%03d', chapter_no)"))) + """, 2) || '}' AS line FROM pl),
+f1 AS (SELECT *, strlen(line) + 1 AS size FROM f0),
+f2 AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY archive_id, month_key ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 16384 AS file_no FROM f1),
+f3 AS (SELECT archive_id, month_key, CAST(file_no AS BIGINT) AS file_no, sum(size) AS bytes, count(*) AS n, arg_min(stamp, seq) AS first_ts, arg_max(stamp, seq) AS last_ts FROM f2 GROUP BY ALL)"""
+shown("shard_files", lambda p, s, g: H.files_of(H.in_files(p, 1 << 14)), "archive_id month_key shard_id file_no path bytes n first_ts last_ts shard_count file_count total_messages total_bytes", _FILES + """;;
+SELECT *, 'messages_' || month_key AS shard_id, 'archive=' || archive_id || '/messages_' || month_key || '/' || printf('%06d', file_no) AS path, count(*) OVER w AS file_count, sum(n) OVER w AS total_messages, sum(bytes) OVER w AS total_bytes,
+sum(CASE WHEN file_no = 0 THEN 1 ELSE 0 END) OVER w AS shard_count FROM f3 WINDOW w AS (PARTITION BY archive_id)""")
 _SH = ", sh9 AS (SELECT archive_id, session_no, seq, row_number() OVER (PARTITION BY archive_id, session_no ORDER BY importance_score DESC, seq) AS rank FROM a WHERE highlight_candidate)"
 Q.rows("session_highlights", N.session_highlights, "archive_id session_no rank seq", _SH + ";;SELECT * FROM sh9 WHERE rank <= 5", 1)
 Q.add("session_senders", lambda x: x[1].select("archive_id", F.col("session_no").cast("long").alias("session_no"), F.explode("sender_counts").alias("sender_id", "n")), "SELECT archive_id, CAST(session_no AS BIGINT) AS session_no, sender_id, count(*) AS n FROM a WHERE sender_id IS NOT NULL GROUP BY ALL", 2)

@@ -14,6 +14,7 @@ from threadlake.operators import annotate as A
 from threadlake.operators import chunks as K
 from threadlake.operators import curation as C
 from threadlake.operators import sessions as S
+from threadlake.sources import rules as V
 from threadlake.sources import shards, tables
 
 
@@ -260,6 +261,32 @@ def test_sized_shards(spark, tmp_path, block):
     assert spark.read.parquet(f"{tmp_path}/run={empty}/manifest").count() == 0
 
 
+def test_rules(spark):
+    """A violation of each kind of rule is counted once, by hand; lists, maps, rows and their nulls too; and by SQL the same."""
+    import duckdb
+
+    table = {
+        "t": V.TEXT, "m": V.MAYBE, "n": V.Rule(0, 10), "e": V.Rule(labels=("a", "b")), "l": V.Rule(each=V.Rule(labels=("a", "b")), least=1), "c": V.Rule(values=V.COUNT),
+        "r": V.Rule(fields={"d": V.TEXT, "k": V.Rule(low=1)}), "rs": V.Rule(each=V.Rule(fields={"k": V.COUNT})), "lacks": V.TEXT,
+    }
+    rows = [
+        ("x", None, 0, "a", ["a"], {"p": 0}, ("d", 1), []),
+        (None, None, 11, "c", [], {"p": -1}, (None, 1), [(-1,), (2,)]),
+        ("", "y", -1, None, ["a", None], {}, ("d", 0), [(None,)]),
+        ("x", "y", None, "b", ["c", "c"], None, None, None),
+    ]
+    df = spark.createDataFrame(rows, "t string, m string, n int, e string, l array<string>, c map<string,int>, r struct<d:string,k:int>, rs array<struct<k:int>>")
+    got = {r["rule"].split(" ")[0]: (r["checked"], r["violations"]) for r in V.count_broken(df, "made", table).collect()}
+    assert got == {"t": (4, 1), "m": (4, 0), "n": (4, 3), "e": (4, 2), "l": (4, 3), "c": (4, 2), "r": (4, 3), "rs": (4, 3), "lacks": (4, 4)}
+    assert {(r["checked"], r["violations"]) for r in V.count_broken(df.limit(0), "made", table).collect()} == {(0, 0)}
+    con = duckdb.connect()
+    con.register("made", df.toArrow())
+    sql = ", ".join(f"sum(CAST({r.sql(c)} AS INT))" for c, r in table.items() if c != "lacks")
+    assert list(con.execute(f"SELECT {sql} FROM made").fetchone()) == [v for k, (_, v) in got.items() if k != "lacks"]
+    ours, theirs = spark.createDataFrame([(1,), (2,), (2,), (None,)], "a int"), spark.createDataFrame([(1,), (1,), (None,)], "b int")
+    assert [tuple(r) for r in V.count_orphans(ours, "o", ["a"], theirs, "p", ["b"]).collect()] == [("o", "a in p", 3, 2)]
+
+
 def test_selections_of_many(spark):
     """500 candidates, limits of 100 and 7, against plain loops: nothing is cut before the selection."""
     import random

@@ -15,7 +15,7 @@ from threadlake.operators import chunks as K
 from threadlake.operators import curation as C
 from threadlake.operators import sessions as S
 from threadlake.sources import rules as V
-from threadlake.sources import shards, tables
+from threadlake.sources import shards, store, tables
 
 
 @pytest.fixture(scope="module")
@@ -287,6 +287,39 @@ def test_rules(spark):
     assert [tuple(r) for r in V.count_orphans(ours, "o", ["a"], theirs, "p", ["b"]).collect()] == [("o", "a in p", 3, 2)]
 
 
+def test_store(spark, tmp_path):
+    """Only touched parts get new files, nothing new writes nothing, a broken run isn't read, and other providers have rows of their own."""
+    schema = "provider string, version string, chunk_hash string, archive_id string, seq long, chunk_no long, label string"
+    rows = lambda n, edit=None: spark.createDataFrame([("a", i, f"msg_{i}", "edited" if i == edit else f"text {i}") for i in range(n)], "archive_id string, seq long, message_id string, normalized_text string")
+    seen = []
+
+    def annotator(x):
+        seen.append(x.count())
+        return x.withColumn("label", F.concat(F.lit("of "), "normalized_text"))
+
+    path = str(tmp_path / "store")
+    files = lambda: {str(f): f.stat().st_mtime_ns for f in (tmp_path / "store").rglob("*.parquet")}
+    assert store.read_store(spark, path, schema).count() == 0
+    assert store.annotate_into(rows(1000), path, schema, annotator=annotator) == 1
+    first = files()
+    assert store.annotate_into(rows(1000), path, schema, annotator=annotator) == 1 and files() == first and len(seen) == 1
+    assert store.annotate_into(rows(1000, edit=500), path, schema, annotator=annotator) == 2 and seen[1] == 120
+    after = files()
+    assert {f: after[f] for f in first} == first and 0 < len([f for f in after if f not in first and "/data/" in f]) <= 8
+    newest, parts = store.manifest(spark, path)
+    assert newest == 2 and len(parts) >= 9 and len(set(parts.values())) == 2 and len([r for r in parts.values() if list(parts.values()).count(r) == 1]) == 1
+    got = store.stored_annotations(rows(1000, edit=500), path, schema).collect()
+    want = sorted((r["seq"], r["chunk_no"]) for r in K.in_chunks(rows(1000)).collect())
+    assert sorted((r["seq"], r["chunk_no"]) for r in got) == want and {r["label"] for r in got if r["seq"] == 500} == {"of edited"}
+    assert len(store.stored_annotations(rows(1000), path, schema).collect()) == len(want)
+    (tmp_path / "store/data/run=broken/part=1").mkdir(parents=True)
+    assert store.annotate_into(rows(1000), path, schema, provider="other", annotator=annotator) == 3 and store.read_store(spark, path, schema).count() == 2 * len(want) + 120
+    # an update in place of rows with the same keys
+    one = store.read_store(spark, path, schema).where("provider = 'rules' and seq = 3").limit(1).withColumn("label", F.lit("new"))
+    assert store.upsert(spark, path, one, schema, ["provider", "version", "chunk_hash", "archive_id", "seq"]) == 4
+    assert store.read_store(spark, path, schema).where("label = 'new'").count() == 1 and store.read_store(spark, path, schema).count() == 2 * len(want) + 120
+
+
 def test_selections_of_many(spark):
     """500 candidates, limits of 100 and 7, against plain loops: nothing is cut before the selection."""
     import random

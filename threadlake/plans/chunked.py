@@ -14,6 +14,7 @@ from threadlake.plans import queries as Q
 from threadlake.plans.records import _PERIODS
 from threadlake.plans.story import PLACED, shown
 from threadlake.sources import shards as H
+from threadlake.sources import store as I
 from threadlake.sources import tables as S
 
 Q._COUNTS |= {"checked", "violations", "bytes", "total_bytes", "file_count", "file_no", "shard_count"}
@@ -144,3 +145,16 @@ _BAD = {
 }
 _CHECKS = " UNION ALL ".join(f"SELECT '{t}' AS table_name, {q(r)} AS rule, count(*) AS checked, coalesce(sum(CAST({w} AS INT)), 0) AS violations FROM (SELECT *, 'x' AS message_id, 'x' AS technical_session_id FROM {src})" for t, (src, rules) in _BAD.items() for r, w in rules.items())
 Q.rows("validate_tables", lambda x: S.validate_table(x[0], "messages").unionByName(S.validate_table(x[0], "annotations")).unionByName(S.validate_table(x[1], "sessions")), "table_name rule checked violations", f";;{_CHECKS}", 2)
+_STORED = "provider string, version string, chunk_hash string, archive_id bigint, seq bigint, chunk_no bigint, emotion_label string, importance_score double"
+
+
+def _incremental(m):
+    """Annotations from a store that was filled with an earlier state of the archives first, and then with what was new."""
+    path = I.shared_folder(m.sparkSession)
+    I.annotate_into(m.where("seq < 500"), path, _STORED)
+    I.annotate_into(m, path, _STORED)
+    return I.stored_annotations(m, path, _STORED)
+
+
+Q.rows("incremental_annotate", _incremental, "archive_id seq chunk_no emotion_label importance_score", _IN + ";;SELECT * FROM cx")
+Q.ORACLES["incremental_annotate"] = "WITH " + Q.BASE.strip() + Q.ANNOTATED + _IN + "\nSELECT archive_id, seq, chunk_no, emotion_label, importance_score FROM cx"

@@ -170,6 +170,28 @@ def previews(rows: DataFrame, k: int) -> DataFrame:
     return top_k(rows.where("chapter_no is not null").withColumnRenamed("rank", "first_rank"), ["archive_id", "chapter_no"], ["first_rank"], k)
 
 
+def chapter_links(chapters: DataFrame, highlights: DataFrame, milestones: DataFrame, highlight_limit: int = 8, milestone_limit: int = 5) -> DataFrame:
+    """Chapters with highlight_ids and milestone_ids: the first ranked ones that lie in each, comma-joined; empty where none does."""
+    by = ["archive_id", "chapter_no"]
+
+    def ids(rows: DataFrame, name: str, k: int) -> DataFrame:
+        listed = F.array_sort(F.collect_list("first_rank"))
+        return previews(rows, k).groupBy(*by).agg(F.array_join(F.transform(listed, lambda r: F.format_string(f"{name}_%04d", r)), ",").alias(f"{name}_ids"))
+
+    out = chapters.join(ids(highlights, "highlight", highlight_limit), by, "left").join(ids(milestones, "milestone", milestone_limit), by, "left")
+    return out.withColumns({c: F.coalesce(c, F.lit("")) for c in ("highlight_ids", "milestone_ids")})
+
+
+def homepage_intro(m: DataFrame) -> DataFrame:
+    """(archive_id, subtitle, time_span): whom an archive is by, in order of first sight, and its first and last month."""
+    whole = m.groupBy("archive_id").agg(F.min_by("ts", "seq").alias("_from"), F.max_by("ts", "seq").alias("_to"))
+    people = m.where("sender_label is not null").groupBy("archive_id", "sender_label").agg(F.min("seq").alias("seen"))
+    named = people.groupBy("archive_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seen", "sender_label"))), lambda x: x["sender_label"]), " and ").alias("_who"))
+    subtitle = F.concat(F.lit("A curated journey through "), F.coalesce("_who", F.lit("")), F.lit(" across messages, moods, and milestones."))
+    span = F.concat(F.date_format("_from", "MMM yyyy"), F.lit(" to "), F.date_format("_to", "MMM yyyy"))
+    return whole.join(named, "archive_id", "left").select("archive_id", subtitle.alias("subtitle"), F.coalesce(span, F.lit("Conversation timeline")).alias("time_span"))
+
+
 def homepage(chosen: DataFrame, milestones: DataFrame, chapters: DataFrame, milestone_limit: int = 4, chapter_limit: int = 5) -> DataFrame:
     """(archive_id, kind, place, item, title): an archive's first page, row by row."""
     high = chosen.select("archive_id", F.lit("highlight").alias("kind"), "place", F.format_string("msg_%07d", F.col("seq") + 1).alias("item"), F.col("text").alias("title"))

@@ -176,6 +176,12 @@ UNION ALL SELECT archive_id, 'milestone', rank, milestone_id, title FROM ml WHER
 for _name, _build, _rows, _from, _k in (("chapter_milestones", N.milestones, STONES, "ml", 4), ("chapter_highlights", N.highlights, HIGH, "hl", 6)):
     _sql = f"{_rows};;SELECT * FROM (SELECT archive_id, chapter_no, seq, row_number() OVER (PARTITION BY archive_id, chapter_no ORDER BY rank) AS rank FROM {_from} WHERE chapter_no IS NOT NULL) WHERE rank <= {_k}"
     shown(_name, lambda p, s, g, b=_build, k=_k: C.previews(b(p), k), "archive_id chapter_no rank seq", _sql)
+_IDS = lambda name, source, k: f"(SELECT archive_id, chapter_no, string_agg(printf('{name}_%04d', rank), ',' ORDER BY rank) AS {name}_ids FROM (SELECT archive_id, chapter_no, rank, row_number() OVER (PARTITION BY archive_id, chapter_no ORDER BY rank) AS k FROM {source} WHERE chapter_no IS NOT NULL) WHERE k <= {k} GROUP BY ALL)"
+shown("chapter_links", lambda p, s, g: C.chapter_links(N.chapter_summary(g), N.highlights(p), N.milestones(p)), "archive_id chapter_no chapter_id highlight_ids milestone_ids", CHAPTER_TEXT + HIGH + STONES + f""";;
+SELECT ce.archive_id, ce.chapter_no, chapter_id, coalesce(highlight_ids, '') AS highlight_ids, coalesce(milestone_ids, '') AS milestone_ids FROM ce LEFT JOIN {_IDS("highlight", "hl", 8)} h ON h.archive_id = ce.archive_id AND h.chapter_no = ce.chapter_no LEFT JOIN {_IDS("milestone", "ml", 5)} t ON t.archive_id = ce.archive_id AND t.chapter_no = ce.chapter_no""")
+Q.rows("homepage_intro", C.homepage_intro, "archive_id subtitle time_span", """, hs AS (SELECT archive_id, sender_id, min(seq) AS seen FROM m WHERE sender_id IS NOT NULL GROUP BY ALL), hw AS (SELECT archive_id, string_agg(sender_id, ' and ' ORDER BY seen) AS who FROM hs GROUP BY 1),
+ht AS (SELECT archive_id, strftime(arg_min(ts, seq), '%b %Y') || ' to ' || strftime(arg_max(ts, seq), '%b %Y') AS time_span FROM m GROUP BY 1);;
+SELECT ht.archive_id, 'A curated journey through ' || coalesce(who, '') || ' across messages, moods, and milestones.' AS subtitle, time_span FROM ht LEFT JOIN hw USING (archive_id)""")
 _CLUSTERS = """, tx AS (SELECT archive_id, seq, text, unnest(topic_tags) AS topic, generate_subscripts(topic_tags, 1) AS p FROM a),
 tc AS (SELECT archive_id, topic, count(*) AS n, row_number() OVER (PARTITION BY archive_id ORDER BY count(*) DESC, min(seq * 100 + p)) AS first_rank FROM tx GROUP BY archive_id, topic),
 tq AS (SELECT * FROM (SELECT archive_id, topic, seq, text, row_number() OVER (PARTITION BY archive_id, topic ORDER BY seq) AS rank FROM tx) WHERE rank <= 8),

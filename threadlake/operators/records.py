@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from threadlake.operators import cube as C
+from threadlake.operators.cube import time_cube
 from threadlake.operators.narrative import phrase_motifs
 from threadlake.operators.ranking import top_k
-from threadlake.operators.rollups import active, count_by, emotion_timeline, late_night_trend, month_winners, monthly_split, participant_overview, ratio
-from threadlake.operators.sessions import chunk_windows, longest_streak, streak_of
+from threadlake.operators.rollups import active, count_by, emotion_timeline, late_night_trend, month_winners, monthly_split, overview_of, participant_overview, ratio, split_of, winners_of
+from threadlake.operators.sessions import chunk_windows, streak_of
 from threadlake.functions.text import format_compact, late_night, weekend
 
 KEYS = ("archive_id",)
@@ -49,18 +51,30 @@ def participant_peak_windows(m: DataFrame, windows: int = 4, others: int = 3) ->
 
 def most_balanced_month(m: DataFrame, floor: int = 200) -> DataFrame:
     """The month whose senders' counts differ least, among those not too quiet."""
-    months = monthly_split(m).groupBy("archive_id", "month_key").agg(F.max("n").alias("hi"), F.min("n").alias("lo"), F.first("total_messages").alias("total_messages"))
+    return balanced_of(monthly_split(m), floor)
+
+
+def balanced_of(split: DataFrame, floor: int) -> DataFrame:
+    months = split.groupBy("archive_id", "month_key").agg(F.max("n").alias("hi"), F.min("n").alias("lo"), F.first("total_messages").alias("total_messages"))
     least = F.greatest(F.lit(floor), F.floor(F.avg("total_messages").over(Window.partitionBy("archive_id")) * 0.35 + 0.5))
     fit = months.withColumn("least", least).where("total_messages >= least").withColumn("imbalance", (F.col("hi") - F.col("lo")) / F.greatest("hi", F.lit(1)))
     return top_k(fit, KEYS, ["imbalance", F.desc("total_messages"), "month_key"], 1)
 
 
 def monthly_takeover(m: DataFrame) -> DataFrame:
-    return top_k(month_winners(m).where("winner is not null"), KEYS, [F.desc("margin"), F.desc("total_messages"), "month_key"], 1)
+    return takeover_of(month_winners(m))
+
+
+def takeover_of(winners: DataFrame) -> DataFrame:
+    return top_k(winners.where("winner is not null"), KEYS, [F.desc("margin"), F.desc("total_messages"), "month_key"], 1)
 
 
 def night_owl_month(m: DataFrame, floor: int = 400) -> DataFrame:
-    return top_k(late_night_trend(m).where(F.col("total_messages") >= floor), KEYS, [F.desc("late_night_share"), F.desc("total_messages"), "month_key"], 1)
+    return owl_of(late_night_trend(m), floor)
+
+
+def owl_of(trend: DataFrame, floor: int) -> DataFrame:
+    return top_k(trend.where(F.col("total_messages") >= floor), KEYS, [F.desc("late_night_share"), F.desc("total_messages"), "month_key"], 1)
 
 
 def hinted_motifs(a: DataFrame, limit: int = 40, least: int = 3) -> DataFrame:
@@ -90,8 +104,15 @@ def peak_periods(a: DataFrame) -> DataFrame:
 
     The most intense week is the one with most messages.
     """
-    months = active(a).groupBy("archive_id", F.col("month_key").alias("period")).agg(F.count("*").cast("double").alias("most_active_month"), F.sum(F.col("support_signal").cast("double")).alias("support_month"), F.sum(F.col("repair_signal").cast("double")).alias("repair_month"), F.min("seq").alias("seen"))
-    weeks = active(a).groupBy("archive_id", F.col("week_key").alias("period")).agg(F.count("*").cast("double").alias("value"), F.min("seq").alias("seen"))
+    n = lambda c: F.sum(F.col(c).cast("int"))
+    return periods_of(active(a).groupBy("archive_id", "month_key", "week_key").agg(F.count("*").alias("n"), n("support_signal").alias("support"), n("repair_signal").alias("repair"), F.min("seq").alias("seen")))
+
+
+def periods_of(counts: DataFrame) -> DataFrame:
+    """peak_periods from (archive_id, month_key, week_key, n, support, repair, seen), of which a period may have many rows."""
+    n = lambda c: F.sum(c).cast("double")
+    months = counts.groupBy("archive_id", F.col("month_key").alias("period")).agg(n("n").alias("most_active_month"), n("support").alias("support_month"), n("repair").alias("repair_month"), F.min("seen").alias("seen"))
+    weeks = counts.groupBy("archive_id", F.col("week_key").alias("period")).agg(n("n").alias("value"), F.min("seen").alias("seen"))
     long = months.unpivot(["archive_id", "period", "seen"], ["most_active_month", "support_month", "repair_month"], "kind", "value").unionByName(weeks.withColumn("kind", F.lit("most_intense_week")))
     return top_k(long, ["archive_id", "kind"], [F.desc("value"), "seen"], 1)
 
@@ -163,8 +184,12 @@ def participant_leaders(m: DataFrame) -> DataFrame:
 
     A participant without reply gaps has mean 0, and so replies fastest.
     """
-    seen = active(m).where("sender_id is not null").groupBy("archive_id", "sender_id").agg(F.min("seq").alias("seen"))
-    o = participant_overview(m).join(seen, ["archive_id", "sender_id"])
+    return leaders_of(participant_overview(m), active(m).where("sender_id is not null").groupBy("archive_id", "sender_id").agg(F.min("seq").alias("seen")))
+
+
+def leaders_of(overview: DataFrame, seen: DataFrame) -> DataFrame:
+    """participant_leaders from the overview and (archive_id, sender_id, seen)."""
+    o = overview.join(seen, ["archive_id", "sender_id"])
     each = F.inline(F.array(*(F.struct(F.lit(k).alias("measure"), F.col(c).cast("double").alias("value"), (F.col(c).cast("double") * (1.0 if least else -1.0)).alias("_o")) for k, c, least in LEADERS)))
     return top_k(o.select("archive_id", "sender_id", "seen", each), ["archive_id", "measure"], ["_o", "seen"], 1).select("archive_id", "measure", "sender_id", "value")
 
@@ -186,10 +211,15 @@ def supporting(m: DataFrame, k: int = 3) -> DataFrame:
 
 
 def detective_records(a: DataFrame, balanced_floor: int = 200, night_floor: int = 400) -> DataFrame:
-    """The sixteen records of an archive: id, label, value, detail, winner, page and first supporting messages; N/A without data."""
+    """The sixteen records of an archive: id, label, value, detail, winner, page and first supporting messages; N/A without data.
+
+    Messages are annotated once; every record is answered from the time cube, and the supporting ones from its narrow rows.
+    """
+    rows, cube = time_cube(a)
+    overview, split = overview_of(C.sender_totals(cube), C.session_openers(cube)), split_of(C.month_counts(cube))
     n = lambda c: format_compact(F.col(c))
-    share = participant_overview(a).select("archive_id", "sender_id", F.col("message_share").alias("share"))
-    lead = participant_leaders(a).join(share, ["archive_id", "sender_id"])
+    share = overview.select("archive_id", "sender_id", F.col("message_share").alias("share"))
+    lead = leaders_of(overview, C.first_seen(cube)).join(share, ["archive_id", "sender_id"])
     shown = {"average_reply_gap": F.concat(tenths(F.col("value")), F.lit(" min")), "chars_per_message": F.concat(tenths(F.col("value")), F.lit(" chars/msg")), "late_night_percentage": F.concat(tenths(F.col("value")), F.lit("%")), "weekend_percentage": F.concat(tenths(F.col("value")), F.lit("%"))}
     value = n("value")
     for k, c, _ in LEADERS:
@@ -201,31 +231,32 @@ def detective_records(a: DataFrame, balanced_floor: int = 200, night_floor: int
     kind = F.lit(None).cast("string")
     for k, v in named.items():
         kind = F.when(F.col("kind") == k, v).otherwise(kind)
-    periods = peak_periods(a).select("archive_id", kind.alias("record_id"), F.concat("period", F.lit(" - "), n("value")).alias("value"), none.alias("own_detail"), none.alias("winner"), F.col("period").alias("who"))
-    even = most_balanced_month(a, balanced_floor).select("archive_id", F.lit("most_balanced_month").alias("record_id"), F.concat("month_key", F.lit(" - "), n("total_messages")).alias("value"), none.alias("own_detail"), none.alias("winner"), F.col("month_key").alias("who"))
-    over = monthly_takeover(a).select("archive_id", F.lit("biggest_monthly_takeover").alias("record_id"), F.concat("month_key", F.lit(" - "), "winner").alias("value"), F.concat(n("margin"), F.lit(" message lead")).alias("own_detail"), "winner", F.col("month_key").alias("who"))
-    owl = night_owl_month(a, night_floor).select("archive_id", F.lit("most_night_owl_month").alias("record_id"), F.concat("month_key", F.lit(" - "), tenths(F.col("late_night_share")), F.lit("%")).alias("value"), none.alias("own_detail"), none.alias("winner"), F.col("month_key").alias("who"))
+    periods = periods_of(cube).select("archive_id", kind.alias("record_id"), F.concat("period", F.lit(" - "), n("value")).alias("value"), none.alias("own_detail"), none.alias("winner"), F.col("period").alias("who"))
+    even = balanced_of(split, balanced_floor).select("archive_id", F.lit("most_balanced_month").alias("record_id"), F.concat("month_key", F.lit(" - "), n("total_messages")).alias("value"), none.alias("own_detail"), none.alias("winner"), F.col("month_key").alias("who"))
+    over = takeover_of(winners_of(split)).select("archive_id", F.lit("biggest_monthly_takeover").alias("record_id"), F.concat("month_key", F.lit(" - "), "winner").alias("value"), F.concat(n("margin"), F.lit(" message lead")).alias("own_detail"), "winner", F.col("month_key").alias("who"))
+    owl = owl_of(C.late_night_trend(cube), night_floor).select("archive_id", F.lit("most_night_owl_month").alias("record_id"), F.concat("month_key", F.lit(" - "), tenths(F.col("late_night_share")), F.lit("%")).alias("value"), none.alias("own_detail"), none.alias("winner"), F.col("month_key").alias("who"))
     found = people.unionByName(periods).unionByName(even).unionByName(over).unionByName(owl)
     told = F.inline(F.array(*(F.struct(F.lit(i).alias("place"), F.lit(k).alias("record_id"), F.lit(label).alias("label"), F.lit(d).cast("string").alias("told"), F.lit(route).alias("route"), F.lit(kind).alias("kind")) for i, (k, label, d, route, kind) in enumerate(RECORDS))))
-    grid = active(a).select("archive_id").distinct().select("archive_id", told)
+    grid = cube.select("archive_id").distinct().select("archive_id", told)
     missing = {"who_sent_more": "No data", "most_balanced_month": "No balanced month found", "biggest_monthly_takeover": "No clear monthly winner"}
     detail = F.coalesce("own_detail", "told")
     for k, v in missing.items():
         detail = F.when(F.col("value").isNull() & (F.col("record_id") == k), v).otherwise(detail)
-    out = grid.join(found, ["archive_id", "record_id"], "left").join(supporting(a), ["archive_id", "kind", "who"], "left")
+    out = grid.join(found, ["archive_id", "record_id"], "left").join(supporting(rows), ["archive_id", "kind", "who"], "left")
     return out.select("archive_id", "place", "record_id", "label", F.coalesce("value", F.lit("N/A")).alias("value"), detail.alias("detail"), "winner", "route", F.coalesce("ids", F.lit("")).alias("ids"))
 
 
 def story_spotlights(m: DataFrame) -> DataFrame:
     """(archive_id, place, label, value, ids): messages, streak, top month and late share, with first supporting messages."""
-    act = active(m)
-    total = act.groupBy("archive_id").agg(F.count("*").alias("n"), F.sum(late_night(F.col("hour_of_day")).cast("int")).alias("late"))
-    month = top_k(count_by(act, "month_key"), KEYS, [F.desc("n"), "month_key"], 1).select("archive_id", "month_key", F.col("n").alias("top"))
-    one = total.join(longest_streak(m), "archive_id").join(month, "archive_id")
+    rows, cube = time_cube(m)
+    months = C.month_counts(cube)
+    total = months.groupBy("archive_id").agg(F.sum("n").alias("n"), F.sum("late").alias("late"))
+    month = top_k(months.groupBy("archive_id", "month_key").agg(F.sum("n").alias("n")), KEYS, [F.desc("n"), "month_key"], 1).select("archive_id", "month_key", F.col("n").alias("top"))
+    one = total.join(streak_of(cube.select("archive_id", "day_key").distinct()), "archive_id").join(month, "archive_id")
     share = F.regexp_replace(tenths(F.col("late") * 100.0 / F.greatest("n", F.lit(1))), r"\.0$", "")
     row = lambda i, label, value, kind, who: F.struct(F.lit(i).alias("place"), F.lit(label).alias("label"), value.alias("value"), F.lit(kind).alias("kind"), who.alias("who"))
     each = one.select("archive_id", F.inline(F.array(
         row(1, "Messages shared", format_compact(F.col("n")), "any", F.lit("*")), row(2, "Longest streak", F.concat(F.col("longest_streak").cast("string"), F.lit(" days")), "any", F.lit("*")),
         row(3, "Most active month", F.concat("month_key", F.lit(" ("), format_compact(F.col("top")), F.lit(")")), "month", F.col("month_key")), row(4, "Late-night share", F.concat(share, F.lit("%")), "night", F.lit("*")),
     )))
-    return each.join(supporting(m), ["archive_id", "kind", "who"], "left").select("archive_id", "place", "label", "value", F.coalesce("ids", F.lit("")).alias("ids"))
+    return each.join(supporting(rows), ["archive_id", "kind", "who"], "left").select("archive_id", "place", "label", "value", F.coalesce("ids", F.lit("")).alias("ids"))

@@ -56,14 +56,23 @@ def session_openers(m: DataFrame) -> DataFrame:
     return first.groupBy("archive_id", "sender_id").agg(F.count("*").alias("n"))
 
 
-def participant_overview(m: DataFrame) -> DataFrame:
+def sender_totals(m: DataFrame) -> DataFrame:
+    """Sums of each sender's active messages."""
     a = active(m)
     when = lambda c: F.sum(c.cast("int"))
-    per = a.where("sender_id is not null").groupBy("archive_id", "sender_id").agg(
+    return a.where("sender_id is not null").groupBy("archive_id", "sender_id").agg(
         F.count("*").alias("n"), F.sum("word_count").alias("words"), F.sum("char_count").alias("chars"), F.sum("emoji_count").alias("emoji"), when(F.col("has_url")).alias("links"),
         when(weekend(F.col("weekday"))).alias("weekends"), when(late_night(F.col("hour_of_day"))).alias("late"), F.max("char_count").alias("longest"), when(F.col("is_multiline")).alias("multiline"), F.avg("reply_gap_minutes").alias("gap"),
     )
-    per = per.join(session_openers(m).withColumnRenamed("n", "opened"), ["archive_id", "sender_id"], "left")
+
+
+def participant_overview(m: DataFrame) -> DataFrame:
+    return overview_of(sender_totals(m), session_openers(m))
+
+
+def overview_of(totals: DataFrame, openers: DataFrame) -> DataFrame:
+    """Shares and means of the senders, from their sums and the sessions they open."""
+    per = totals.join(openers.withColumnRenamed("n", "opened"), ["archive_id", "sender_id"], "left")
     whole = Window.partitionBy("archive_id")
     total = lambda c: F.sum(c).over(whole)
     c = F.col
@@ -79,18 +88,26 @@ def reply_gaps(m: DataFrame) -> DataFrame:
 
 
 def monthly_split(m: DataFrame) -> DataFrame:
-    """Months by senders, with zeros: the senders and months of one archive, so the grid is small."""
-    a = active(m)
-    months = a.groupBy("archive_id", "month_key").agg(F.count("*").alias("total_messages"), F.sum(late_night(F.col("hour_of_day")).cast("int")).alias("late_night_count"))
-    people = a.where("sender_id is not null").select("archive_id", "sender_id").distinct()
-    n = a.groupBy("archive_id", "month_key", "sender_id").agg(F.count("*").alias("n"))
+    """Months by senders, with zeros: the senders and months of one archive, so the grid is small. Messages are counted once."""
+    return split_of(active(m).groupBy("archive_id", "month_key", "sender_id").agg(F.count("*").alias("n"), F.sum(late_night(F.col("hour_of_day")).cast("int")).alias("late")))
+
+
+def split_of(counts: DataFrame) -> DataFrame:
+    """monthly_split from (archive_id, month_key, sender_id, n, late)."""
+    months = counts.groupBy("archive_id", "month_key").agg(F.sum("n").alias("total_messages"), F.sum("late").alias("late_night_count"))
+    people = counts.where("sender_id is not null").select("archive_id", "sender_id").distinct()
+    n = counts.drop("late")
     return months.join(people, "archive_id").join(n, ["archive_id", "month_key", "sender_id"], "left").select("archive_id", "month_key", "sender_id", "total_messages", "late_night_count", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def month_winners(m: DataFrame) -> DataFrame:
     """The sender ahead in each month; a tie has no winner and no margin."""
+    return winners_of(monthly_split(m))
+
+
+def winners_of(split: DataFrame) -> DataFrame:
     w = Window.partitionBy("archive_id", "month_key").orderBy(F.desc("n"), "sender_id")
-    ranked = monthly_split(m).withColumn("r", F.row_number().over(w)).withColumn("second", F.lead("n").over(w)).where("r = 1")
+    ranked = split.withColumn("r", F.row_number().over(w)).withColumn("second", F.lead("n").over(w)).where("r = 1")
     tied = F.coalesce(F.col("n") == F.col("second"), F.lit(False))
     return ranked.select("archive_id", "month_key", F.when(~tied, F.col("sender_id")).alias("winner"), F.col("n").alias("winner_count"), F.when(tied, 0).otherwise(F.col("n") - F.coalesce("second", F.lit(0))).alias("margin"), "total_messages")
 

@@ -28,6 +28,16 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/store-{uuid.uuid4().hex}"
 
 
+def written(rows: DataFrame) -> DataFrame:
+    """The rows, computed now and once, as a table in a new shared folder: what is read twice or more is not derived again, and a lost executor costs no more than its own tasks.
+
+    The folder stays, since the result reads it; spark.checkpoint.dir is cleared by its owner.
+    """
+    path = shared_folder(rows.sparkSession)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def manifest(spark: SparkSession, path: str) -> tuple[int, dict[int, str]]:
     """The newest version, and of each part the run that wrote it; (0, {}) where nothing is stored. At most PARTS rows are read."""
     try:

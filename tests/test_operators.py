@@ -348,3 +348,35 @@ def test_selections_of_many(spark):
             if len(taken) < limit and (len(taken) >= 4 or (r[3] is None or all(x[3] != r[3] for x in taken)) and all(x[5] != r[5] for x in taken)):
                 taken.append(r)
         assert [r["seq"] for r in C.diverse_highlights(h, limit).orderBy("place").collect()] == [r[2] for r in taken]
+
+
+def test_time_cube(messages, spark):
+    """Cells sum to the tables that messages give, with senders, times and gaps missing; and to nothing for no messages."""
+    from threadlake.operators import cube as Q
+    from threadlake.operators import records as X
+    from threadlake.operators import rollups as R
+    from threadlake.sources.messages import features
+
+    m = messages.withColumn("ts", F.when(F.col("seq") % 41 != 13, F.col("ts"))).withColumn("message_type", F.when(F.col("seq") % 23 == 5, "system").otherwise("text"))
+    a = A.annotate(features(m.withColumns({"sender_label": F.col("sender_id"), "is_multiline": F.col("seq") % 9 == 4}))).cache()
+    plain = lambda df: sorted(map(repr, (tuple(r[c] for c in sorted(df.columns)) for r in df.collect())))
+    for some in (a, a.limit(0)):
+        rows, cube = Q.time_cube(some)
+        assert sum(r["n"] for r in cube.collect()) == rows.count() == R.active(some).count()
+        split = R.split_of(Q.month_counts(cube))
+        pairs = [
+            (Q.session_openers(cube), R.session_openers(some)), (R.overview_of(Q.sender_totals(cube), Q.session_openers(cube)), R.participant_overview(some)), (split, R.monthly_split(some)), (Q.late_night_trend(cube), R.late_night_trend(some)),
+            (X.leaders_of(R.overview_of(Q.sender_totals(cube), Q.session_openers(cube)), Q.first_seen(cube)), X.participant_leaders(some)), (X.periods_of(cube), X.peak_periods(some)), (X.supporting(rows), X.supporting(some)),
+            (X.balanced_of(split, 5), X.most_balanced_month(some, 5)), (X.takeover_of(R.winners_of(split)), X.monthly_takeover(some)),
+        ]
+        for got, want in pairs:
+            assert plain(got) == plain(want)
+    assert plain(Q.month_counts(Q.time_cube(a.drop(*Q.SIGNALS))[1])) == plain(Q.month_counts(Q.time_cube(a)[1]))
+    a.unpersist()
+
+
+@pytest.mark.parametrize("name", ["detective_records", "story_spotlights", "milestones", "homepage"])
+def test_messages_are_read_once(spark, name):
+    """What these queries hand back reads tables written once; the messages and their source are not read or annotated again."""
+    files = entry.queries()[name](spark, "/root/testdata/sf0.001").inputFiles()
+    assert files and not [f for f in files if "/testdata/" in f]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadlake.functions.text import late_night, weekend
@@ -34,12 +34,16 @@ def time_cube(m: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows, written(cells)
 
 
+def messages_where(condition: Column) -> Column:
+    """The sum of messages in cells of which the condition holds; null where it is null of all."""
+    return F.sum(condition.cast("int") * F.col("n"))
+
+
 def sender_totals(cube: DataFrame) -> DataFrame:
     """As rollups.sender_totals."""
-    some = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
     sums = [F.sum(c).alias(c) for c in ("n", "words", "chars", "emoji", "links", "multiline")]
     return cube.where("sender_id is not null").groupBy("archive_id", "sender_id").agg(
-        *sums, some(weekend(F.col("weekday"))).alias("weekends"), some(late_night(F.col("hour_of_day"))).alias("late"), F.max("longest").alias("longest"), F.try_divide(F.sum("gap_sum").cast("double"), F.sum("gap_n").cast("double")).alias("gap"),
+        *sums, messages_where(weekend(F.col("weekday"))).alias("weekends"), messages_where(late_night(F.col("hour_of_day"))).alias("late"), F.max("longest").alias("longest"), F.try_divide(F.sum("gap_sum").cast("double"), F.sum("gap_n").cast("double")).alias("gap"),
     )
 
 
@@ -55,7 +59,7 @@ def first_seen(cube: DataFrame) -> DataFrame:
 
 def month_counts(cube: DataFrame) -> DataFrame:
     """(archive_id, month_key, sender_id, n, late), from which rollups.split_of makes the split."""
-    return cube.groupBy("archive_id", "month_key", "sender_id").agg(F.sum("n").alias("n"), F.sum(F.when(late_night(F.col("hour_of_day")), F.col("n")).otherwise(0)).alias("late"))
+    return cube.groupBy("archive_id", "month_key", "sender_id").agg(F.sum("n").alias("n"), messages_where(late_night(F.col("hour_of_day"))).alias("late"))
 
 
 def late_night_trend(cube: DataFrame) -> DataFrame:

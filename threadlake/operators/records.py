@@ -10,8 +10,9 @@ from threadlake.operators.cube import time_cube
 from threadlake.operators.narrative import phrase_motifs
 from threadlake.operators.ranking import top_k
 from threadlake.operators.rollups import active, count_by, emotion_timeline, late_night_trend, month_winners, monthly_split, overview_of, participant_overview, ratio, split_of, winners_of
-from threadlake.operators.sessions import chunk_windows, streak_of
+from threadlake.operators.sessions import chunk_windows, longest_streak, streak_of
 from threadlake.functions.text import format_compact, late_night, weekend
+from threadlake.sources.store import written
 
 KEYS = ("archive_id",)
 
@@ -194,14 +195,16 @@ def leaders_of(overview: DataFrame, seen: DataFrame) -> DataFrame:
     return top_k(o.select("archive_id", "sender_id", "seen", each), ["archive_id", "measure"], ["_o", "seen"], 1).select("archive_id", "measure", "sender_id", "value")
 
 
-def supporting(m: DataFrame, k: int = 3) -> DataFrame:
-    """(archive_id, kind, who, ids): the first k active messages of each participant, month and week, by what they support."""
+def supporting(m: DataFrame, k: int = 3, only: tuple[str, ...] | None = None) -> DataFrame:
+    """(archive_id, kind, who, ids): the first k active messages of each participant, month and week, by what they support; of some kinds where `only` names them."""
     late, kinds = late_night(F.col("hour_of_day")), []
     sent = F.col("sender_id").isNotNull()
     for kind, who, fits in (
         ("all", "sender_id", sent), ("emoji", "sender_id", sent & (F.col("emoji_count") > 0)), ("late", "sender_id", sent & late), ("link", "sender_id", sent & F.col("has_url")), ("multiline", "sender_id", sent & F.col("is_multiline")),
         ("weekend", "sender_id", sent & weekend(F.col("weekday"))), ("month", "month_key", F.lit(True)), ("week", "week_key", F.lit(True)), ("any", "month_key", F.lit(True)), ("night", "month_key", late),
     ):
+        if only and kind not in only:
+            continue
         whose = F.lit("*") if kind in ("any", "night") else F.col(who)
         kinds.append(F.when(fits, F.struct(F.lit(kind).alias("kind"), whose.alias("who"))))
     each = active(m).select("archive_id", "seq", F.inline(F.array_compact(F.array(*kinds))))
@@ -247,16 +250,18 @@ def detective_records(a: DataFrame, balanced_floor: int = 200, night_floor: int
 
 
 def story_spotlights(m: DataFrame) -> DataFrame:
-    """(archive_id, place, label, value, ids): messages, streak, top month and late share, with first supporting messages."""
-    rows, cube = time_cube(m)
-    months = C.month_counts(cube)
-    total = months.groupBy("archive_id").agg(F.sum("n").alias("n"), F.sum("late").alias("late"))
-    month = top_k(months.groupBy("archive_id", "month_key").agg(F.sum("n").alias("n")), KEYS, [F.desc("n"), "month_key"], 1).select("archive_id", "month_key", F.col("n").alias("top"))
-    one = total.join(streak_of(cube.select("archive_id", "day_key").distinct()), "archive_id").join(month, "archive_id")
+    """(archive_id, place, label, value, ids): messages, streak, top month and late share, with first supporting messages.
+
+    Messages are read once, into narrow rows from which all else is counted.
+    """
+    rows = written(active(m).select("archive_id", "seq", "message_type", "day_key", "month_key", "hour_of_day"))
+    total = rows.groupBy("archive_id").agg(F.count("*").alias("n"), F.sum(late_night(F.col("hour_of_day")).cast("int")).alias("late"))
+    month = top_k(count_by(rows, "month_key"), KEYS, [F.desc("n"), "month_key"], 1).select("archive_id", "month_key", F.col("n").alias("top"))
+    one = total.join(longest_streak(rows), "archive_id").join(month, "archive_id")
     share = F.regexp_replace(tenths(F.col("late") * 100.0 / F.greatest("n", F.lit(1))), r"\.0$", "")
     row = lambda i, label, value, kind, who: F.struct(F.lit(i).alias("place"), F.lit(label).alias("label"), value.alias("value"), F.lit(kind).alias("kind"), who.alias("who"))
     each = one.select("archive_id", F.inline(F.array(
         row(1, "Messages shared", format_compact(F.col("n")), "any", F.lit("*")), row(2, "Longest streak", F.concat(F.col("longest_streak").cast("string"), F.lit(" days")), "any", F.lit("*")),
         row(3, "Most active month", F.concat("month_key", F.lit(" ("), format_compact(F.col("top")), F.lit(")")), "month", F.col("month_key")), row(4, "Late-night share", F.concat(share, F.lit("%")), "night", F.lit("*")),
     )))
-    return each.join(supporting(rows), ["archive_id", "kind", "who"], "left").select("archive_id", "place", "label", "value", F.coalesce("ids", F.lit("")).alias("ids"))
+    return each.join(supporting(rows, only=("any", "month", "night")), ["archive_id", "kind", "who"], "left").select("archive_id", "place", "label", "value", F.coalesce("ids", F.lit("")).alias("ids"))

@@ -12,6 +12,7 @@ from threadlake.operators import rollups as R
 from threadlake.operators import sessions as S
 from threadlake.operators.annotate import annotate
 from threadlake.sources.messages import PHRASES, messages_view
+from threadlake.sources.store import written
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -93,11 +94,12 @@ seg AS (SELECT *, dense_rank() OVER (PARTITION BY archive_id ORDER BY run, part)
 
 
 def add(name: str, build, sql: str, level: int = 0) -> None:
-    """level: 0 needs messages, 1 annotations, 2 sessions and segments."""
+    """level: 0 needs messages, 1 annotations, 2 sessions and segments, 3 these and annotated messages, which are written once for both."""
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         m = messages_view(spark, sf_dir)
         a = annotate(m) if level else m
+        a = written(a) if level > 2 else a
         return build(a if level < 2 else (a, N.session_summaries(a)))
 
     QUERIES[name] = query
@@ -206,4 +208,4 @@ def _placed(x) -> DataFrame:
 rows("message_to_segment", _placed, "archive_id seq session_no segment_no", "SELECT a.archive_id, a.seq, a.session_no, segment_no FROM a LEFT JOIN seg ON a.archive_id = seg.archive_id AND a.session_no = seg.session_no", 2)
 rows("milestones", lambda x: N.milestones(_placed(x)), "archive_id rank segment_no seq milestone_type importance_score", """, pl AS (SELECT a.*, segment_no FROM a LEFT JOIN seg ON a.archive_id = seg.archive_id AND a.session_no = seg.session_no), b AS (SELECT *, row_number() OVER (PARTITION BY archive_id, segment_no ORDER BY importance_score DESC, seq) AS r FROM pl WHERE message_type = 'text' AND milestone_candidate);;
 SELECT * FROM (SELECT archive_id, segment_no, seq, importance_score, CASE WHEN repair_signal THEN 'repair' WHEN conflict_signal THEN 'conflict' WHEN support_signal THEN 'support' WHEN list_contains(archetype_tags, 'affection') THEN 'affection' WHEN list_contains(archetype_tags, 'future_imagining') THEN 'future' ELSE 'turning_point' END AS milestone_type,
-row_number() OVER (PARTITION BY archive_id ORDER BY importance_score DESC, seq) AS rank FROM b WHERE r = 1) WHERE rank <= 24""", 2)
+row_number() OVER (PARTITION BY archive_id ORDER BY importance_score DESC, seq) AS rank FROM b WHERE r = 1) WHERE rank <= 24""", 3)

@@ -12,6 +12,7 @@ from threadlake.operators import narrative as N
 from threadlake.operators import records as X
 from threadlake.plans import queries as Q
 from threadlake.plans.structure import _CHAPTERS
+from threadlake.sources.store import written
 
 Q._COUNTS |= {"place", "occurrence", "weight", "first_rank", "broadcast", "relational", "career_hits", "mojibake"}
 q = Q.quoted
@@ -104,20 +105,29 @@ def ranked_stones(name: str, careers: bool, source: str = "mq", keys: str = "arc
 {name} AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY quality DESC, first_rank) AS rank FROM (SELECT * EXCLUDE (rank), rank AS first_rank, coalesce(CAST(chapter_no AS VARCHAR), 'unassigned') AS c, lower(trim(display_title)) AS t FROM {source} WHERE (NOT low{" OR career" * careers}) AND quality > 10 AND {where}))"""
 
 
-def shown(name: str, build, columns: str, sql: str) -> None:
-    """A query over (placed messages, sessions, segments with chapters)."""
+def shown(name: str, build, columns: str, sql: str, level: int = 3) -> None:
+    """A query over (placed messages, sessions, segments with chapters).
+
+    Annotated messages, sessions' segments and chapters are written once, so that no part of a page derives them again.
+    """
 
     def make(x) -> DataFrame:
         a, s = x
-        seg = N.with_segments(s)
-        segments = N.with_chapters(N.segment_summary(seg))
+        keep = written if level > 2 else lambda df: df
+        seg = keep(N.with_segments(s))
+        segments = keep(N.with_chapters(N.segment_summary(seg)))
         where = seg.select("archive_id", "session_no", "segment_no").join(segments.select("archive_id", "segment_no", "chapter_no"), ["archive_id", "segment_no"])
         return build(a.join(where, ["archive_id", "session_no"], "left"), s, segments)
 
-    Q.rows(name, make, columns, PLACED + sql, 2)
+    Q.rows(name, make, columns, PLACED + sql, level)
     Q.ORACLES[name] = Q.ORACLES[name].replace("WITH", "WITH RECURSIVE", 1)
 
 
+def of_segments(name: str, build, columns: str, sql: str) -> None:
+    """The same for a query that reads sessions and segments only, once: nothing is written."""
+    shown(name, build, columns, sql, 2)
+
+
 Q.column("clean_display_text", lambda: D.clean_display_text(F.concat(F.lit('"\xe2€œ '), F.col("text"), F.lit(" \xe2€\xa2 x\t\xe2€™ \xc2\xb7\""))), clean("'\"\xe2€œ ' || text || ' \xe2€\xa2 x\t\xe2€™ \xc2\xb7\"'"))
 Q.add("build_excerpt", lambda m: m.select("archive_id", "seq", D.build_excerpt(F.col("text"), 38).alias("chip"), D.build_excerpt(F.col("text"), 160).alias("excerpt")), f", c AS (SELECT archive_id, seq, {clean('text')} AS c FROM m) SELECT archive_id, seq, {cut('c', 38)} AS chip, {cut('c', 160)} AS excerpt FROM c")
 Q.rows("pattern_hits", lambda m: m.select("archive_id", "seq", *(D.pattern_hits(D.clean_display_text(F.col("text")), p).alias(n) for n, p in (("broadcast", D.BROADCAST), ("relational", D.RELATIONAL), ("career_hits", D.CAREER), ("mojibake", D.MOJIBAKE)))), "archive_id seq broadcast relational career_hits mojibake",
@@ -164,11 +174,11 @@ cd AS (SELECT *, printf('chapter-%02d-', chapter_no) || substr(regexp_replace(re
 ce AS (SELECT *, CASE WHEN occurrence > 1 THEN title || ': ' || [{", ".join(map(q, C.SUFFIXES))}][least(occurrence - 1, {len(C.SUFFIXES)})] ELSE title END AS display_title FROM cd)"""
 _WORDS = lambda label, table: f"CASE {label} " + " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in table.items()) + f" ELSE replace({label}, '_', ' ') END"
 _chapters = lambda p, s, g: C.decorate_titles(N.chapter_summary(g), "chapter_no")
-shown("chapter_texts", lambda p, s, g: _joined(_chapters(p, s, g)), "archive_id chapter_no chapter_id dominant_emotion topics archetypes title slug summary", CHAPTER_TEXT + ";;SELECT * REPLACE (array_to_string(topics, ',') AS topics, array_to_string(archetypes, ',') AS archetypes) FROM ce")
-shown("decorate_repeated_titles", _chapters, "archive_id chapter_no display_title occurrence", CHAPTER_TEXT + ";;SELECT * FROM ce")
-shown("chapter_tones", lambda p, s, g: _chapters(p, s, g).withColumn("archetype", F.coalesce(F.get("archetypes", 0), F.lit("everyday_life"))), "archive_id chapter_no title dominant_emotion archetype", CHAPTER_TEXT + ";;SELECT *, archetypes[1] AS archetype FROM ce")
+of_segments("chapter_texts", lambda p, s, g: _joined(_chapters(p, s, g)), "archive_id chapter_no chapter_id dominant_emotion topics archetypes title slug summary", CHAPTER_TEXT + ";;SELECT * REPLACE (array_to_string(topics, ',') AS topics, array_to_string(archetypes, ',') AS archetypes) FROM ce")
+of_segments("decorate_repeated_titles", _chapters, "archive_id chapter_no display_title occurrence", CHAPTER_TEXT + ";;SELECT * FROM ce")
+of_segments("chapter_tones", lambda p, s, g: _chapters(p, s, g).withColumn("archetype", F.coalesce(F.get("archetypes", 0), F.lit("everyday_life"))), "archive_id chapter_no title dominant_emotion archetype", CHAPTER_TEXT + ";;SELECT *, archetypes[1] AS archetype FROM ce")
 _LINE = f"CASE WHEN len(archetypes) = 1 THEN 'A ' || {_WORDS('dominant_emotion', C.EMOTION_WORDS)} || ' stretch carried by ' || {_WORDS('archetypes[1]', C.ARCHETYPE_WORDS)} || '.' ELSE 'A ' || {_WORDS('dominant_emotion', C.EMOTION_WORDS)} || ' stretch full of ' || {_WORDS('archetypes[1]', C.ARCHETYPE_WORDS)} || ' and ' || {_WORDS('archetypes[2]', C.ARCHETYPE_WORDS)} || '.' END"
-shown("summarize_chapter", lambda p, s, g: C.summarize_chapters(_chapters(p, s, g)), "archive_id chapter_no line", CHAPTER_TEXT + f";;SELECT archive_id, chapter_no, CASE {' '.join(f'WHEN contains(lower(display_title), {q(a)}) THEN CASE WHEN occurrence > 1 THEN {q(c)} ELSE {q(b)} END' for a, b, c in C.CHAPTER_LINES)} ELSE {_LINE} END AS line FROM ce")
+of_segments("summarize_chapter", lambda p, s, g: C.summarize_chapters(_chapters(p, s, g)), "archive_id chapter_no line", CHAPTER_TEXT + f";;SELECT archive_id, chapter_no, CASE {' '.join(f'WHEN contains(lower(display_title), {q(a)}) THEN CASE WHEN occurrence > 1 THEN {q(c)} ELSE {q(b)} END' for a, b, c in C.CHAPTER_LINES)} ELSE {_LINE} END AS line FROM ce")
 shown("homepage", lambda p, s, g: C.homepage(C.diverse_highlights(N.highlights(p)), N.milestones(p), N.chapter_summary(g)), "archive_id kind place item title", CHAPTER_TEXT + HIGH + STONES + """,
 dv AS (SELECT *, row_number() OVER (PARTITION BY archive_id ORDER BY score DESC, first_rank) AS rank FROM (SELECT * EXCLUDE (rank), rank AS first_rank, CAST(chapter_no AS VARCHAR) AS c, emotion_label AS e, importance_score + CASE WHEN emotion_label IN ('romantic', 'funny', 'supportive') THEN 0.3e0 ELSE 0e0 END AS score FROM hl WHERE importance_score > 0.65 AND length(text) BETWEEN 10 AND 250))"""
       + fold("dk", "dv", 6, {"c": 1, "e": 1}, free="len(kept) >= 4") + """;;SELECT archive_id, 'highlight' AS kind, place, printf('msg_%07d', seq + 1) AS item, text AS title FROM dk JOIN dv USING (archive_id, rank)

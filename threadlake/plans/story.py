@@ -130,7 +130,7 @@ def of_segments(name: str, build, columns: str, sql: str) -> None:
 
 Q.column("clean_display_text", lambda: D.clean_display_text(F.concat(F.lit('"\xe2€œ '), F.col("text"), F.lit(" \xe2€\xa2 x\t\xe2€™ \xc2\xb7\""))), clean("'\"\xe2€œ ' || text || ' \xe2€\xa2 x\t\xe2€™ \xc2\xb7\"'"))
 Q.add("build_excerpt", lambda m: m.select("archive_id", "seq", D.build_excerpt(F.col("text"), 38).alias("chip"), D.build_excerpt(F.col("text"), 160).alias("excerpt")), f", c AS (SELECT archive_id, seq, {clean('text')} AS c FROM m) SELECT archive_id, seq, {cut('c', 38)} AS chip, {cut('c', 160)} AS excerpt FROM c")
-Q.rows("pattern_hits", lambda m: m.select("archive_id", "seq", *(D.pattern_hits(D.clean_display_text(F.col("text")), p).alias(n) for n, p in (("broadcast", D.BROADCAST), ("relational", D.RELATIONAL), ("career_hits", D.CAREER), ("mojibake", D.MOJIBAKE)))), "archive_id seq broadcast relational career_hits mojibake",
+Q.rows("pattern_hits", lambda m: m.withColumn("c", D.clean_display_text(F.col("text"))).select("archive_id", "seq", *(D.pattern_hits(F.col("c"), p).alias(n) for n, p in (("broadcast", D.BROADCAST), ("relational", D.RELATIONAL), ("career_hits", D.CAREER), ("mojibake", D.MOJIBAKE)))), "archive_id seq broadcast relational career_hits mojibake",
        f", c AS (SELECT archive_id, seq, {clean('text')} AS c FROM m);;SELECT archive_id, seq, {hits('c', D.BROADCAST)} AS broadcast, {hits('c', D.RELATIONAL)} AS relational, {hits('c', D.CAREER)} AS career_hits, {hits('c', D.MOJIBAKE)} AS mojibake FROM c")
 Q.rows("is_low_value_text", lambda m: m.select("archive_id", "seq", D.is_low_value_text(F.col("text")).alias("low")), "archive_id seq low", judged("m", "j") + ";;SELECT * FROM j")
 shown("highlight_quality", lambda p, s, g: C.rated_highlights(N.highlights(p)).withColumnRenamed("low_value", "low"), "archive_id rank seq segment_no chapter_no display_quote low quality", HIGH + RATED_HIGH + ";;SELECT * EXCLUDE (clean), clean AS display_quote FROM hq")

@@ -62,7 +62,11 @@ def _orphans_sql(table: str, keys: list[str], other: str, names: list[str] | Non
 
 
 def _add(name: str, parts: list, sql: list[str]) -> None:
-    Q.QUERIES[name] = lambda spark, sf_dir: reduce(DataFrame.unionByName, (p(spark, sf_dir) for p in parts))
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        with Q.shared(spark, sf_dir):
+            return reduce(DataFrame.unionByName, [p(spark, sf_dir) for p in parts])
+
+    Q.QUERIES[name] = query
     Q.ORACLES[name] = " UNION ALL ".join(sql)
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+from contextvars import ContextVar
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +13,7 @@ from threadlake.functions import text as T
 from threadlake.operators import narrative as N
 from threadlake.operators import rollups as R
 from threadlake.operators import sessions as S
-from threadlake.operators.annotate import annotate
+from threadlake.operators.annotate import ANNOTATIONS
 from threadlake.sources.messages import PHRASES, messages_view
 from threadlake.sources.store import written
 
@@ -93,13 +96,33 @@ cut AS (SELECT *, (row_number() OVER (PARTITION BY archive_id, run ORDER BY sess
 seg AS (SELECT *, dense_rank() OVER (PARTITION BY archive_id ORDER BY run, part) AS segment_no FROM cut)"""
 
 
+#: What queries that are made within shared() read: annotated messages, written once.
+_SHARED: ContextVar[DataFrame | None] = ContextVar("shared", default=None)
+
+
+@contextmanager
+def shared(spark: SparkSession, sf_dir: str):
+    """Queries made within read one table of annotated messages, which is written now."""
+    token = _SHARED.set(written(messages_view(spark, sf_dir, annotated=True)))
+    try:
+        yield
+    finally:
+        _SHARED.reset(token)
+
+
+def messages(spark: SparkSession, sf_dir: str, annotated: bool) -> DataFrame:
+    m = _SHARED.get()
+    if m is None:
+        return messages_view(spark, sf_dir, annotated)
+    return m if annotated else m.drop(*ANNOTATIONS)
+
+
 def add(name: str, build, sql: str, level: int = 0) -> None:
     """level: 0 needs messages, 1 annotations, 2 sessions and segments, 3 these and annotated messages, which are written once for both."""
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        m = messages_view(spark, sf_dir)
-        a = annotate(m) if level else m
-        a = written(a) if level > 2 else a
+        a = messages(spark, sf_dir, level > 0)
+        a = written(a) if level > 2 and not _SHARED.get() else a
         return build(a if level < 2 else (a, N.session_summaries(a)))
 
     QUERIES[name] = query

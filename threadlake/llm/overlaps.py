@@ -182,30 +182,34 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     prints = materialize(docs.select(key, text).mapInArrow(prints_of, kind))
     nodes = prints.select("node", "n", "end", "prefix").dropDuplicates(["node"])
     same = Window.partitionBy("key")
-    keyed = nodes.select("node", "n", "end", F.explode("prefix").alias("key"))
-    twice = keyed.select("key", "node", "n", "end", F.count("*").over(same).alias("m")).where("m > 1")
+    keyed = nodes.select("node", "n", "end", F.posexplode("prefix").alias("at", "key"))
+    twice = keyed.select("key", "node", "n", "end", "at", F.count("*").over(same).alias("m")).where("m > 1")
     most = _beyond(F.col("n"), least) + F.count("*").over(Window.partitionBy("node"))
-    members = materialize(twice.select("key", "m", "node", "n", "end", most.alias("most")))
+    # the key before in a set's prefix: two sets that have one key before met there
+    before = F.lag("key").over(Window.partitionBy("node").orderBy("at"))
+    members = materialize(twice.select("key", "m", "node", "n", "end", most.alias("most"), before.alias("before")))
     links = _star_links(members, docs, text, words, least)
     if links is None:
-        placed = members.select("key", *SET, F.col("node").alias("c"))
+        placed = members.select("key", "before", *SET, F.col("node").alias("c"))
     else:
         found = materialize(connected_components(links))
-        placed = members.join(found, "node", "left").select("key", *SET, F.coalesce("component", "node").alias("c"))
+        placed = members.join(found, "node", "left").select("key", "before", *SET, F.coalesce("component", "node").alias("c"))
     placed = materialize(placed.withColumn("mixed", F.min("c").over(same) != F.max("c").over(same)).where("mixed").drop("mixed"))
-    one, two = (placed.select("key", F.struct(*SET, "c").alias(name)) for name in "xy")
+    one, two = (placed.select("key", F.struct(*SET, "c", "before").alias(name)) for name in "xy")
     x, y = F.col("x"), F.col("y")
-    met = one.join(two, "key").where((x["c"] < y["c"]) & _possible(x, y, least))
+    first = x["before"].isNull() | y["before"].isNull() | (x["before"] != y["before"])
+    met = one.join(two, "key").where(first & (x["c"] < y["c"]) & _possible(x, y, least))
     beyond = _of_first(x, y, lambda s: _beyond(s["n"], least))
-    shared = met.select(x["node"].alias("a"), y["node"].alias("b"), (_needed(x, y, least) - beyond).alias("few")).groupBy("a", "b", "few").agg(F.count("*").alias("k"))
+    few = materialize(met.select(x["node"].alias("a"), y["node"].alias("b"), (_needed(x, y, least) - beyond).alias("few")).distinct())
     # shared shingles lie in both prefixes, or beyond the prefix that ends first
-    may = F.col("k") >= F.col("few")
-    pairs = materialize(shared.where(may).select("a", "b"))
+    ahead = [nodes.select(F.col("node").alias(c), F.col("prefix").alias(f"prefix_{c}")) for c in "ab"]
+    may = F.size(F.array_intersect("prefix_a", "prefix_b")) >= F.col("few")
+    pairs = materialize(few.join(ahead[0], "a").join(ahead[1], "b").where(may).select("a", "b"))
     nodes = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     sets = materialize(_sets(docs, text, words, nodes))
     more = _verified(pairs, sets, least)
     links = more if links is None else links.unionByName(more)
-    for done in (members, placed, pairs, nodes, sets):
+    for done in (members, placed, few, pairs, nodes, sets):
         discard(done)
     linked = connected_components(links)
     first = materialize(prints.groupBy("node").agg(F.min("doc_id").alias("first")))

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadlake.llm import decontamination, overlaps, secrets, sentencepieces, toxicity
+from threadlake.llm import decontamination, overlaps, secrets, sentencepieces, simhash, toxicity
 from threadlake.llm.common import materialize, table
 from threadlake.llm.tokens import vocabulary_path
 
@@ -23,11 +23,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id stays of each group linked by a 5-word Jaccard similarity of 0.8 or more.
+    """The document of smallest id stays of each group linked by op10's SimHashes (two bits or fewer, found over its pivots) or by a 5-word Jaccard similarity of 0.8 or more.
 
     Null, empty and wordless texts are one group. Of rows that share the smallest id one stays; rows without an id stay.
     """
-    return overlaps.drop_near_copies(docs)
+    return overlaps.drop_near_copies(docs, bits=simhash.BITS)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

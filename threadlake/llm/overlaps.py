@@ -16,7 +16,7 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, Str
 
 from threadlake.llm.common import discard, held, materialize, small_batches
 from threadlake.llm.components import connected_components
-from threadlake.llm.simhash import _LOW, keep_least
+from threadlake.llm.simhash import _LOW, keep_least, near_pairs, simhash
 
 WORDS, LEAST = 5, 0.8
 #: Shingles found this often in a sample of the documents (one of SHARE) come last in the order, COMMON at most.
@@ -153,9 +153,20 @@ def _possible(a: Column, b: Column, least: float) -> Column:
     return sizes & (_of_first(a, b, lambda s: s["most"]) >= _needed(a, b, least))
 
 
-def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, least: float = LEAST) -> DataFrame:
+def _print_links(prints: DataFrame, bits: int) -> DataFrame:
+    """Links (a, b) between sets whose texts' SimHashes are linked: each set with the least one of its fingerprints' component."""
+    pairs = near_pairs(prints.select("fp").distinct(), bits)
+    found = materialize(connected_components(pairs).select(F.col("node").alias("fp"), "component"))
+    placed = materialize(prints.select("fp", "node").distinct().join(found, "fp", "left").select("node", F.coalesce("component", "fp").alias("root")))
+    first = placed.groupBy("root").agg(F.min("node").alias("a"))
+    return materialize(placed.join(first, "root").where("a <> node").select("a", F.col("node").alias("b")).distinct())
+
+
+def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, least: float = LEAST, bits: int | None = None) -> DataFrame:
     """(doc_id, component_id) of every row: the smallest doc_id reachable over links of `least` or more.
 
+    With bits, SimHashes that differ in so many bits or fewer are links too, found by simhash.near_pairs.
+
     Null, empty and wordless texts are alike. Rows with a null doc_id get the component's smallest id that
     isn't null; repeated rows are in one component; no rows give none. Texts of any length are taken
     whole: a set grows with its text, and no more than a slice of a batch is cut into shingles at once.
@@ -166,7 +177,7 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
         held(("overlaps",), list)
         last = common.value
         for batch in small_batches(batches, BATCH_BYTES):
-            nodes, counts, ends, prefixes = [], [], [], []
+            nodes, counts, ends, prefixes, prints = [], [], [], [], []
             for t in batch.column(1).to_pylist():
                 s = shingles(t, words)
                 late = np.isin(s, last, assume_unique=True)
@@ -175,10 +186,11 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
                 counts.append(n)
                 prefix = np.concatenate((s[~late], s[late]))[: n - int(np.ceil(n * least - 1e-9)) + 1 if n else 0]
                 prefixes.append(prefix)
+                prints.append(None if bits is None else simhash(t))
                 ends.append(int(len(prefix) > n - late.sum()) << 62 | int(prefix[-1]) >> 2 if n else 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(counts, pa.int32()), pa.array(ends, pa.int64()), _longs(prefixes)], ["doc_id", "node", "n", "end", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(counts, pa.int32()), pa.array(ends, pa.int64()), _longs(prefixes), pa.array([p if p is None or p < 1 << 63 else p - (1 << 64) for p in prints], pa.int64())], ["doc_id", "node", "n", "end", "prefix", "fp"])
 
-    kind = StructType([StructField("doc_id", docs.schema[key].dataType), StructField("node", LongType()), StructField("n", IntegerType()), StructField("end", LongType()), StructField("prefix", ArrayType(LongType()))])
+    kind = StructType([StructField("doc_id", docs.schema[key].dataType), StructField("node", LongType()), StructField("n", IntegerType()), StructField("end", LongType()), StructField("prefix", ArrayType(LongType())), StructField("fp", LongType())])
     prints = materialize(docs.select(key, text).mapInArrow(prints_of, kind))
     nodes = prints.select("node", "n", "end", "prefix").dropDuplicates(["node"])
     same = Window.partitionBy("key")
@@ -209,6 +221,8 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     sets = materialize(_sets(docs, text, words, nodes))
     more = _verified(pairs, sets, least)
     links = more if links is None else links.unionByName(more)
+    if bits is not None:
+        links = links.unionByName(_print_links(prints, bits))
     for done in (members, placed, few, pairs, nodes, sets):
         discard(done)
     linked = connected_components(links)
@@ -219,6 +233,6 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     return prints.select("doc_id", "node").join(named, "node").select("doc_id", "component_id")
 
 
-def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, least: float = LEAST) -> DataFrame:
+def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, least: float = LEAST, bits: int | None = None) -> DataFrame:
     """As simhash.drop_near_duplicates, over the components of near_copies."""
-    return keep_least(docs, near_copies(docs, key, text, words, least), key, text)
+    return keep_least(docs, near_copies(docs, key, text, words, least, bits), key, text)

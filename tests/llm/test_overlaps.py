@@ -58,3 +58,29 @@ def test_near_copies_odd(spark):
     docs = spark.createDataFrame(data, "doc_id long, text string")
     assert sorted((r["doc_id"] or 0) for r in overlaps.drop_near_copies(docs).collect()) == [0, 0, 1, 5, 7]
     assert overlaps.drop_near_copies(docs.limit(0)).count() == 0
+
+
+def test_crowded_copies(spark, monkeypatch):
+    """400 edits of one text, half of them too far from it: pairs compared grow with the texts, and no link is lost."""
+    compared, real = [], overlaps._verified
+
+    def verified(pairs, sets, least):
+        compared.append(pairs.count())
+        return real(pairs, sets, least)
+
+    monkeypatch.setattr(overlaps, "_verified", verified)
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(150)]
+    rows = {1: " ".join(base)}
+    for d in range(2, 402):
+        new = list(base)
+        for i in rng.sample(range(150), 1 + d % 6):
+            new[i] = f"x{rng.randrange(10**6)}"
+        rows[d] = " ".join(new)
+    for d in range(402, 432):  # another's edits and one more: links between texts that are far from the base
+        new = rows[d - 397].split()
+        new[rng.randrange(150)] = f"y{d}"
+        rows[d] = " ".join(new)
+    docs = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in overlaps.drop_near_copies(docs).collect()) == brute_kept(rows)
+    assert sum(compared) < 10 * len(rows)

@@ -23,6 +23,7 @@ WORDS, LEAST = 5, 0.8
 SHARE, OFTEN, COMMON = 16, 4, 1 << 16
 #: The members of a larger key are first compared with its hubs, and pairs that this connects are left out: in the first
 #: round with the member of most such keys (the least edited copy), then each time with the first such one not connected to it.
+#: Those still apart are joined by how they differ from the first hub, not by what they share.
 CROWD, ROUNDS = 64, 3
 #: Bits of the map that spares most texts without a candidate the shuffle; 16 MB. An exact join follows it.
 MAP_BITS = 27
@@ -101,8 +102,54 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return materialize(pairs.join(one, "a").join(two, "b").where(enough).select("a", "b"))
 
 
+def _apart(rows: DataFrame) -> DataFrame:
+    """Of rows (hub, node, c, n, t, s), with `df`, `most` and `need`: what of a node's shingles another node of its hub has, where that may be enough.
+
+    need is how many of them it must share with any node of another component at least. The rows given are deleted.
+    """
+    shared = rows.drop("df", "most", "need").withColumn("df", F.count("*").over(Window.partitionBy("hub", "s"))).where("df > 1")
+    shared = materialize(shared.withColumn("most", F.count("*").over(Window.partitionBy("hub", "node"))))
+    least_t = shared.groupBy("hub", "c").agg(F.min("t").alias("t"))
+    one = least_t.groupBy("hub").agg(F.min(F.struct("t", "c")).alias("one"))
+    two = least_t.join(one, "hub").groupBy("hub", "one").agg(F.min(F.when(F.col("c") != F.col("one.c"), F.col("t"))).alias("two"))
+    other = F.when(F.col("c") == F.col("one.c"), F.col("two")).otherwise(F.col("one.t"))
+    need = F.greatest(F.lit(1), F.ceil((F.col("t") + other) / 2 - 1e-9))
+    out = materialize(shared.join(two, "hub").withColumn("need", need).where("most >= need").drop("one", "two"))
+    for done in (rows, shared):
+        discard(done)
+    return out
+
+
+def _apart_links(groups: DataFrame, links: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Links between nodes of one hub that are not in one component, by what tells them from the hub.
+
+    Let D be the shingles that a set has and the hub has not, or the other way round, and t its size less the set's
+    by (1 - least) / (1 + least). Sets x and y are similar enough just where they share (t(x) + t(y)) / 2 of their D or more.
+    So what all copies of one text have in common is no key, and an edit that no other copy has finds nothing. One of
+    two nodes in different components is not linked to the hub, so its t is large and (t(x) + t(y)) / 2 above 0.
+    """
+    found = materialize(connected_components(links))
+    placed = groups.join(found, "node", "left").select("hub", "node", F.coalesce("component", "node").alias("c"))
+    own, hubs = sets.select("node", "set"), sets.select(F.col("node").alias("hub"), F.col("set").alias("_hub"))
+    apart = F.concat(F.array_except("set", "_hub"), F.array_except("_hub", "set"))
+    rows = placed.join(own, "node").join(hubs, "hub").select("hub", "node", "c", F.size("set").alias("n"), apart.alias("d"))
+    rows = materialize(rows.select("hub", "node", "c", "n", (F.size("d") - F.col("n") * ((1 - least) / (1 + least))).alias("t"), F.explode("d").alias("s")))
+    some = _apart(_apart(rows))  # again, without the nodes that went
+    at = F.row_number().over(Window.partitionBy("hub", "node").orderBy("df", "s"))
+    keyed = materialize(some.withColumn("at", at).where(F.col("at") <= F.col("most") - F.col("need") + 1))
+    one, two = (keyed.select("hub", "s", F.struct("node", "c", "n", "t", "most", "at").alias(name)) for name in "xy")
+    x, y = F.col("x"), F.col("y")
+    need = F.ceil((x["t"] + y["t"]) / 2 - 1e-9)
+    near = (F.least(x["n"], y["n"]) >= F.greatest(x["n"], y["n"]) * least - 1e-9) & (x["most"] - x["at"] + 1 >= need) & (y["most"] - y["at"] + 1 >= need)
+    pairs = materialize(one.join(two, ["hub", "s"]).where((x["c"] < y["c"]) & near).select(x["node"].alias("a"), y["node"].alias("b")).distinct())
+    out = _verified(pairs, sets, least)
+    for done in (found, some, keyed, pairs):
+        discard(done)
+    return out
+
+
 def _star_links(members: DataFrame, docs: DataFrame, text: str, words: int, least: float) -> DataFrame | None:
-    """Links between the members of crowded keys and their hubs, over ROUNDS rounds; None without such keys."""
+    """All links between members of crowded keys that join components: with their hubs, over ROUNDS rounds, then those left; None without such keys."""
     crowd = materialize(members.where(F.col("m") > CROWD).select("key", *SET, F.count("*").over(Window.partitionBy("node")).alias("deg")))
     nodes = materialize(crowd.select("node").distinct())
     if crowd.isEmpty():
@@ -116,14 +163,17 @@ def _star_links(members: DataFrame, docs: DataFrame, text: str, words: int, leas
             placed = crowd.join(found, "node", "left").withColumn("c", F.coalesce("component", "node"))
         seat = F.struct("deg", *SET, "c")
         placed = placed.withColumn("hub", F.max(seat).over(same))
-        if turn:
+        if not turn:
+            groups = materialize(placed.select(F.col("hub.node").alias("hub"), "node").distinct())
+        else:
             placed = placed.withColumn("hub", F.max(F.when(F.col("c") != F.col("hub.c"), seat)).over(same))
         pairs = placed.where((F.col("c") != F.col("hub.c")) & _possible(F.struct(*SET), F.col("hub"), least)).select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct()
         new = _verified(materialize(pairs), sets, least)
         links = new if links is None else links.unionByName(new)
         if found is not None:
             discard(found)
-    for done in (crowd, nodes, sets):
+    links = links.unionByName(_apart_links(groups, links, sets, least))
+    for done in (crowd, nodes, groups, sets):
         discard(done)
     return links
 
@@ -201,11 +251,12 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     before = F.lag("key").over(Window.partitionBy("node").orderBy("at"))
     members = materialize(twice.select("key", "m", "node", "n", "end", most.alias("most"), before.alias("before")))
     links = _star_links(members, docs, text, words, least)
+    thin = members.where(F.col("m") <= CROWD)  # what meets at the others is linked already
     if links is None:
-        placed = members.select("key", "before", *SET, F.col("node").alias("c"))
+        placed = thin.select("key", "before", *SET, F.col("node").alias("c"))
     else:
         found = materialize(connected_components(links))
-        placed = members.join(found, "node", "left").select("key", "before", *SET, F.coalesce("component", "node").alias("c"))
+        placed = thin.join(found, "node", "left").select("key", "before", *SET, F.coalesce("component", "node").alias("c"))
     placed = materialize(placed.withColumn("mixed", F.min("c").over(same) != F.max("c").over(same)).where("mixed").drop("mixed"))
     one, two = (placed.select("key", F.struct(*SET, "c", "before").alias(name)) for name in "xy")
     x, y = F.col("x"), F.col("y")

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import uuid
 import zlib
 from collections import Counter, defaultdict
 
@@ -11,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from threadlake.llm import ngrams, prefix_trie, ranked
+from threadlake.llm import common, ngrams, prefix_trie, ranked
 
 
 def brute_trie(rows):
@@ -177,3 +178,32 @@ def test_monotone_codes(top):
     v = np.sort(np.random.default_rng(top % 97).integers(0, top, 3000)).astype(np.uint64)
     for x in (v, v[:1], v[:0], np.zeros(5, np.uint64)):
         assert (ngrams.decode_monotone(*ngrams.encode_monotone(x)) == x).all()
+
+
+def test_language_model_leaves_no_files(spark, tmp_path, monkeypatch):
+    """Questions and answers go level by level, over many tasks; the scores alone stay."""
+    asked, real = [], ngrams.materialize
+
+    def materialize(df):
+        out = real(df)
+        if df.columns == ["shard", "block", "file", "start", "size"]:
+            asked.append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(ngrams, "materialize", materialize)
+    for module in (common, ngrams):
+        monkeypatch.setattr(module, "shared_dir", lambda spark: f"file://{tmp_path}/threadlake-{uuid.uuid4().hex}")
+    df = spark.createDataFrame([(i, " ".join(f"w{(i * 7 + j) % 50}" for j in range(40))) for i in range(200)], "doc_id long, text string").repartition(8)
+    model, scores = ngrams.learn_and_score(df, F.col("doc_id") % 10 != 0, 3, 200, 500)
+    assert scores.count() == 200
+    ngrams.delete_model(df, model)
+    assert len(asked) == 3 and min(asked) > 1
+    assert [p.name for p in tmp_path.iterdir()] == [scores.inputFiles()[0].split("/")[-2]]
+
+
+def test_packed_arrays():
+    x = {"a": np.array([], np.uint8), "b": np.array([1, 300, 70000], np.uint32), "c": np.array([-5, 2**40], np.int64), "d": np.array([True, False])}
+    got = ngrams.unpack(ngrams.pack(**x))
+    assert {k: (v.dtype, v.tolist()) for k, v in got.items()} == {k: (v.dtype, v.tolist()) for k, v in x.items()}
+    node = np.array([4, 9, -1, 7, 0, -1, 8])
+    assert ngrams.unstepped(ngrams.narrow(ngrams.steps(node, node >= 0))).tolist() == node.tolist()

@@ -2,12 +2,14 @@
 
 import random
 import re
+import time
 from itertools import combinations
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from threadlake.llm import overlaps
+from threadlake.llm import common, overlaps
 
 SF = "/root/testdata/sf0.001"
 
@@ -84,3 +86,57 @@ def test_crowded_copies(spark, monkeypatch):
     docs = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
     assert sorted(r["doc_id"] for r in overlaps.drop_near_copies(docs).collect()) == brute_kept(rows)
     assert sum(compared) < 10 * len(rows)
+
+
+def test_common_runs(spark, monkeypatch):
+    """300 unrelated texts with a run of common words each, and an edit of some: texts of any length aren't told from unrelated hubs, and no link is lost."""
+    told, real = [], overlaps._apart
+
+    def apart(rows):
+        told.append(rows.count())
+        return real(rows)
+
+    monkeypatch.setattr(overlaps, "_apart", apart)
+    monkeypatch.setattr(overlaps, "CROWD", 16)
+    monkeypatch.setattr(overlaps, "COMMON", 0)  # as where more runs are common than are put last
+    rng = random.Random(7)
+    runs = [" ".join(f"and{r}of{i}" for i in range(9)) for r in range(10)]
+    rows = {}
+    for d in range(0, 600, 2):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(40, 200))]
+        at = rng.randrange(len(w))
+        rows[d] = " ".join([*w[:at], runs[d % 20 // 2], *w[at:]])
+        if d % 14 == 0:
+            rows[d + 1] = rows[d].replace(w[0], "x", 1)
+    docs = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    kept = sorted(r["doc_id"] for r in overlaps.drop_near_copies(docs).collect())
+    assert kept == brute_kept(rows) and len(kept) < len(rows)
+    assert sum(told) < 10 * len(rows)
+
+
+@pytest.mark.parametrize("crowd", [1, 4])
+def test_crowded_alone(spark, monkeypatch, crowd):
+    """Texts of few phrases, so that most keys are crowded: pairs that share no other key are found."""
+    monkeypatch.setattr(overlaps, "CROWD", crowd)
+    rng = random.Random(crowd)
+    phrases = [" ".join(f"p{k}q{i}" for i in range(4 + k)) for k in range(14)]
+    rows = {}
+    for d in range(160):
+        rows[d] = " ".join([rng.choice(phrases[:6]), *rng.sample(phrases, rng.randrange(2, 6)), *(f"y{rng.randrange(10**6)}" for _ in range(rng.randrange(3)))])
+        if d % 4 == 3:
+            rows[d] = rows[rng.randrange(d)] + f" z{rng.randrange(3)}" * rng.randrange(1, 4)
+    docs = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in overlaps.drop_near_copies(docs).collect()) == brute_kept(rows)
+
+
+def test_shuffles_go(spark):
+    """The shuffle files of a table that was written are deleted, and the session's setting is as it was."""
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: set(re.findall(r"shuffle_\d+", blocks.getAllFiles().mkString(" ")))
+    before, setting = shuffles(), spark.conf.get(common.SHUFFLE_CLEANUP)
+    got = common.materialize(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).agg(F.count("*").alias("n")))
+    end = time.time() + 20
+    while shuffles() - before and time.time() < end:
+        time.sleep(0.2)
+    assert not shuffles() - before
+    assert got.count() == 7 and spark.conf.get(common.SHUFFLE_CLEANUP) == setting

@@ -23,8 +23,10 @@ WORDS, LEAST = 5, 0.8
 SHARE, OFTEN, COMMON = 16, 4, 1 << 16
 #: The members of a larger key are first compared with its hubs, and pairs that this connects are left out: in the first
 #: round with the member of most such keys (the least edited copy), then each time with the first such one not connected to it.
-#: Those still apart are joined by how they differ from the first hub, not by what they share.
-CROWD, ROUNDS = 64, 3
+#: Those still apart are joined by how they differ from the first hub, not by what they share. Only members near the hub take
+#: part: its crowded keys that they have are one in NEAR of either prefix or more. In prose a run of common words is in
+#: ever more texts as the corpus grows, and texts that have no more than that in common would differ in all of both.
+CROWD, ROUNDS, NEAR = 64, 3, 8
 #: Bits of the map that spares most texts without a candidate the shuffle; 16 MB. An exact join follows it.
 MAP_BITS = 27
 BATCH_BYTES = 2 << 20
@@ -148,38 +150,49 @@ def _apart_links(groups: DataFrame, links: DataFrame, sets: DataFrame, least: fl
     return out
 
 
-def _star_links(members: DataFrame, docs: DataFrame, text: str, words: int, least: float) -> DataFrame | None:
-    """All links between members of crowded keys that join components: with their hubs, over ROUNDS rounds, then those left; None without such keys."""
-    crowd = materialize(members.where(F.col("m") > CROWD).select("key", *SET, F.count("*").over(Window.partitionBy("node")).alias("deg")))
-    nodes = materialize(crowd.select("node").distinct())
+def _star_links(members: DataFrame, docs: DataFrame, text: str, words: int, least: float) -> tuple[DataFrame, DataFrame | None] | None:
+    """(rows, links): the rows of crowded keys, and all links that join components between those near one hub; None without such keys.
+
+    Found with their hubs, over ROUNDS rounds, then among those left. Rows have the hub of their key and whether their node is near it.
+    """
+    same, alike = Window.partitionBy("key"), Window.partitionBy(F.col("hub.node"), "node")
+    crowd = members.where(F.col("m") > CROWD).select("key", "before", "at", "own", *SET)
+    crowd = crowd.withColumn("hub", F.max(F.struct("own", *SET)).over(same))
+    prefix = F.greatest(*(n - _beyond(n, least) for n in (F.col("n"), F.col("hub.n"))))
+    sizes = 2 * F.least("n", F.col("hub.n")) >= F.greatest("n", F.col("hub.n"))
+    near = (F.col("hub.node") == F.col("node")) | (sizes & (NEAR * F.count("*").over(alike) >= prefix))
+    crowd = materialize(crowd.withColumn("near", near))
     if crowd.isEmpty():
+        discard(crowd)
         return None
-    sets, links, same = materialize(_sets(docs, text, words, nodes)), None, Window.partitionBy("key")
-    for turn in range(ROUNDS):
-        if links is None:
-            placed, found = crowd.withColumn("c", F.col("node")), None
-        else:
-            found = materialize(connected_components(links))
-            placed = crowd.join(found, "node", "left").withColumn("c", F.coalesce("component", "node"))
-        seat = F.struct("deg", *SET, "c")
+    may = _possible(F.struct(*SET), F.col("hub"), least)
+    groups = materialize(crowd.where(F.col("near") & (F.col("hub.node") != F.col("node"))).select(F.col("hub.node").alias("hub"), "node", may.alias("may")).distinct())
+    if groups.isEmpty():
+        discard(groups)
+        return crowd, None
+    nodes = materialize(groups.select(F.explode(F.array("hub", "node")).alias("node")).distinct())
+    sets = materialize(_sets(docs, text, words, nodes))
+    links = _verified(groups.where("may").select(F.col("hub").alias("a"), F.col("node").alias("b")), sets, least)
+    close = materialize(crowd.join(nodes, "node", "left_semi").select("key", "own", *SET))
+    for _ in range(ROUNDS - 1):
+        found = materialize(connected_components(links))
+        placed = close.join(found, "node", "left").withColumn("c", F.coalesce("component", "node"))
+        seat = F.struct("own", *SET, "c")
         placed = placed.withColumn("hub", F.max(seat).over(same))
-        if not turn:
-            groups = materialize(placed.select(F.col("hub.node").alias("hub"), "node").distinct())
-        else:
-            placed = placed.withColumn("hub", F.max(F.when(F.col("c") != F.col("hub.c"), seat)).over(same))
+        placed = placed.withColumn("hub", F.max(F.when(F.col("c") != F.col("hub.c"), seat)).over(same))
         pairs = placed.where((F.col("c") != F.col("hub.c")) & _possible(F.struct(*SET), F.col("hub"), least)).select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct()
-        new = _verified(materialize(pairs), sets, least)
-        links = new if links is None else links.unionByName(new)
-        if found is not None:
-            discard(found)
+        pairs = materialize(pairs)
+        links = links.unionByName(_verified(pairs, sets, least))
+        for done in (found, pairs):
+            discard(done)
     links = links.unionByName(_apart_links(groups, links, sets, least))
-    for done in (crowd, nodes, groups, sets):
+    for done in (nodes, groups, sets, close):
         discard(done)
-    return links
+    return crowd, links
 
 
-#: Of a set: its hash, its size, where its prefix ends in the order, and how many of its shingles a set may share whose prefix ends later.
-SET = ["node", "n", "end", "most"]
+#: Of a set: its hash, its size, where its prefix ends in the order, and how many shingles of its prefix are keys that others have.
+SET = ["node", "n", "end", "keys"]
 
 
 def _of_first(a: Column, b: Column, value) -> Column:
@@ -196,11 +209,28 @@ def _needed(a: Column, b: Column, least: float) -> Column:
 def _possible(a: Column, b: Column, least: float) -> Column:
     """Whether the sets may be similar enough, by their sizes and by what the one whose prefix ends first can share.
 
-    What of that prefix lies in the other set lies in the other's prefix, so shingles of it that no other
-    prefix holds aren't shared.
+    What of that prefix lies in the other set lies in the other's prefix, so it is no more than the keys of either.
     """
     sizes = F.least(a["n"], b["n"]) >= F.greatest(a["n"], b["n"]) * least - 1e-9
-    return sizes & (_of_first(a, b, lambda s: s["most"]) >= _needed(a, b, least))
+    return sizes & (_of_first(a, b, lambda s: _beyond(s["n"], least)) + F.least(a["keys"], b["keys"]) >= _needed(a, b, least))
+
+
+def _met(one: DataFrame, two: DataFrame, least: float) -> DataFrame:
+    """(a, b, few) of sets of different components that meet at the first key they share: a of `one` is the larger, and few is how many shingles their prefixes must share.
+
+    From that key on each set has n - at shingles, and `past` of those before it may be shared too. The smaller one
+    meets larger ones only, so its key must come early.
+    """
+    n, names = F.col("n"), [*SET, "c", "before", "at", "past"]
+    early = F.col("past") + n - F.col("at") >= F.ceil(n * (2 * least / (1 + least)) - 1e-9)
+    x, y = F.col("x"), F.col("y")
+    first = x["before"].isNull() | y["before"].isNull() | (x["before"] != y["before"])
+    rest = F.least(x["past"], y["past"]) + F.least(x["n"] - x["at"], y["n"] - y["at"]) >= _needed(x, y, least)
+    larger = (y["n"] < x["n"]) | ((y["n"] == x["n"]) & (y["node"] < x["node"]))
+    met = one.select("key", F.struct(*names).alias("x")).join(two.where(early).select("key", F.struct(*names).alias("y")), "key")
+    beyond = _of_first(x, y, lambda s: _beyond(s["n"], least))
+    met = met.where(larger & (x["c"] != y["c"]) & first & rest & _possible(x, y, least))
+    return met.select(x["node"].alias("a"), y["node"].alias("b"), (_needed(x, y, least) - beyond).alias("few"))
 
 
 def _print_links(prints: DataFrame, bits: int) -> DataFrame:
@@ -243,27 +273,30 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     kind = StructType([StructField("doc_id", docs.schema[key].dataType), StructField("node", LongType()), StructField("n", IntegerType()), StructField("end", LongType()), StructField("prefix", ArrayType(LongType())), StructField("fp", LongType())])
     prints = materialize(docs.select(key, text).mapInArrow(prints_of, kind))
     nodes = prints.select("node", "n", "end", "prefix").dropDuplicates(["node"])
-    same = Window.partitionBy("key")
+    same, own = Window.partitionBy("key"), Window.partitionBy("node")
     keyed = nodes.select("node", "n", "end", F.posexplode("prefix").alias("at", "key"))
     twice = keyed.select("key", "node", "n", "end", "at", F.count("*").over(same).alias("m")).where("m > 1")
-    most = _beyond(F.col("n"), least) + F.count("*").over(Window.partitionBy("node"))
-    # the key before in a set's prefix: two sets that have one key before met there
-    before = F.lag("key").over(Window.partitionBy("node").orderBy("at"))
-    members = materialize(twice.select("key", "m", "node", "n", "end", most.alias("most"), before.alias("before")))
-    links = _star_links(members, docs, text, words, least)
-    thin = members.where(F.col("m") <= CROWD)  # what meets at the others is linked already
-    if links is None:
-        placed = thin.select("key", "before", *SET, F.col("node").alias("c"))
-    else:
+    crowded, order = F.when(F.col("m") > CROWD, 1), own.orderBy("at")
+    # the key before in a set's prefix: two sets that have one key before met there, but those of a key of few only at another such
+    before = F.when((F.col("m") > CROWD) | (F.lag("m").over(order) <= CROWD), F.lag("key").over(order))
+    past = F.when(F.col("m") <= CROWD, F.count(crowded).over(order)).otherwise(0)
+    members = materialize(twice.select("key", "m", "node", "n", "end", "at", F.count("*").over(own).alias("keys"), F.count(crowded).over(own).alias("own"), before.alias("before"), past.alias("past")))
+    # sets with a key of few in common meet at the first of these; others share crowded keys only, and those near the hub of one are linked already
+    crowd, links = _star_links(members, docs, text, words, least) or (None, None)
+    rows = [members.where(F.col("m") <= CROWD).select("key", "before", "at", "past", *SET, F.lit(True).alias("near"))]
+    if crowd is not None:
+        rows.append(crowd.select("key", "before", "at", F.lit(0).cast("long").alias("past"), *(F.col("own").alias("keys") if c == "keys" else c for c in SET), "near"))
+    if links is not None:
         found = materialize(connected_components(links))
-        placed = thin.join(found, "node", "left").select("key", "before", *SET, F.coalesce("component", "node").alias("c"))
-    placed = materialize(placed.withColumn("mixed", F.min("c").over(same) != F.max("c").over(same)).where("mixed").drop("mixed"))
-    one, two = (placed.select("key", F.struct(*SET, "c", "before").alias(name)) for name in "xy")
-    x, y = F.col("x"), F.col("y")
-    first = x["before"].isNull() | y["before"].isNull() | (x["before"] != y["before"])
-    met = one.join(two, "key").where(first & (x["c"] < y["c"]) & _possible(x, y, least))
-    beyond = _of_first(x, y, lambda s: _beyond(s["n"], least))
-    few = materialize(met.select(x["node"].alias("a"), y["node"].alias("b"), (_needed(x, y, least) - beyond).alias("few")).distinct())
+    tables = []
+    for part in rows:
+        part = part.withColumn("c", F.col("node")) if links is None else part.join(found, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
+        tables.append(materialize(part.withColumn("mixed", F.min("c").over(same) != F.max("c").over(same)).where("mixed").drop("mixed")))
+    met = _met(tables[0], tables[0], least)
+    if crowd is not None:
+        far = tables[1].where(~F.col("near"))
+        met = met.unionByName(_met(tables[1], far, least)).unionByName(_met(far, tables[1].where("near"), least))
+    few = materialize(met.distinct())
     # shared shingles lie in both prefixes, or beyond the prefix that ends first
     ahead = [nodes.select(F.col("node").alias(c), F.col("prefix").alias(f"prefix_{c}")) for c in "ab"]
     may = F.size(F.array_intersect("prefix_a", "prefix_b")) >= F.col("few")
@@ -274,7 +307,7 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     links = more if links is None else links.unionByName(more)
     if bits is not None:
         links = links.unionByName(_print_links(prints, bits))
-    for done in (members, placed, few, pairs, nodes, sets):
+    for done in (members, *tables, few, pairs, nodes, sets, *(() if crowd is None else (crowd,))):
         discard(done)
     linked = connected_components(links)
     first = materialize(prints.groupBy("node").agg(F.min("doc_id").alias("first")))
